@@ -75,7 +75,7 @@ union all select 'Identificador de Regla de Calidad','x','x','x','x','x','x', ca
     "fx_trace": (
         "lineitem",
         """
-select case when l_suppkey % 29 = 0 then 'POL' else 'POL' || lpad(cast(l_partkey as {STRING}), 12, '0') end
+select case when l_suppkey % 29 = 0 then 'POL' else 'POL' || cast(l_partkey as {STRING}) end
     as codigo_de_entidad_del_dato,
   'Entidad ' || cast(l_partkey as {STRING}) as nombre_de_entidad_del_dato,
   'T_' || l_returnflag as tabla_en_fuente_oficial,

@@ -332,7 +332,7 @@ select r.id_regla_de_calidad, """
     + f""", case when e.seq is null then r.ingestion_date else {RUN} end as ingestion_date
 from b_rules r left join last_edit e on r.id_regla_de_calidad = e.id_regla_de_calidad""",
     "change_update_trace": f"""
-with last_edit as (select 'POL' || lpad(substr(trim(codigo_de_entidad_del_dato), 4, 9), 12, '0') as k,
+with last_edit as (select 'POL' || cast(cast(substr(trim(codigo_de_entidad_del_dato), 4) as bigint) as varchar) as k,
     {_strip('concepto_de_negocio')} as nombre_de_entidad_del_dato, 'APP' as aplicativos,
     {_strip('termino_de_negocio')} as fuente_oficial, 'T' as tabla_en_fuente_oficial,
     cast(null as varchar) as campo_en_fuente_oficial, {_strip('data_owner')} as data_owner,
@@ -356,8 +356,8 @@ select id_regla_de_calidad, termino_de_negocio from fx_rules r where not exists
     as varchar) = r.id_regla_de_calidad)""",
     "change_delete_trace": """
 select codigo_de_entidad_del_dato, aplicativos, fuente_oficial from fx_trace t where not exists (
-  select 1 from fx_custom where 'POL' || lpad(regexp_extract(fx_custom.codigo_de_entidad_del_dato, '([0-9]+)$', 1), 12, '0')
-    = t.codigo_de_entidad_del_dato)""",
+  select 1 from fx_custom u where t.codigo_de_entidad_del_dato =
+    'POL' || cast(cast(regexp_extract(u.codigo_de_entidad_del_dato, '([0-9]+)$', 1) as bigint) as varchar))""",
     "change_validate": """
 select 'conceptos_negocio' as tabla, codigo_de_entidad_del_dato as clave, missing_fields, bad_values,
   missing_fields = '' and bad_values = '' as accepted from inserts_checked

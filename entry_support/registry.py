@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import partial
+from functools import cached_property, lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions import clean_text, null_tokens, numeric_id, parse_number
+from termloom.functions import numeric_id
 from termloom.operators import changes, clean, versions
 from termloom.plans import golden, metrics, silver
 from termloom.schemas import (
@@ -43,25 +43,25 @@ class Bronze:
     """The mapped tables in the shape of the bronze contracts."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.view = partial(spark_view, spark, sf_dir)
+        self.view = lru_cache(maxsize=None)(lambda view: spark_view(spark, sf_dir, view))
 
-    @property
+    @cached_property
     def concepts(self) -> DataFrame:
         return clean.conform(self.view("fx_concepts"), CONCEPTS)
 
-    @property
+    @cached_property
     def rules(self) -> DataFrame:
         return clean.conform(clean.parse_numbers(self.view("fx_rules"), THRESHOLDS), RULES)
 
-    @property
+    @cached_property
     def trace(self) -> DataFrame:
         return clean.conform(self.view("fx_trace"), TRACE)
 
-    @property
+    @cached_property
     def custom(self) -> DataFrame:
         return clean.conform(self.view("fx_custom"), CUSTOM_CONCEPTS)
 
-    @property
+    @cached_property
     def concept_rows(self) -> DataFrame:
         return silver.all_concepts(self.concepts, self.custom)
 
@@ -251,7 +251,7 @@ def change_update_rules(bronze: Bronze) -> DataFrame:
 
 def change_update_trace(bronze: Bronze) -> DataFrame:
     edits = bronze.view("fx_updates").select(
-        F.concat(F.lit("POL"), F.lpad(F.substring(F.trim(CODE), 4, 9), 12, "0")).alias(CODE),
+        F.concat(F.lit("POL"), numeric_id(F.trim(CODE)).cast("string")).alias(CODE),
         F.col("concepto_de_negocio").alias("nombre_de_entidad_del_dato"),
         F.lit("APP").alias("aplicativos"),
         F.col(TERM).alias("fuente_oficial"),
@@ -266,29 +266,30 @@ def change_update_trace(bronze: Bronze) -> DataFrame:
     )
 
 
-def _supplier_codes(bronze: Bronze, prefix: str, width: int) -> DataFrame:
-    """Keys to delete: one per supplier, null where the supplier has no code."""
-    number = F.regexp_extract(CODE, r"(\d+)$", 1)
-    return bronze.view("fx_custom").select(
-        F.concat(F.lit(f" {prefix}"), F.lpad(number, width, "0")).alias(CODE)
-    )
+def _supplier_number(bronze: Bronze) -> tuple[DataFrame, Column]:
+    """One row per supplier and its number, null where the supplier has no code."""
+    return bronze.view("fx_custom"), numeric_id(F.col(CODE)).cast("string")
+
+
+def _deleted_concepts(bronze: Bronze) -> DataFrame:
+    suppliers, number = _supplier_number(bronze)
+    return suppliers.select(F.concat(F.lit(" CRM"), F.lpad(number, 9, "0")).alias(CODE))
 
 
 def change_delete(bronze: Bronze) -> DataFrame:
-    return changes.apply_deletes(bronze.concepts, _supplier_codes(bronze, "CRM", 9), CONCEPT).select(CODE, TERM)
+    return changes.apply_deletes(bronze.concepts, _deleted_concepts(bronze), CONCEPT).select(CODE, TERM)
 
 
 def change_delete_rules(bronze: Bronze) -> DataFrame:
-    keys = bronze.view("fx_custom").select(
-        F.concat(F.lit("RC"), F.regexp_extract(CODE, r"0*(\d+)$", 1)).alias(RULE_ID)
-    )
+    suppliers, number = _supplier_number(bronze)
+    keys = suppliers.select(F.concat(F.lit("RC"), number).alias(RULE_ID))
     return changes.apply_deletes(bronze.rules, keys, RULE).select(RULE_ID, TERM)
 
 
 def change_delete_trace(bronze: Bronze) -> DataFrame:
-    return changes.apply_deletes(bronze.trace, _supplier_codes(bronze, "POL", 12), LINEAGE).select(
-        CODE, "aplicativos", "fuente_oficial"
-    )
+    suppliers, number = _supplier_number(bronze)
+    keys = suppliers.select(F.concat(F.lit("POL"), number).alias(CODE))
+    return changes.apply_deletes(bronze.trace, keys, LINEAGE).select(CODE, "aplicativos", "fuente_oficial")
 
 
 def change_validate(bronze: Bronze) -> DataFrame:
@@ -316,7 +317,7 @@ def change_values(bronze: Bronze) -> DataFrame:
 def snapshot_diff(bronze: Bronze) -> DataFrame:
     """Concepts before and after the update, insert and delete batches."""
     old = bronze.concepts.select(*DIFF_COLUMNS)
-    new = changes.apply_deletes(_updated(bronze), _supplier_codes(bronze, "CRM", 9), CONCEPT)
+    new = changes.apply_deletes(_updated(bronze), _deleted_concepts(bronze), CONCEPT)
     new = changes.apply_inserts(new, bronze.view("fx_inserts"), CONCEPT, RUN_TS).select(*DIFF_COLUMNS)
     diff = versions.snapshot_diff(old, new, CODE)
     return diff.select(
