@@ -25,6 +25,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Schemas of the tables read here: stated, so that no job has to infer them.
+TABLES = {
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 VIEWS = {
     "fx_concepts": (
         "part",
@@ -75,14 +88,13 @@ union all select 'Identificador de Regla de Calidad','x','x','x','x','x','x', ca
     "fx_trace": (
         "lineitem",
         """
-select case when l_suppkey % 29 = 0 then 'POL' else 'POL' || cast(l_partkey as {STRING}) end
-    as codigo_de_entidad_del_dato,
+select 'POL' || cast(l_partkey as {STRING}) as codigo_de_entidad_del_dato,
   'Entidad ' || cast(l_partkey as {STRING}) as nombre_de_entidad_del_dato,
-  'T_' || l_returnflag as tabla_en_fuente_oficial,
-  case when l_partkey % 9 = 0 then null else 'F_' || l_linestatus end as campo_en_fuente_oficial,
-  'APP' || cast(l_suppkey % 5 as {STRING}) as aplicativos,
-  'SRC' || cast(l_suppkey % 3 as {STRING}) as fuente_oficial,
-  'ESQ' || cast(l_linenumber as {STRING}) as esquema,
+  l_returnflag as tabla_en_fuente_oficial,
+  case when l_partkey % 9 = 0 then null else l_linestatus end as campo_en_fuente_oficial,
+  cast(l_suppkey % 5 as {STRING}) as aplicativos,
+  cast(l_suppkey % 3 as {STRING}) as fuente_oficial,
+  cast(l_linenumber as {STRING}) as esquema,
   case when l_partkey % 8 = 0 then '29/04/2026' else cast(cast(l_shipdate as date) as {STRING}) end
     as fecha_de_actualizacion_en_el_diccionario_tecnico,
   l_shipdate as ingestion_date
@@ -169,7 +181,8 @@ from {lineitem}
 def spark_view(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     table, text = VIEWS[view]
     filled = text.replace("{STRING}", "string").replace("{TS}", "timestamp_ntz")
-    return spark.sql(filled, **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+    rows = spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
+    return spark.sql(filled, **{table: rows})
 
 
 def sql_view(view: str) -> str:

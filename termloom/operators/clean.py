@@ -66,14 +66,12 @@ def stamp(df: DataFrame, run_ts: datetime | Column | None = None) -> DataFrame:
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Exactly the columns of ``schema``: unknown ones dropped, missing ones null."""
-    known = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    """Exactly the columns of ``schema``: unknown ones dropped, missing ones null.
+
+    Types may differ only where a table insert would accept them too; text is
+    never turned into a number here.
+    """
+    return df.to(T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields]))
 
 
 def clean_sheet(raw: DataFrame, entity: Entity, run_ts: datetime | Column | None = None) -> DataFrame:

@@ -83,31 +83,22 @@ def join_fanout(
             on, hot_rows, hot_keys,
         )
     )
-    no_key = F.col(on).isNull()
     left_fan, right_fan = F.coalesce("_left_fan", F.lit(1)), F.coalesce("_right_fan", F.lit(1))
 
     def pieces(fan):
         return F.explode(F.sequence(F.lit(0), fan - 1))
 
-    salted_left = (
-        left.join(fans, on, "left")
-        .withColumn(
-            "_lp",
-            F.when(no_key, content_spread(left.columns, NULL_SPREAD))
-            .when(left_fan > 1, content_spread(left.columns, left_fan))
-            .otherwise(0),
-        )
-        .withColumn("_cut", right_fan > 1)
-        .withColumn("_rp", pieces(right_fan))
-        .drop("_left_fan", "_right_fan")
+    left_piece = (
+        F.when(F.col(on).isNull(), content_spread(left.columns, NULL_SPREAD))
+        .when(left_fan > 1, content_spread(left.columns, left_fan))
+        .otherwise(0)
+    )
+    right_piece = F.when(right_fan > 1, content_spread(right.columns, right_fan)).otherwise(0)
+    salted_left = left.join(fans, on, "left").select(
+        *left.columns, left_piece.alias("_lp"), (right_fan > 1).alias("_cut"), pieces(right_fan).alias("_rp")
     )
-    salted_right = (
-        right.filter(F.col(on).isNotNull())
-        .join(fans, on, "left")
-        .withColumn("_rp", F.when(right_fan > 1, content_spread(right.columns, right_fan)).otherwise(0))
-        .withColumn("_lp", pieces(left_fan))
-        .withColumn("_met", F.lit(True))
-        .drop("_left_fan", "_right_fan")
+    salted_right = right.filter(F.col(on).isNotNull()).join(fans, on, "left").select(
+        *right.columns, right_piece.alias("_rp"), pieces(left_fan).alias("_lp"), F.lit(True).alias("_met")
     )
     return (
         salted_left.join(salted_right, [on, "_lp", "_rp"], "left")
