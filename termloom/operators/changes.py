@@ -89,12 +89,14 @@ def apply_updates(
     entity: Entity,
     sequence: str,
     run_ts: datetime | Column | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """Every row with a changed key gets all updatable columns, null included.
 
     Of several changes with one key the one with the highest ``sequence``
     counts. Keys are compared exactly; only the change's key is stripped.
-    A change must carry every updatable column.
+    A change must carry every updatable column. ``small`` says that the batch
+    passed ``joins.is_small``; the table is then not shuffled.
     """
     absent = [c for c in entity.updatable if c not in changes.columns]
     if absent:
@@ -109,7 +111,7 @@ def apply_updates(
     new_value = {c: F.col(f"_new_{c}") for c in entity.updatable}
     if STAMP in table.columns:
         new_value[STAMP] = run_stamp(run_ts)
-    return join_unique(table, newest, entity.key).select(
+    return join_unique(table, newest, entity.key, small=small).select(
         *[
             F.when(hit, new_value[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name)
             if f.name in new_value
@@ -119,7 +121,7 @@ def apply_updates(
     )
 
 
-def apply_deletes(table: DataFrame, keys: DataFrame, entity: Entity) -> DataFrame:
+def apply_deletes(table: DataFrame, keys: DataFrame, entity: Entity, small: bool = False) -> DataFrame:
     """Table without any row of the given keys; a null or blank key deletes nothing."""
     doomed = keys.select(clean_text(F.col(entity.key)).alias(entity.key)).distinct()
-    return join_unique(table, doomed, entity.key, "left_anti").select(*table.columns)
+    return join_unique(table, doomed, entity.key, "left_anti", small).select(*table.columns)

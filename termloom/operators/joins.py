@@ -20,10 +20,30 @@ from ..functions import content_spread
 HOT_ROWS = 2_000_000  # rows of one key that one task may hold
 HOT_KEYS = 1_000  # most keys that are salted, so the broadcast stays small
 NULL_SPREAD = 4_096
+SMALL_ROWS, SMALL_BYTES = 200_000, 64 * 1024 * 1024
 
 
-def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """``left`` or ``left_anti`` join with a right side of one row per key."""
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
+    """Whether a frame may be broadcast, found by reading at most ``max_rows`` rows of it.
+
+    Runs a job; meant for batches that a job is about to apply to a big table.
+    """
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    read = df.select(size.alias("size")).limit(max_rows + 1)
+    found = read.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= max_rows and found["bytes"] <= max_bytes
+
+
+def join_unique(
+    left: DataFrame, right: DataFrame, on: str, how: str = "left", small: bool = False
+) -> DataFrame:
+    """``left`` or ``left_anti`` join with a right side of one row per key.
+
+    ``small`` says that the right side passed ``is_small``: it is then
+    broadcast, and the left side is not shuffled at all.
+    """
+    if small:
+        return left.join(F.broadcast(right.filter(F.col(on).isNotNull())), on, how)
     spread = F.when(F.col(on).isNull(), F.spark_partition_id() % NULL_SPREAD).otherwise(0)
     return (
         left.withColumn("_spread", spread)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.changes import apply_deletes, apply_inserts, apply_updates
 from ..operators.clean import clean_sheet
+from ..operators.joins import is_small
 from ..schemas import Entity
 from ..sources.sheets import read_sheet
 from ..sources.tables import Catalog, read_table, rewrite_table, write_table
@@ -61,16 +62,20 @@ def change_bronze(
     sequence: str = "seq",
     run_ts: datetime | None = None,
 ) -> None:
-    """Apply a batch to a bronze table: deletes, then updates, then inserts."""
+    """Apply a batch to a bronze table: deletes, then updates, then inserts.
+
+    The usual batch is small, so its size is looked at first: a small one is
+    broadcast, and the table is only read and written.
+    """
     rows = read_table(spark, catalog, "bronze", entity.table)
     if deletes is None and updates is None and inserts is not None:
         new = apply_inserts(rows.limit(0), inserts, entity, run_ts)
         write_table(new, catalog, "bronze", entity.table, overwrite=False)
         return
     if deletes is not None:
-        rows = apply_deletes(rows, deletes, entity)
+        rows = apply_deletes(rows, deletes, entity, small=is_small(deletes))
     if updates is not None:
-        rows = apply_updates(rows, updates, entity, sequence, run_ts)
+        rows = apply_updates(rows, updates, entity, sequence, run_ts, small=is_small(updates))
     if inserts is not None:
         rows = apply_inserts(rows, inserts, entity, run_ts)
     rewrite_table(rows, catalog, "bronze", entity.table)

@@ -58,13 +58,18 @@ def top_principles(rules: DataFrame, limit: int = TOP_GROUPS) -> DataFrame:
 
 
 def latest_records(df: DataFrame, order_by: str | None = STAMP, limit: int | None = None) -> DataFrame:
-    """Newest first. With a limit, ties are settled by the other columns."""
+    """Newest first; ties are settled by the other columns.
+
+    One ingest stamps all its rows alike, so ties are the rule. Without a limit
+    the result is sorted in ranges over all columns, and over the input
+    partition for equal rows, so that no range has to hold a whole ingest.
+    """
     if order_by is None:
         return df if limit is None else df.limit(limit)
-    if limit is None:
-        return df.orderBy(F.desc_nulls_last(order_by))
-    ties = [F.asc_nulls_last(c) for c in df.columns if c != order_by]
-    return df.orderBy(F.desc_nulls_last(order_by), *ties).limit(limit)
+    order = [F.desc_nulls_last(order_by), *[F.asc_nulls_last(c) for c in df.columns if c != order_by]]
+    if limit is not None:
+        return df.orderBy(*order).limit(limit)
+    return df.withColumn("_part", F.spark_partition_id()).orderBy(*order, "_part").drop("_part")
 
 
 # --- dashboard --------------------------------------------------------------

@@ -38,9 +38,15 @@ def test_each_query_has_sql():
     assert set(SQL) == set(spark_entry.queries())
 
 
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas")
+
+
 @pytest.mark.parametrize("key", sorted(SQL))
-def test_query_equals_sql(spark, duck, key):
+def test_query_equals_sql(spark, duck, capsys, key):
     df = spark_entry.queries()[key](spark, SF_DIR)
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "Physical Plan" in plan and not [node for node in UNWANTED if node in plan]
     cursor = duck.execute(SQL[key])
     names = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(names)

@@ -4,6 +4,8 @@ import pytest
 
 from conftest import bag
 from termloom.plans import jobs
+from termloom.plans.golden import quality_report_eager
+from termloom.plans.silver import coverage
 from termloom.schemas import CODE, CONCEPT, LINEAGE, RULE, RULE_LEGEND, TABLES
 from termloom.session import shared_folder
 from termloom.sources.tables import Catalog, create_tables, read_table, write_table
@@ -70,6 +72,21 @@ def test_sheets_to_golden(spark, catalog, tmp_path):
         jobs.ingest_sheet(spark, folders["r"], RULE, catalog, mode="merge")
 
 
+def test_silver_plan_reads_only_what_it_needs(spark, catalog, capsys):
+    """Filters reach the scan and unused columns are not read."""
+    read = {n: read_table(spark, catalog, "bronze", t) for n, t in (
+        ("concepts", CONCEPT.table), ("rules", RULE.table), ("trace", LINEAGE.table), ("custom", "app_custom_concepts"))}
+    quality_report_eager(coverage(**read)).explain("formatted")
+    plan = capsys.readouterr().out
+    assert f"IsNotNull({CODE})" in plan and f"IsNotNull({RULE.key})" in plan
+    assert "Not(EqualTo" in plan
+    schemas = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
+    assert len(schemas) == 4
+    assert not [s for s in schemas if "logica_de_calculo" in s or "descripcion_de_regla" in s or "data_owner" in s]
+    trace = next(s for s in schemas if s.count(":") == 2)
+    assert trace.split(":", 1)[1].strip() == f"struct<{CODE}:string>"
+
+
 def test_change_bronze(spark, catalog, frame, tmp_path):
     jobs.ingest_sheet(spark, sheets(tmp_path)["c"], CONCEPT, catalog, run_ts=RUN)
     new = frame(f"{CODE} concepto_de_negocio termino_de_negocio", ("N1", "c", "t"), ("", "c", "t"))

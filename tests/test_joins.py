@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import bag
-from termloom.operators.joins import hot_fans, join_fanout, join_unique, key_counts
+from termloom.operators.joins import hot_fans, is_small, join_fanout, join_unique, key_counts
 
 
 @pytest.fixture(scope="module")
@@ -71,8 +71,16 @@ def test_hot_rows_spread_over_tasks(spark, sides):
             spark.conf.set(name, value)
 
 
+@pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("how", ["left", "left_anti"])
-def test_join_unique(sides, how):
+def test_join_unique(sides, how, small):
     left, right = sides
     one_each = right.groupBy("k").agg(F.max("r").alias("r"))
-    assert bag(join_unique(left, one_each, "k", how)) == bag(left.join(one_each, "k", how))
+    assert bag(join_unique(left, one_each, "k", how, small)) == bag(left.join(one_each, "k", how))
+
+
+def test_is_small(sides):
+    left, _ = sides
+    assert is_small(left) and is_small(left.limit(0))
+    assert is_small(left, max_rows=150) and not is_small(left, max_rows=149)
+    assert not is_small(left, max_bytes=1000)
