@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import content_spread
 
@@ -41,15 +42,24 @@ def join_unique(
 
     ``small`` says that the right side passed ``is_small``: it is then
     broadcast, and the left side is not shuffled at all.
+
+    Null keys of the left side get stand-in keys by input partition, which
+    decide only where the row goes: the join condition still asks for a key.
+    The right side keeps its key alone, so that an aggregate by that key is
+    not shuffled a second time.
     """
+    right = right.filter(F.col(on).isNotNull()).withColumnRenamed(on, "_right_key")
     if small:
-        return left.join(F.broadcast(right.filter(F.col(on).isNotNull())), on, how)
-    spread = F.when(F.col(on).isNull(), F.spark_partition_id() % NULL_SPREAD).otherwise(0)
-    return (
-        left.withColumn("_spread", spread)
-        .join(right.filter(F.col(on).isNotNull()).withColumn("_spread", F.lit(0)), [on, "_spread"], how)
-        .drop("_spread")
-    )
+        joined = left.join(F.broadcast(right), F.col(on) == F.col("_right_key"), how)
+    else:
+        kind = left.schema[on].dataType
+        stand_in = -1 - F.spark_partition_id() % NULL_SPREAD
+        if isinstance(kind, T.StringType):
+            stand_in = F.concat(F.lit("\0"), stand_in.cast("string"))
+        keyed = left.withColumn("_left_key", F.coalesce(F.col(on), stand_in.cast(kind)))
+        same = (F.col("_left_key") == F.col("_right_key")) & F.col(on).isNotNull()
+        joined = keyed.join(right, same, how)
+    return joined.drop("_left_key", "_right_key")
 
 
 def key_counts(df: DataFrame, on: str, weight: str | None = None) -> DataFrame:

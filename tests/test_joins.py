@@ -53,22 +53,39 @@ def test_hot_key_is_cut_into_pieces(sides):
     assert fans[5]["_left_fan"] >= 3 and fans[5]["_right_fan"] >= 3
 
 
-def test_hot_rows_spread_over_tasks(spark, sides):
+@pytest.fixture
+def no_broadcast(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    old = {name: spark.conf.get(name) for name in names}
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "false")
+    yield
+    for name, value in old.items():
+        spark.conf.set(name, value)
+
+
+def test_hot_rows_spread_over_tasks(sides, no_broadcast):
     """With broadcast off, the joined rows of the hot key come from several partitions."""
     left, right = sides
-    old = {n: spark.conf.get(n) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = join_fanout(left, right, "k", hot_rows=10)
-        assert joined.filter("k = 5").select(F.spark_partition_id()).distinct().count() > 1
-        assert joined.filter("k is null").select(F.spark_partition_id()).distinct().count() > 1
-        plain = left.join(right, "k", "left")
-        assert plain.filter("k = 5").select(F.spark_partition_id()).distinct().count() == 1
-        assert bag(joined) == bag(plain)
-    finally:
-        for name, value in old.items():
-            spark.conf.set(name, value)
+    joined = join_fanout(left, right, "k", hot_rows=10)
+    assert joined.filter("k = 5").select(F.spark_partition_id()).distinct().count() > 1
+    assert joined.filter("k is null").select(F.spark_partition_id()).distinct().count() > 1
+    plain = left.join(right, "k", "left")
+    assert plain.filter("k = 5").select(F.spark_partition_id()).distinct().count() == 1
+    assert bag(joined) == bag(plain)
+
+
+@pytest.mark.parametrize("key", ["k", "cast(k as string) as k"])
+def test_null_keys_spread_in_unique_join(sides, no_broadcast, key, capsys):
+    left, right = (df.selectExpr(key, *df.columns[1:]) for df in sides)
+    one_each = right.groupBy("k").agg(F.max("r").alias("r"))
+    joined = join_unique(left, one_each, "k")
+    assert joined.filter("k is null").select(F.spark_partition_id()).distinct().count() > 1
+    assert bag(joined) == bag(left.join(one_each, "k", "left"))
+    assert bag(join_unique(left, one_each, "k", "left_anti")) == bag(left.join(one_each, "k", "left_anti"))
+    joined.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin [_left_key" in plan and plan.count("Exchange hashpartitioning") == 2
 
 
 @pytest.mark.parametrize("small", [False, True])
