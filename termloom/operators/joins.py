@@ -7,7 +7,8 @@ Two shapes occur in the dictionary jobs:
   because a left join lets it cut the left side. Null keys, which never match,
   are spread so that they do not all land in one task.
 * the right side has many rows per key: ``join_fanout``. In a left join Spark
-  cannot cut the right side, so hot keys are salted on both sides.
+  cannot cut the right side, so hot keys are salted on both sides. In an inner
+  join Spark can cut both, but only past its run-time thresholds.
 """
 
 from __future__ import annotations
@@ -93,13 +94,14 @@ def join_fanout(
     left: DataFrame,
     right: DataFrame,
     on: str,
+    how: str = "left",
     *,
     left_counts: DataFrame | None = None,
     right_counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
-    """Left join, any number of matches on either side, salted for hot keys.
+    """``left`` or ``inner`` join with any number of matches, salted for hot keys.
 
     A hot key is cut into ``left fan x right fan`` pieces. Each left row goes
     to one left piece and is copied to every right piece, and the other way
@@ -130,8 +132,7 @@ def join_fanout(
     salted_right = right.filter(F.col(on).isNotNull()).join(fans, on, "left").select(
         *right.columns, right_piece.alias("_rp"), pieces(left_fan).alias("_lp"), F.lit(True).alias("_met")
     )
-    return (
-        salted_left.join(salted_right, [on, "_lp", "_rp"], "left")
-        .filter(~(F.col("_cut") & F.col("_met").isNull()))
-        .drop("_lp", "_rp", "_cut", "_met")
-    )
+    joined = salted_left.join(salted_right, [on, "_lp", "_rp"], how)
+    if how == "left":
+        joined = joined.filter(~(F.col("_cut") & F.col("_met").isNull()))
+    return joined.drop("_lp", "_rp", "_cut", "_met")

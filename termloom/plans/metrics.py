@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_fanout
 from ..operators.versions import latest_per_key
 from ..schemas import (
     CODE, DOMAIN, FLAGS, NO_DOMAIN, NO_PRINCIPLE, PRIORITY, RULE_ID, STAMP, SUBDOMAIN, TERM,
@@ -138,7 +139,7 @@ def rules_by_principle(concepts: DataFrame, rules: DataFrame) -> DataFrame:
     ids = usable_rules(rules).select(
         TERM, RULE_ID, F.coalesce(PRINCIPLE, F.lit(NO_PRINCIPLE)).alias("principio")
     ).distinct()
-    return terms.join(ids, TERM).groupBy("principio", DOMAIN).agg(F.count_distinct(RULE_ID).alias("n"))
+    return join_fanout(terms, ids, TERM, "inner").groupBy("principio", DOMAIN).agg(F.count_distinct(RULE_ID).alias("n"))
 
 
 def completeness(coverage: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def _sources(trace: DataFrame) -> DataFrame:
 def lineage_of_codes(codes: DataFrame, trace: DataFrame) -> DataFrame:
     """Where the given codes come from: system, schema, table, field, application."""
     wanted = with_id(codes.select(F.trim(CODE).alias(CODE))).filter(F.col(ID).isNotNull()).distinct()
-    return wanted.join(_sources(trace), ID).select(CODE, *LINEAGE_FIELDS.values())
+    return join_fanout(wanted, _sources(trace), ID, "inner").select(CODE, *LINEAGE_FIELDS.values())
 
 
 def codes_of_sources(sources: DataFrame, trace: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -194,5 +195,5 @@ def codes_of_sources(sources: DataFrame, trace: DataFrame, concepts: DataFrame)
     same = F.col("tabla").eqNullSafe(F.col("_tabla")) & F.col("campo").eqNullSafe(F.col("_campo"))
     hits = fields.join(wanted, same, "left_semi")
     codes = with_id(usable_concepts(concepts).select(CODE)).filter(F.col(ID).isNotNull()).distinct()
-    return hits.join(codes, ID).select("tabla", "campo", CODE)
+    return join_fanout(hits, codes, ID, "inner").select("tabla", "campo", CODE)
 

@@ -21,10 +21,11 @@ def sides(spark):
 
 
 @pytest.mark.parametrize("hot_rows, hot_keys", [(1, 1000), (4, 1000), (4, 1), (20, 3), (10**9, 1000)])
-def test_fanout_equals_plain_left_join(sides, hot_rows, hot_keys):
+def test_fanout_equals_plain_join(sides, hot_rows, hot_keys):
     left, right = sides
-    salted = join_fanout(left, right, "k", hot_rows=hot_rows, hot_keys=hot_keys)
-    assert bag(salted) == bag(left.join(right, "k", "left"))
+    for how in ("left", "inner"):
+        salted = join_fanout(left, right, "k", how, hot_rows=hot_rows, hot_keys=hot_keys)
+        assert bag(salted) == bag(left.join(right, "k", how))
 
 
 def test_fanout_with_hot_left_key_that_has_no_match(spark, sides):

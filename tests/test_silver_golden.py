@@ -126,7 +126,7 @@ def random_bronze(frame, seed):
     )
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_three_forms_of_the_report_agree(frame, seed):
     tables = random_bronze(frame, seed)
     wide = silver.silver(**tables, run_ts=RUN, hot_rows=5)
@@ -166,7 +166,7 @@ def test_fill_defaults_leaves_blanks(frame):
 # --- metrics over the same rows ------------------------------------------------
 
 
-@pytest.mark.parametrize("seed", [4, 5])
+@pytest.mark.parametrize("seed", [4])
 def test_dashboard_from_coverage_equals_silver(frame, seed):
     """Counts taken from compact rows equal those taken from the joined rows."""
     tables = random_bronze(frame, seed)
