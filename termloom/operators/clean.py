@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +23,25 @@ def normalise_headers(df: DataFrame, renames: dict[str, str] | None = None) -> D
     return df.toDF(*names)
 
 
+def column(name: str) -> Column:
+    """Column by its exact name: cleaned headers may hold dots and other signs."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def nullify_tokens(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Null tokens become null in every text column not named in ``keep``."""
     return df.select(
         *[
-            null_tokens(F.col(f.name)).alias(f.name)
+            null_tokens(column(f.name)).alias(f.name)
             if isinstance(f.dataType, T.StringType) and f.name not in keep
-            else F.col(f.name)
+            else column(f.name)
             for f in df.schema.fields
         ]
     )
 
 
 def drop_blank_rows(df: DataFrame) -> DataFrame:
-    return df.dropna(how="all")
+    return df.filter(reduce(or_, [column(c).isNotNull() for c in df.columns]))
 
 
 def drop_legend(df: DataFrame, entity: Entity) -> DataFrame:
@@ -85,5 +92,5 @@ def clean_sheet(raw: DataFrame, entity: Entity, run_ts: datetime | Column | None
 
 def keyed_rows(df: DataFrame, key: str, legend: str) -> DataFrame:
     """Rows with a usable key: not null, not blank, not the legend sentence."""
-    column = F.col(key)
-    return df.filter(column.isNotNull() & (column != legend) & (F.trim(column) != ""))
+    value = F.col(key)
+    return df.filter(value.isNotNull() & (value != legend) & (F.trim(value) != ""))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.clean import column
+
 
 def text_schema(headers: list[str]) -> T.StructType:
     return T.StructType([T.StructField(h, T.StringType()) for h in headers])
@@ -42,7 +43,7 @@ def read_sheet(
     if headers:
         reader = reader.schema(text_schema(headers))
     df = reader.format(fmt).load(path)
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    return df.select(*[column(c).cast("string").alias(c) for c in df.columns])
 
 
 def stream_sheet(

@@ -70,6 +70,14 @@ def test_trace_renames(frame):
     assert (row.aplicativos, row.sensible, row.data_entry) == ("x", "y", "z")
 
 
+def test_headers_with_dots_and_signs(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Nro. ítem,% cumplimiento,ID `regla` de calidad,ID regla de calidad\n1,2,3,R1\nnan,,,\n", encoding="utf-8")
+    raw = normalise_headers(read_sheet(spark, str(tmp_path)))
+    assert raw.columns == ["nro._item", "%_cumplimiento", "id_`regla`_de_calidad", "id_regla_de_calidad"]
+    rows = clean_sheet(read_sheet(spark, str(tmp_path)), RULE, RUN).collect()
+    assert [r.id_regla_de_calidad for r in rows] == ["R1"]
+
+
 def test_headers_that_clean_alike_are_refused(frame):
     with pytest.raises(ValueError, match="dato_critico"):
         normalise_headers(frame("a b", ("1", "2")).toDF("Dato crítico", "dato-critico"))
