@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from termloom.llm import quality, secrets
+from termloom.llm import bpe, quality, secrets, tokenfile
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_token_files": tokenfile.op7_token_files,
 }
 ORACLE = {
     "op2_quality_rules": quality.OP2_SQL,
