@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, mixing, quality, secrets, sharding, tokenfile
+from termloom.llm import bpe, mixing, quality, secrets, sharding, tokenfile, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_quality_rules": quality.op2_quality_rules,
     "op4_mixture": mixing.op4_mixture,
+    "op5_top_k": topk.op5_top_k,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_token_files": tokenfile.op7_token_files,
     "op10_shards": sharding.op10_shards,
 }
 ORACLE = {
     "op2_quality_rules": quality.OP2_SQL,
+    "op5_top_k": topk.OP5_SQL,
 }
