@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, mixing, quality, secrets, sharding, tokenfile, topk
+from termloom.llm import bpe, licenses, mixing, quality, secrets, sharding, tokenfile, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_mixture": mixing.op4_mixture,
     "op5_top_k": topk.op5_top_k,
     "op6_byte_bpe": bpe.op6_byte_bpe,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 ORACLE = {
     "op2_quality_rules": quality.OP2_SQL,
+    "op3_license_scan": licenses.OP3_SQL,
     "op5_top_k": topk.OP5_SQL,
 }
