@@ -18,6 +18,7 @@ are read; repeated rows give equal results.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import cache
 
 import duckdb
@@ -32,6 +33,7 @@ from termloom.llm.vocabulary import Remembered, pieces, read_ranks, slices
 LEVELS = 24
 CHUNK_BYTES = 1_000_000
 SHORT_BYTES = 64
+SLICE_CHARS = 8_000_000
 
 # One pair a step: for the many short pieces. A piece's tokens are a list that the step takes apart into
 # position rows and, after the join with the merge table, puts together again around the contracted pair.
@@ -141,8 +143,8 @@ class Coder:
                 return
             self.db.execute("CREATE OR REPLACE TABLE start AS FROM ended WHERE w IN (FROM unready)")
 
-    def made_of(self, words: list[str]) -> list[tuple[str, int, bytes]]:
-        """Of each piece: its ids joined by blanks, their number, and the bytes that they decode to."""
+    def made_of(self, words: list[str]) -> list[tuple[str, str]]:
+        """Of each piece: its ids joined by blanks, and the text that they decode to."""
         coded = [word.encode("utf-8", "surrogatepass") for word in words]
         out: list = [None] * len(words)
         for short in (True, False):
@@ -153,46 +155,41 @@ class Coder:
                     group.append(at)
                     size += len(one)
                     if size >= CHUNK_BYTES:
-                        self.fill(out, coded, group)
+                        self.fill(out, words, coded, group)
                         group, size = [], 0
             if group:
-                self.fill(out, coded, group)
+                self.fill(out, words, coded, group)
         return out
 
-    def fill(self, out: list, coded: list[bytes], group: list[int]) -> None:
+    def fill(self, out: list, words: list[str], coded: list[bytes], group: list[int]) -> None:
         self.fixpoint([coded[at] for at in group])
         made = self.db.execute(
-            "SELECT string_agg(t::VARCHAR, ' ' ORDER BY i), count(*), unhex(string_agg(bytes, '' ORDER BY i)) "
+            "SELECT string_agg(t::VARCHAR, ' ' ORDER BY i), unhex(string_agg(bytes, '' ORDER BY i)) "
             "FROM tokens JOIN vocabulary ON id = t GROUP BY w ORDER BY w"
         ).fetchall()
-        for at, one in zip(group, made, strict=True):
-            out[at] = one
+        for at, (ids, decoded) in zip(group, made, strict=True):
+            # The text of a good round trip is the piece itself and takes no memory of its own.
+            out[at] = ids, words[at] if decoded == coded[at] else decoded.decode()
 
 
 @cache
 def remembered(path: str) -> Remembered:
     """One for each worker process and vocabulary."""
-    return Remembered(Coder(path).made_of, most=400_000)
+    return Remembered(Coder(path).made_of)
 
 
-def coded_texts(texts: list[str], path: str):
-    """(ids joined by blanks, number of ids, decoded bytes) of each text."""
+def coded_texts(texts: list[str], path: str) -> Iterator[tuple[str, int, str]]:
+    """(ids joined by blanks, number of ids, decoded text) of each text."""
     memory = remembered(path)
-    for some in slices(texts):
-        split = [pieces(text) for text in some]
-        known = memory.learn(split)
-        for words in split:
-            made = list(map(known, words))
-            yield " ".join([m[0] for m in made]), sum([m[1] for m in made]), b"".join([m[2] for m in made])
+    for some in slices(texts, SLICE_CHARS):
+        for made in memory.of([pieces(text) for text in some]):
+            ids = " ".join([m[0] for m in made])
+            yield ids, ids.count(" ") + 1 if ids else 0, "".join([m[1] for m in made])
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (decimal, joined by blanks), n_tokens and the decoded text of each row."""
-
-    def rows(texts: list[str]) -> list[tuple]:
-        return [(ids, n, decoded.decode("utf-8")) for ids, n, decoded in coded_texts(texts, path)]
-
-    return per_text(docs, rows, "ids string, n_tokens long, decoded string")
+    return per_text(docs, lambda texts: list(coded_texts(texts, path)), "ids string, n_tokens long, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -200,7 +197,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(texts: list[str]) -> list[tuple]:
         return [
-            (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+            (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
             for ids, n, decoded in coded_texts(texts, path)
         ]
 

@@ -1,4 +1,4 @@
-"""Public vocabularies, the split of a text into pieces, and a bounded memory of pieces seen."""
+"""Public vocabularies, the split of a text into parts, and a bounded memory of parts seen."""
 
 from __future__ import annotations
 
@@ -15,10 +15,10 @@ EXACT = regex.compile(public_tokenizers.PATTERN)
 
 
 @cache
-def _odd_characters() -> re.Pattern:
+def _odd_characters() -> frozenset[str]:
     """Where the standard library's classes differ from Unicode's L, N and white space."""
-    numerals = (c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile("[\x1c-\x1f" + "".join(numerals) + "]")
+    every = map(chr, range(0x110000))
+    return frozenset(c for c in every if "\x1c" <= c <= "\x1f" or c.isalnum() and not c.isalpha() and not c.isdecimal())
 
 
 @cache
@@ -31,7 +31,18 @@ def _common() -> re.Pattern:
 
 def pieces(text: str) -> list[str]:
     """The pieces of a text that are encoded each by itself."""
-    return EXACT.findall(text) if _odd_characters().search(text) else _common().findall(text)
+    return _common().findall(text) if _odd_characters().isdisjoint(text) else EXACT.findall(text)
+
+
+OTHER_SPACE = re.compile(r"[^\S \n]")
+PAIRS = ("  ", " \n", "\n ", "\n\n")
+CHUNK = re.compile(r" ?[^ \n]+|[ \n]")
+
+
+def chunks(text: str) -> list[str]:
+    """Runs of whole pieces. Where white space is only single blanks and line feeds, each of them begins a piece."""
+    loose = any(pair in text for pair in PAIRS) or OTHER_SPACE.search(text)
+    return pieces(text) if loose else CHUNK.findall(text)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,16 +64,33 @@ def slices(texts: list[str], most_chars: int = 2_000_000) -> Iterator[list[str]]
         yield held
 
 
+class Numbered(dict):
+    """Gives each key that it is asked for the next whole number."""
+
+    def __init__(self):
+        self.order: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self.order)
+        self.order.append(key)
+        return number
+
+
 class Remembered:
-    """Pieces and what was made of them. It forgets all once it holds ``most`` pieces, and then makes them anew."""
-
-    def __init__(self, make: Callable[[list[str]], list], most: int = 600_000):
-        self.make, self.most, self.known = make, most, {}
-
-    def learn(self, texts: list[list[str]]) -> Callable[[str], object]:
-        """A look-up that knows every piece of these texts."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list({piece for text in texts for piece in text if piece not in self.known})
-        self.known.update(zip(new, self.make(new)))
-        return self.known.__getitem__
+    """Parts of texts and what was made of each. Beyond ``most`` parts it forgets all and makes them anew."""
+
+    def __init__(self, make: Callable[[list[str]], list], most: int = 900_000):
+        self.make, self.most = make, most
+        self.numbers, self.values = Numbered(), []
+
+    def of(self, texts: list[list[str]]) -> Iterator[list]:
+        """The values of the parts of each text."""
+        if len(self.values) > self.most:
+            self.numbers, self.values = Numbered(), []
+        number = self.numbers.__getitem__
+        coded = [list(map(number, parts)) for parts in texts]
+        if new := self.numbers.order[len(self.values) :]:
+            self.values += self.make(new)
+        value = self.values.__getitem__
+        for codes in coded:
+            yield list(map(value, codes))
