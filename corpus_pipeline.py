@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import quality, secrets
+from termloom.llm import bpe, jaccard, mixing, quality, secrets
 from termloom.llm.common import stored, table
 
 
@@ -17,14 +17,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_rows(docs)
 
 
+def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least id stays."""
+    return jaccard.one_of_each(docs)
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text becomes a mask; the documents stay."""
     return secrets.masked(docs)
 
 
+def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return mixing.mixture(docs)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids (decimal, joined by blanks), n_tokens, and round_trip: 1 if the ids decode to the text."""
+    return bpe.encoded(docs, bpe.default_ranks())
+
+
 STAGES = [
     ("quality_rules", quality_stage),
+    ("jaccard_join", duplicates_stage),
     ("secret_scan", secrets_stage),
+    ("mixture", mixture_stage),
+    ("byte_bpe", tokens_stage),
 ]
 # The stages draw on hashes and vocabularies that SQL lacks; tests hold them against brute force.
 ORACLE_SQL = None

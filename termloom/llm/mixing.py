@@ -38,8 +38,8 @@ def preference(size: Column) -> Column:
     return F.when(size >= LONG_TEXT, 2).otherwise(1)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, preference, u in (0, 1), tie (a hash of the document), row."""
+def measured(docs: DataFrame, row: Column) -> DataFrame:
+    """doc_id, source, size, preference, u in (0, 1), tie (a hash of the document), row (a number of its own)."""
     unit = F.pmod(F.xxhash64("doc_id", "text", "source", F.lit(SEED)), F.lit(1 << 53))
     size = word_count(F.col("text"))
     return docs.select(
@@ -49,7 +49,7 @@ def measured(docs: DataFrame) -> DataFrame:
         preference(size).alias("preference"),
         ((unit + 0.5) / float(1 << 53)).alias("u"),
         F.xxhash64("doc_id", "text", "source", F.lit(SEED + 1)).alias("tie"),
-        F.monotonically_increasing_id().alias("row"),
+        row.alias("row"),
     )
 
 
@@ -155,9 +155,12 @@ def cuts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return at
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and copies of every row."""
-    rows = stored(measured(docs), "mix-rows")
+def mixed(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies and row of every row.
+
+    ``row``: a whole number that names each row of ``docs``; by default its place in the input.
+    """
+    rows = stored(measured(docs, F.monotonically_increasing_id() if row is None else row), "mix-rows")
     classes = rows.groupBy("source", "preference").agg(F.sum("size").alias("words"))
     of_source = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
     copies = stored(expected_copies(classes, of_source), "mix-copies")
@@ -199,5 +202,18 @@ def mixed(docs: DataFrame) -> DataFrame:
     )
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """The rows of the mix, each as often as it is taken, with their own columns."""
+    number = "__row"
+    while number in docs.columns:
+        number += "_"
+    # The numbers are written with the rows, so that they cannot change between here and the join.
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "mix-documents")
+    counts = mixed(rows, F.col(number)).filter("copies > 0").select("row", "copies")
+    taken = rows.join(counts.withColumnsRenamed({"row": "__of", "copies": "__copies"}), F.col(number) == F.col("__of"))
+    again = F.explode(F.sequence(F.lit(1), F.col("__copies")))
+    return taken.withColumn(number, again).select(*docs.columns)
+
+
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

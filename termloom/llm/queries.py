@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, licenses, mixing, quality, repeats, secrets, sharding, tokenfile, topk
+from termloom.llm import bpe, jaccard, licenses, mixing, quality, repeats, secrets, sharding, tokenfile, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_top_k": topk.op5_top_k,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_token_files": tokenfile.op7_token_files,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_repeats": repeats.op9_repeats,
     "op10_shards": sharding.op10_shards,
 }
