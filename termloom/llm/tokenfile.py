@@ -19,8 +19,9 @@ Cases: a null text is an empty text, with only the end id. Repeated rows are kep
 
 from __future__ import annotations
 
+import os
 import struct
-import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,9 +33,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from termloom.llm.common import table
-from termloom.llm.vocabulary import Remembered, pieces, slices
+from termloom.llm.vocabulary import Remembered, chunks, slices
 from termloom.session import shared_folder
 
 FRAME_BYTES = 1 << 18  # of ids; a frame ends with the document that reaches it
@@ -150,28 +152,24 @@ class OpenFile:
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizer gives them, with each piece encoded once."""
+    """Ids of whole texts, as the tokenizer gives them, with each part of a text encoded once."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memory = Remembered(self.encoded)
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(one.ids, dtype="<u4").tobytes() for one in made]
+    def encoded(self, parts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [array("I", one.ids).tobytes() for one in made]
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
+        """A text with the wording of a special token is one part, since that may span parts."""
         for some in slices(texts):
-            split = [[] if any(s in text for s in self.special) else pieces(text) for text in some]
-            known = self.memory.learn(split)
-            for text, words in zip(some, split):
-                yield b"".join(map(known, words)) if words or not text else self.encoded([text])[0]
+            split = [[text] if any(s in text for s in self.special) else chunks(text) for text in some]
+            yield from map(b"".join, self.memory.of(split))
 
 
 @cache
