@@ -192,6 +192,16 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     return per_text(docs, lambda texts: list(coded_texts(texts, path)), "ids string, n_tokens long, decoded string")
 
 
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, n_tokens, and whether decoding the ids gives the text again."""
+
+    def rows(texts: list[str]) -> list[tuple]:
+        made = coded_texts(texts, path)
+        return [(ids, n, int(decoded == text)) for text, (ids, n, decoded) in zip(texts, made)]
+
+    return per_text(docs, rows, "ids string, n_tokens long, round_trip long")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and sha256 of the ids joined by blanks and of the decoded bytes."""
 
