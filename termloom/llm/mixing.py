@@ -71,8 +71,9 @@ def targets(sums: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = M
             (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("most").over(by_reach.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
             / F.sum("weight").over(by_reach.rowsBetween(0, Window.unboundedFollowing))
         ).alias("candidate"),
+        F.row_number().over(by_reach).alias("place"),
     )
-    level = F.min(F.when(F.col("candidate") <= F.col("reach"), F.struct("reach", "candidate"))).over(everything)["candidate"]
+    level = F.min(F.when(F.col("candidate") <= F.col("reach"), F.struct("place", "candidate"))).over(everything)["candidate"]
     return levels.withColumn("level", level).select(
         "source",
         "source_size",
