@@ -55,7 +55,7 @@ class Block:
         self.ids = np.array(ids, dtype=np.int64)
         lengths = np.array([len(v) for v in vectors])
         self.parts = {
-            int(n): (np.flatnonzero(lengths == n), np.array([v for v in vectors if len(v) == n], dtype=np.int64).reshape(-1, n))
+            int(n): (own := np.flatnonzero(lengths == n), np.array([vectors[i] for i in own], dtype=np.int64).reshape(len(own), n))
             for n in np.unique(lengths)
         }
 
