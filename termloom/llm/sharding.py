@@ -7,8 +7,8 @@ corpus, which is the only thing that reaches the driver: units go, the largest f
 product of the unit with the shard's residual capacity (both as shares of the corpus, bytes weighing
 fourfold) is highest.
 
-A group of more than a quarter of a shard is cut into equal pieces by a hash of its rows' ids, since a
-third of the corpus in one group would fit no shard; each piece is a unit.
+A group that fits no shard, such as a third of the corpus, is cut into equal pieces of at most a quarter of a shard
+by a hash of its rows; each piece is a unit. All other groups stay whole.
 
 The law held is ``bytes``: sizes near equal. Cases: a null text has no bytes and no words and is a group of its own;
 an empty table gives no rows. Repeated rows stay in their group and get slots of their own. Only ``doc_id`` and
@@ -66,16 +66,16 @@ def units_of(rows: DataFrame, shards: int) -> tuple[DataFrame, dict[str, int]]:
     share = F.greatest(*[F.col(d) / whole[d] for d in DIMENSIONS])
     # At most 3 / LARGE_SHARE groups can hold so large a share.
     large = {r["group"]: r["share"] for r in groups.select("group", share.alias("share")).filter(share > LARGE_SHARE).collect()}
-    most = PIECE_OF_SHARD / shards
-    pieces = {g: int(-(-s // most)) if s > most else 1 for g, s in large.items()}
+    piece = PIECE_OF_SHARD / shards
+    pieces = {g: int(-(-s // piece)) if s > 1 / shards else 1 for g, s in large.items()}
     bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("group"), F.lit(BUNDLES)).cast("string"))
     if not pieces:
         return rows.withColumn("unit", bundle), pieces
     spark = rows.sparkSession
     table_of = spark.createDataFrame(list(pieces.items()), "group string, pieces int")
-    piece = F.pmod(F.xxhash64("doc_id", "row"), F.col("pieces"))
+    own_piece = F.pmod(F.xxhash64("doc_id", "row"), F.col("pieces"))
     joined = rows.join(F.broadcast(table_of), "group", "left")
-    unit = F.when(F.col("pieces").isNull(), bundle).otherwise(F.concat("group", F.lit(":"), piece.cast("string")))
+    unit = F.when(F.col("pieces").isNull(), bundle).otherwise(F.concat("group", F.lit(":"), own_piece.cast("string")))
     return joined.withColumn("unit", unit).drop("pieces"), pieces
 
 
