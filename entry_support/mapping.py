@@ -23,7 +23,12 @@ Work grows with the tables: matches per key stay the same at every scale.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from termloom.schemas import CONCEPTS, RULES, TRACE
 
 # Schemas of the tables read here: stated, so that no job has to infer them.
 TABLES = {
@@ -45,7 +50,7 @@ VIEWS = {
 select case when p_size % 25 = 0 then 'CRM-' || p_type
             when p_size % 10 = 3 then ' CRM' || lpad(cast(p_partkey as {STRING}), 9, '0') || ' '
             else 'CRM' || lpad(cast(p_partkey as {STRING}), 9, '0') end as codigo_de_entidad_del_dato,
-  p_name as concepto_de_negocio,
+  case when p_size % 19 = 0 then p_name || chr(10) || '"cita", fin' else p_name end as concepto_de_negocio,
   case when p_size % 17 = 0 then null
        when p_size % 13 = 0 then ' Termino ' || cast(cast(floor(p_partkey / 2) as bigint) as {STRING}) || ' '
        else 'Termino ' || cast(cast(floor(p_partkey / 2) as bigint) as {STRING}) end as termino_de_negocio,
@@ -63,6 +68,9 @@ from {part}
 union all select 'Identificador único secuencial, asignado al Entidad de Dato por Data Officer',
   'x','x','x','x','x','x','x','x','x','x','x', cast('2024-01-01' as {TS})
 union all select '  ','x','x','x','x','x','x','x','x','x','x','x', cast('2024-01-01' as {TS})
+union all select ' ','z','y','x','x','x','x','x','x','x','x','x', cast('2024-01-02' as {TS})
+union all select null,'n1','x','x','x','x','x','x','x','x','x','x', cast('2024-01-02' as {TS})
+union all select null,'n2','x','x','x','x','x','x','x','x','x','x', cast('2024-01-03' as {TS})
 """,
     ),
     "fx_rules": (
@@ -160,6 +168,9 @@ from {orders}
 select 'CRM' || lpad(cast(user_id as {STRING}), 9, '0') as codigo_de_entidad_del_dato,
   event_type as prioridad_del_entidad_de_dato, value as peso, event_id, ts as ingestion_date
 from {events}
+union all select case when event_id % 3 = 0 then null else 'CRM' || lpad(cast(user_id as {STRING}), 9, '0') end,
+  'empate', value + 1, event_id, ts
+from {events} where event_id % 20 < 3
 """,
     ),
     "fx_sheet": (
@@ -178,6 +189,23 @@ from {lineitem}
 }
 
 
+def _all_columns(view: str, contract: StructType) -> None:
+    """Fill the columns of a contract that a view does not map, from one that it does."""
+    table, text = VIEWS[view]
+    mapped = re.findall(r"\bas (\w+)\s*(?:,|\nfrom|$)", text.split("union all")[0])
+    source = next(c for c in ("concepto_de_negocio", "tipo_de_regla_de_calidad", "nombre_de_entidad_del_dato") if c in mapped)
+    more = ", ".join(
+        f"case when length({source}) % {i % 5 + 2} = 0 then null else '{f.name[:4]} ' || substr({source}, {i % 7 + 1}, 5) end as {f.name}"
+        for i, f in enumerate(contract.fields)
+        if f.name not in mapped
+    )
+    VIEWS[view] = table, f"\nselect v.*, {more} from ({text}) v\n"
+
+
+for _view, _contract in (("fx_concepts", CONCEPTS), ("fx_rules", RULES), ("fx_trace", TRACE)):
+    _all_columns(_view, _contract)
+
+
 def spark_view(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     table, text = VIEWS[view]
     filled = text.replace("{STRING}", "string").replace("{TS}", "timestamp_ntz")

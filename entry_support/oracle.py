@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
+from termloom.schemas import CONCEPT, LINEAGE, RULE
+
 from .mapping import VIEWS, sql_view
 
+CONCEPT_NAMES, RULE_NAMES, TRACE_NAMES = (list(e.schema.names) for e in (CONCEPT, RULE, LINEAGE))
+
 YES_LIST = "('Sí', 'SI', 'si', 'sí', 'S')"
 NULL_LIST = (
     "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', "
@@ -48,6 +52,12 @@ def _mean(column: str) -> str:
     return f"coalesce(round({total} / nullif(count({column}), 0), 4), 0.0)"
 
 
+# What the insert batch holds and a concept takes.
+INSERTED = (
+    "codigo_de_entidad_del_dato", "concepto_de_negocio", "termino_de_negocio", "nombre_del_dominio",
+    "nombre_del_subdominio", "data_owner", "prioridad_del_entidad_de_dato", "dato_critico",
+)
+
 # Building blocks, each a common table expression. Only those a query names,
 # directly or through others, are put in front of it.
 PARTS = {
@@ -110,15 +120,14 @@ select * replace ({_number('umbral_superior')} as umbral_superior, {_number('umb
     case when {_strip('umbral_inferior')} is not null and {_number('umbral_inferior')} is null
       then 'umbral_inferior' end) as bad_values
 from fx_rule_edits""",
-    "new_concepts": f"""
-select {_strip('codigo_de_entidad_del_dato')} as codigo_de_entidad_del_dato,
-  {_strip('concepto_de_negocio')} as concepto_de_negocio, {_strip('termino_de_negocio')} as termino_de_negocio,
-  {_strip('nombre_del_dominio')} as nombre_del_dominio, {_strip('nombre_del_subdominio')} as nombre_del_subdominio,
-  {_strip('data_owner')} as data_owner, cast(null as varchar) as tipo_de_dato,
-  {_strip('prioridad_del_entidad_de_dato')} as prioridad_del_entidad_de_dato,
-  {_strip('dato_critico')} as dato_critico, cast(null as varchar) as definicion_de_negocio,
-  cast(null as varchar) as personal, cast(null as varchar) as logica_de_calculo, {RUN} as ingestion_date
-from inserts_checked where missing_fields = '' and bad_values = ''""",
+    "new_concepts": "select "
+    + ", ".join(
+        f"{_strip(c)} as {c}" if c in INSERTED
+        else f"{RUN} as {c}" if c == "ingestion_date"
+        else f"cast(null as varchar) as {c}"
+        for c in CONCEPT_NAMES
+    )
+    + " from inserts_checked where missing_fields = '' and bad_values = ''",
     "edits": f"""
 select {_strip('codigo_de_entidad_del_dato')} as k, {_strip('concepto_de_negocio')} as concepto_de_negocio,
   {_strip('termino_de_negocio')} as termino_de_negocio, {_strip('nombre_del_dominio')} as nombre_del_dominio,
@@ -126,35 +135,29 @@ select {_strip('codigo_de_entidad_del_dato')} as k, {_strip('concepto_de_negocio
   {_strip('tipo_de_dato')} as tipo_de_dato, {_strip('prioridad_del_entidad_de_dato')} as prioridad_del_entidad_de_dato,
   {_strip('dato_critico')} as dato_critico, {_strip('definicion_de_negocio')} as definicion_de_negocio
 from fx_updates qualify row_number() over (partition by {_strip('codigo_de_entidad_del_dato')} order by seq desc) = 1""",
-    "stored": """
-select codigo_de_entidad_del_dato, concepto_de_negocio, termino_de_negocio, nombre_del_dominio,
-  nombre_del_subdominio, data_owner, tipo_de_dato, prioridad_del_entidad_de_dato, dato_critico,
-  definicion_de_negocio, personal, cast(null as varchar) as logica_de_calculo, ingestion_date from fx_concepts""",
-    "updated": "select codigo_de_entidad_del_dato, "
+    "stored": f"select {', '.join(CONCEPT_NAMES)} from fx_concepts",
+    "updated": "select "
     + ", ".join(
         f"case when e.k is null then c.{c} else e.{c} end as {c}"
-        for c in (
+        if c in (
             "concepto_de_negocio", "termino_de_negocio", "nombre_del_dominio", "nombre_del_subdominio",
             "data_owner", "tipo_de_dato", "prioridad_del_entidad_de_dato", "dato_critico", "definicion_de_negocio",
         )
+        else f"case when e.k is null then c.{c} else {RUN} end as {c}" if c == "ingestion_date"
+        else f"c.{c}"
+        for c in CONCEPT_NAMES
     )
-    + f""", c.personal, c.logica_de_calculo,
-  case when e.k is null then c.ingestion_date else {RUN} end as ingestion_date
-from stored c left join edits e on c.codigo_de_entidad_del_dato = e.k""",
+    + " from stored c left join edits e on c.codigo_de_entidad_del_dato = e.k",
     "deleted_codes": """
 select 'CRM' || lpad(regexp_extract(codigo_de_entidad_del_dato, '([0-9]+)$', 1), 9, '0') as k
 from fx_custom where codigo_de_entidad_del_dato is not null""",
-    "before": """
-select codigo_de_entidad_del_dato as k, concepto_de_negocio, termino_de_negocio, nombre_del_dominio,
-  nombre_del_subdominio, prioridad_del_entidad_de_dato from stored""",
+    "before": "select *, codigo_de_entidad_del_dato as k from stored",
     "after": """
-select codigo_de_entidad_del_dato as k, concepto_de_negocio, termino_de_negocio, nombre_del_dominio,
-  nombre_del_subdominio, prioridad_del_entidad_de_dato from (
+select *, codigo_de_entidad_del_dato as k from (
   select * from updated u where not exists (select 1 from deleted_codes d where d.k = u.codigo_de_entidad_del_dato)
   union all select * from new_concepts)""",
     "diff_rows": """
-select k, concepto_de_negocio, termino_de_negocio, nombre_del_dominio, nombre_del_subdominio,
-  prioridad_del_entidad_de_dato, cast(sum(n) as bigint) as n
+select * exclude (n), cast(sum(n) as bigint) as n
 from (select *, -1 as n from before union all select *, 1 as n from after)
 group by all having sum(n) <> 0""",
     "paired": """
@@ -182,29 +185,38 @@ select nombre_del_dominio, nombre_del_subdominio,
   {_mean('umbral_inferior')} as promedio_umbral_inferior, {RUN} as ultimo_procesamiento
 from g group by 1, 2"""
 
-LATEST = (
-    "codigo_de_entidad_del_dato, concepto_de_negocio, termino_de_negocio, nombre_del_dominio, "
-    "nombre_del_subdominio, data_owner, ingestion_date"
-)
+LATEST = ", ".join(CONCEPT_NAMES)
 NEWEST_ORDER = ", ".join(
-    f"{c} desc nulls last"
-    for c in ("ingestion_date", "codigo_de_entidad_del_dato", "concepto_de_negocio", "termino_de_negocio",
-              "nombre_del_dominio", "nombre_del_subdominio", "data_owner")
-)
-CONCEPT_CHANGES = (
-    "codigo_de_entidad_del_dato, concepto_de_negocio, termino_de_negocio, nombre_del_dominio, "
-    "nombre_del_subdominio, data_owner, tipo_de_dato, prioridad_del_entidad_de_dato, dato_critico, "
-    "definicion_de_negocio, personal, logica_de_calculo, ingestion_date"
-)
-RULE_CHANGES = (
-    "id_regla_de_calidad, termino_de_negocio, descripcion_de_regla_de_calidad, tipo_de_regla_de_calidad, "
-    "principio_de_calidad_asociado, umbral_superior, umbral_inferior, ingestion_date"
-)
-TRACE_CHANGES = (
-    "codigo_de_entidad_del_dato, nombre_de_entidad_del_dato, aplicativos, fuente_oficial, tabla_en_fuente_oficial, "
-    "campo_en_fuente_oficial, cast(null as varchar) as data_owner, "
-    "cast(null as varchar) as periodicidad_de_actualizacion, ingestion_date"
+    f"{c} desc nulls last" for c in ("ingestion_date", *[c for c in CONCEPT_NAMES if c != "ingestion_date"])
 )
+CONCEPT_CHANGES = LATEST
+RULE_CHANGES, TRACE_CHANGES = ", ".join(RULE_NAMES), ", ".join(TRACE_NAMES)
+RULE_UPDATES = {
+    "termino_de_negocio": _strip("e.termino_de_negocio"),
+    "descripcion_de_regla_de_calidad": _strip("e.descripcion_de_regla_de_calidad"),
+    "tipo_de_regla_de_calidad": _strip("e.tipo_de_regla_de_calidad"),
+    "principio_de_calidad_asociado": _strip("e.principio_de_calidad_asociado"),
+    "umbral_superior": "e.umbral_superior",
+    "umbral_inferior": "e.umbral_inferior",
+}
+NEW_RULE = {
+    "id_regla_de_calidad": "'NR' || cast(seq as varchar)",
+    **{c: v.replace("e.", "") for c, v in RULE_UPDATES.items()},
+    "ingestion_date": RUN,
+}
+NEW_TRACE = {
+    "codigo_de_entidad_del_dato": _strip("codigo_de_entidad_del_dato"),
+    "nombre_de_entidad_del_dato": _strip("concepto_de_negocio"),
+    "aplicativos": _strip("nombre_del_dominio"),
+    "ingestion_date": RUN,
+}
+
+
+def _row(names: list[str], values: dict[str, str]) -> str:
+    """A select list of all columns, null where no value is given."""
+    return ", ".join(f"{values.get(c, 'null')} as {c}" for c in names)
+
+
 # Columns of the trace contract that the sheet lacks.
 TRACE_PADDING = (
     "iniciativa caso_de_uso tabla_del_entidad_de_dato_omg campo_del_entidad_de_dato_omg nombre_de_entidad_del_dato "
@@ -215,21 +227,23 @@ TRACE_PADDING = (
     "motivo_de_actualizacion_en_el_diccionario_tecnico responsable_de_la_actualizacion_en_el_diccionario_tecnico"
 ).split()
 
-SHEET_RULES = f"""
-select {_token('id_regla_de_calidad')}, {_token('termino_de_negocio')}, {_token('principio_de_calidad_asociado')},
-  {_threshold('umbral_superior')} as umbral_superior, {_threshold('umbral_inferior')} as umbral_inferior
-from fx_rules where id_regla_de_calidad is distinct from {RULE_LEGEND}"""
+def _sheet(view: str, names: list[str], legend: str) -> str:
+    """All columns of a sheet after cleaning; a row without any value is dropped."""
+    def cleaned(c: str) -> str:
+        if c == "ingestion_date":
+            return f"{RUN} as {c}"
+        return f"{_threshold(c)} as {c}" if c in ("umbral_superior", "umbral_inferior") else _token(c)
+
+    key = next(c for c in ("id_regla_de_calidad", "codigo_de_entidad_del_dato") if c in names)
+    return f"select {', '.join(map(cleaned, names))} from {view} where {key} is distinct from {legend}"
+
+
+SHEET_RULES = _sheet("fx_rules", RULE_NAMES, RULE_LEGEND)
 
 QUERIES = {
-    "sheet_concepts": f"""
-select {", ".join(_token(c) for c in ("codigo_de_entidad_del_dato", "concepto_de_negocio", "termino_de_negocio",
-    "nombre_del_dominio", "dato_critico", "personal", "definicion_de_negocio"))}
-from fx_concepts where codigo_de_entidad_del_dato is distinct from {CONCEPT_LEGEND}""",
+    "sheet_concepts": _sheet("fx_concepts", CONCEPT_NAMES, CONCEPT_LEGEND),
     "sheet_rules": SHEET_RULES,
-    "sheet_trace": f"""
-select {", ".join(_token(c) for c in ("codigo_de_entidad_del_dato", "aplicativos", "fuente_oficial",
-    "tabla_en_fuente_oficial", "campo_en_fuente_oficial"))}
-from fx_trace where codigo_de_entidad_del_dato is distinct from {TRACE_LEGEND}""",
+    "sheet_trace": _sheet("fx_trace", TRACE_NAMES, TRACE_LEGEND),
     "stream_ingest": SHEET_RULES,
     "bronze_null_tokens": "select * from sheet_clean",
     "bronze_blank_rows": """
@@ -296,66 +310,60 @@ from fx_concepts group by 1 order by 2 desc, 1 limit 10""",
     "top_principles": """
 select coalesce(principio_de_calidad_asociado, 'Sin principio') as principio, count(*) as total
 from fx_rules group by 1 order by 2 desc, 1 limit 10""",
-    "latest_records": f"""
-select {LATEST} from fx_concepts order by ingestion_date desc nulls last, codigo_de_entidad_del_dato nulls last,
-  concepto_de_negocio nulls last, termino_de_negocio nulls last, nombre_del_dominio nulls last,
-  nombre_del_subdominio nulls last, data_owner nulls last limit 50""",
+    "latest_records": "select * from (select "
+    + LATEST
+    + " from fx_concepts) order by ingestion_date desc nulls last, "
+    + ", ".join(f"{c} nulls last" for c in CONCEPT_NAMES if c != "ingestion_date")
+    + " limit 50",
     "latest_records_all": f"select {LATEST} from fx_concepts order by ingestion_date desc nulls last",
     "change_insert": f"select {CONCEPT_CHANGES} from stored union all select {CONCEPT_CHANGES} from new_concepts",
     "change_insert_rules": f"""
 select {RULE_CHANGES} from b_rules
-union all select 'NR' || cast(seq as varchar), {_strip('termino_de_negocio')},
-  {_strip('descripcion_de_regla_de_calidad')}, {_strip('tipo_de_regla_de_calidad')},
-  {_strip('principio_de_calidad_asociado')}, umbral_superior, umbral_inferior, {RUN}
+union all select {_row(RULE_NAMES, NEW_RULE)}
 from rule_edits_checked where bad_values = '' and coalesce(termino_de_negocio, '') <> ''""",
     "change_insert_trace": f"""
 select {TRACE_CHANGES} from fx_trace
-union all select {_strip('codigo_de_entidad_del_dato')}, {_strip('concepto_de_negocio')},
-  {_strip('nombre_del_dominio')}, null, null, null, null, null, {RUN}
+union all select {_row(TRACE_NAMES, NEW_TRACE)}
 from fx_inserts where coalesce(codigo_de_entidad_del_dato, '') <> ''""",
     "change_update": f"select {CONCEPT_CHANGES} from updated",
-    "change_update_rules": f"""
+    "change_update_rules": """
 with last_edit as (select * from rule_edits_checked where bad_values = ''
   qualify row_number() over (partition by id_regla_de_calidad order by seq desc) = 1)
-select r.id_regla_de_calidad, """
+select """
     + ", ".join(
-        f"case when e.seq is null then r.{c} else {value} end as {c}"
-        for c, value in (
-            ("termino_de_negocio", _strip("e.termino_de_negocio")),
-            ("descripcion_de_regla_de_calidad", _strip("e.descripcion_de_regla_de_calidad")),
-            ("tipo_de_regla_de_calidad", _strip("e.tipo_de_regla_de_calidad")),
-            ("principio_de_calidad_asociado", _strip("e.principio_de_calidad_asociado")),
-            ("umbral_superior", "e.umbral_superior"),
-            ("umbral_inferior", "e.umbral_inferior"),
-        )
+        f"case when e.seq is null then r.{c} else {({**RULE_UPDATES, 'ingestion_date': RUN})[c]} end as {c}"
+        if c in RULE_UPDATES or c == "ingestion_date"
+        else f"r.{c}"
+        for c in RULE_NAMES
     )
-    + f""", case when e.seq is null then r.ingestion_date else {RUN} end as ingestion_date
-from b_rules r left join last_edit e on r.id_regla_de_calidad = e.id_regla_de_calidad""",
+    + " from b_rules r left join last_edit e on r.id_regla_de_calidad = e.id_regla_de_calidad",
     "change_update_trace": f"""
 with last_edit as (select 'POL' || cast(cast(substr(trim(codigo_de_entidad_del_dato), 4) as bigint) as varchar) as k,
     {_strip('concepto_de_negocio')} as nombre_de_entidad_del_dato, 'APP' as aplicativos,
     {_strip('termino_de_negocio')} as fuente_oficial, 'T' as tabla_en_fuente_oficial,
     cast(null as varchar) as campo_en_fuente_oficial, {_strip('data_owner')} as data_owner,
     {_strip('prioridad_del_entidad_de_dato')} as periodicidad_de_actualizacion
-  from fx_updates qualify row_number() over (partition by codigo_de_entidad_del_dato order by seq desc) = 1),
-  held as (select {TRACE_CHANGES} from fx_trace)
-select t.codigo_de_entidad_del_dato, """
+  from fx_updates qualify row_number() over (partition by codigo_de_entidad_del_dato order by seq desc) = 1)
+select """
     + ", ".join(
-        f"case when e.k is null then t.{c} else e.{c} end as {c}"
-        for c in ("nombre_de_entidad_del_dato", "aplicativos", "fuente_oficial", "tabla_en_fuente_oficial",
-                  "campo_en_fuente_oficial", "data_owner", "periodicidad_de_actualizacion")
+        f"case when e.k is null then t.{c} else {RUN if c == 'ingestion_date' else 'e.' + c} end as {c}"
+        if c in (
+            "nombre_de_entidad_del_dato", "aplicativos", "fuente_oficial", "tabla_en_fuente_oficial",
+            "campo_en_fuente_oficial", "data_owner", "periodicidad_de_actualizacion", "ingestion_date",
+        )
+        else f"t.{c}"
+        for c in TRACE_NAMES
     )
-    + f""", case when e.k is null then t.ingestion_date else {RUN} end as ingestion_date
-from held t left join last_edit e on t.codigo_de_entidad_del_dato = e.k""",
-    "change_delete": """
-select codigo_de_entidad_del_dato, termino_de_negocio from fx_concepts c
+    + " from fx_trace t left join last_edit e on t.codigo_de_entidad_del_dato = e.k",
+    "change_delete": f"""
+select {LATEST} from fx_concepts c
 where not exists (select 1 from deleted_codes d where d.k = c.codigo_de_entidad_del_dato)""",
-    "change_delete_rules": """
-select id_regla_de_calidad, termino_de_negocio from fx_rules r where not exists (
+    "change_delete_rules": f"""
+select {RULE_CHANGES} from b_rules r where not exists (
   select 1 from fx_custom where 'RC' || cast(cast(regexp_extract(codigo_de_entidad_del_dato, '([0-9]+)$', 1) as bigint)
     as varchar) = r.id_regla_de_calidad)""",
-    "change_delete_trace": """
-select codigo_de_entidad_del_dato, aplicativos, fuente_oficial from fx_trace t where not exists (
+    "change_delete_trace": f"""
+select {TRACE_CHANGES} from fx_trace t where not exists (
   select 1 from fx_custom u where t.codigo_de_entidad_del_dato =
     'POL' || cast(cast(regexp_extract(u.codigo_de_entidad_del_dato, '([0-9]+)$', 1) as bigint) as varchar))""",
     "change_validate": """
@@ -404,8 +412,8 @@ select 'conceptos_negocio' as "table", max(ingestion_date) as last_update from f
 union all select 'reglas_calidad', max(ingestion_date) from fx_rules
 union all select 'trazabilidad', max(ingestion_date) from fx_trace""",
     "newest_rows": f"""
-select {LATEST} from fx_concepts
-qualify row_number() over (partition by codigo_de_entidad_del_dato order by {NEWEST_ORDER}) = 1""",
+select {LATEST} from fx_concepts qualify codigo_de_entidad_del_dato is null
+  or row_number() over (partition by codigo_de_entidad_del_dato order by {NEWEST_ORDER}) = 1""",
     "lineage_forward": f"""
 with codes as (select distinct trim(codigo_de_entidad_del_dato) as codigo_de_entidad_del_dato from fx_concepts)
 select distinct c.codigo_de_entidad_del_dato, t.fuente_oficial as sistema, t.esquema,
@@ -418,34 +426,40 @@ from asked a join u_trace t on a.tabla is not distinct from t.tabla_en_fuente_of
     and a.campo is not distinct from t.campo_en_fuente_oficial
   join u_concepts c on {_id('c.codigo_de_entidad_del_dato')} = t.id_num""",
     "dedup_concepts": f"""
-with trimmed as (select * replace (trim(codigo_de_entidad_del_dato) as codigo_de_entidad_del_dato) from fx_concepts)
-select {LATEST} from trimmed
-qualify row_number() over (partition by codigo_de_entidad_del_dato order by {NEWEST_ORDER}) = 1""",
-    "snapshot_diff": """
-select o.k as codigo_de_entidad_del_dato, 'update' as change, cast(1 as bigint) as copies,
-  concat_ws(',', case when o.concepto_de_negocio is distinct from n.concepto_de_negocio then 'concepto_de_negocio' end,
-    case when o.termino_de_negocio is distinct from n.termino_de_negocio then 'termino_de_negocio' end,
-    case when o.nombre_del_dominio is distinct from n.nombre_del_dominio then 'nombre_del_dominio' end,
-    case when o.nombre_del_subdominio is distinct from n.nombre_del_subdominio then 'nombre_del_subdominio' end,
-    case when o.prioridad_del_entidad_de_dato is distinct from n.prioridad_del_entidad_de_dato
-      then 'prioridad_del_entidad_de_dato' end) as changed_columns,
-  o.nombre_del_dominio as before_domain, n.nombre_del_dominio as after_domain,
-  o.concepto_de_negocio as before_concept, n.concepto_de_negocio as after_concept
+with trimmed as (select * replace (case when trim(codigo_de_entidad_del_dato) = '' then codigo_de_entidad_del_dato
+    else trim(codigo_de_entidad_del_dato) end as codigo_de_entidad_del_dato) from fx_concepts)
+select {LATEST} from trimmed qualify coalesce(trim(codigo_de_entidad_del_dato), '') = ''
+  or row_number() over (partition by codigo_de_entidad_del_dato order by {NEWEST_ORDER}) = 1""",
+    "snapshot_diff": "select p.k as codigo_de_entidad_del_dato, 'update' as change, cast(1 as bigint) as copies, "
+    + "concat_ws(',', "
+    + ", ".join(
+        f"case when o.{c} is distinct from n.{c} then '{c}' end"
+        for c in CONCEPT_NAMES if c != "codigo_de_entidad_del_dato"
+    )
+    + ") as changed_columns, "
+    + ", ".join(f"o.{c} as before_{c}, n.{c} as after_{c}" for c in CONCEPT_NAMES)
+    + """
 from paired p join diff_rows o on o.k = p.k and o.n < 0 join diff_rows n on n.k = p.k and n.n > 0
 union all
-select k, case when n < 0 then 'delete' else 'insert' end, abs(n), '',
-  case when n < 0 then nombre_del_dominio end, case when n > 0 then nombre_del_dominio end,
-  case when n < 0 then concepto_de_negocio end, case when n > 0 then concepto_de_negocio end
-from diff_rows d where not exists (select 1 from paired p where p.k = d.k)""",
+select k, case when n < 0 then 'delete' else 'insert' end, abs(n), '', """
+    + ", ".join(f"case when n < 0 then d.{c} end, case when n > 0 then d.{c} end" for c in CONCEPT_NAMES)
+    + " from diff_rows d where not exists (select 1 from paired p where p.k = d.k)",
+    "diff_applied": f"select {LATEST} from after",
+    "diff_reverted": f"select {LATEST} from before",
     "history": """
 select *, ingestion_date as valid_from,
-  lead(ingestion_date) over (partition by codigo_de_entidad_del_dato order by ingestion_date) as valid_to,
-  lead(ingestion_date) over (partition by codigo_de_entidad_del_dato order by ingestion_date) is null as is_current
-from fx_versions""",
+  case when codigo_de_entidad_del_dato is not null then lead(ingestion_date) over next_one end as valid_to,
+  codigo_de_entidad_del_dato is null or lead(ingestion_date) over next_one is null as is_current
+from fx_versions window next_one as (partition by codigo_de_entidad_del_dato order by ingestion_date nulls first,
+  prioridad_del_entidad_de_dato nulls first, peso nulls first, event_id nulls first)""",
     "history_as_of": """
 select * from fx_versions where ingestion_date <= timestamp '2024-01-15'
-qualify row_number() over (partition by codigo_de_entidad_del_dato order by ingestion_date desc) = 1""",
+qualify codigo_de_entidad_del_dato is null or row_number() over (partition by codigo_de_entidad_del_dato
+  order by ingestion_date desc, prioridad_del_entidad_de_dato desc, peso desc, event_id desc) = 1""",
+    "job_golden_report": QUALITY_REPORT,
 }
+QUERIES["job_golden_priority"] = QUERIES["golden_priority"]
+del QUERIES["golden_quality_report_plain"]
 
 
 def _needed(text: str, parts: dict[str, str]) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from functools import cached_property, lru_cache
@@ -11,14 +12,14 @@ from pyspark.sql import functions as F
 
 from termloom.functions import numeric_id
 from termloom.operators import changes, clean, versions
-from termloom.plans import golden, metrics, silver
+from termloom.plans import golden, jobs, metrics, silver
 from termloom.schemas import (
     CODE, CONCEPT, CONCEPTS, CUSTOM_CONCEPTS, DOMAIN, FLAGS, LINEAGE, PRIORITY, RULE, RULE_ID, RULES,
-    STAMP, SUBDOMAIN, TERM, THRESHOLDS, TRACE,
+    LAYERS, STAMP, SUBDOMAIN, TERM, THRESHOLDS, TRACE,
 )
 from termloom.session import shared_folder
 from termloom.sources.sheets import read_sheet
-from termloom.streaming.arrivals import append_arrivals, arriving_rows
+from termloom.sources.tables import Catalog, create_tables, read_table, write_table
 
 from .mapping import spark_view
 
@@ -80,37 +81,34 @@ def _on_bronze(query: Callable[[Bronze], DataFrame]) -> Query:
 
 # --- sheets and cleaning ------------------------------------------------------
 
-# Headers as people type them in the sheets; cleaning turns them into columns.
-SHEETS = {
-    "concepts": ("fx_concepts", CONCEPT, {
-        CODE: " Código de Entidad (del dato)",
-        "concepto_de_negocio": "Concepto de Negocio",
-        TERM: "TÉRMINO DE NEGOCIO",
-        DOMAIN: "Nombre del  Dominio",
-        "dato_critico": "Dato-Crítico?",
-        "personal": "[Personal]",
-        "definicion_de_negocio": "Definición/de Negocio",
-    }),
-    "rules": ("fx_rules", RULE, {
-        RULE_ID: "ID Regla de Calidad #",
-        TERM: "Término de negocio",
-        "principio_de_calidad_asociado": "Principio de Calidad (asociado)",
-        "umbral_superior": "Umbral Superior",
-        "umbral_inferior": "Umbral - Inferior",
-    }),
-    "trace": ("fx_trace", LINEAGE, {
-        CODE: "Código de entidad del dato",
-        "aplicativos": "Aplicativo(s)",
-        "fuente_oficial": "Fuente Oficial",
-        "tabla_en_fuente_oficial": "Tabla en Fuente Oficial",
-        "campo_en_fuente_oficial": "Campo en Fuente Oficial",
-    }),
+# Headers as people type them in the sheets; cleaning turns them into columns. Those of the
+# other columns are their words in capitals.
+TYPED = {
+    CODE: " Código de Entidad (del dato)",
+    TERM: "TÉRMINO DE NEGOCIO",
+    DOMAIN: "Nombre del  Dominio",
+    "dato_critico": "Dato-Crítico?",
+    "personal": "[Personal]",
+    "definicion_de_negocio": "Definición/de Negocio",
+    RULE_ID: "ID Regla de Calidad #",
+    "principio_de_calidad_asociado": "Principio de Calidad (asociado)",
+    "umbral_inferior": "Umbral - Inferior",
 }
+# Headers that only a rename turns into their column.
+TYPED_IN_TRACE = {"aplicativos": "Aplicativo(s)", "sensible": "Sensble", "data_entry": "Data entry (SI/NO)"}
+SHEETS = {"concepts": ("fx_concepts", CONCEPT), "rules": ("fx_rules", RULE), "trace": ("fx_trace", LINEAGE)}
+
+
+def _typed(sheet: str) -> dict[str, str]:
+    """Column -> header, for all columns but the stamp."""
+    own = {**TYPED, **(TYPED_IN_TRACE if sheet == "trace" else {})}
+    names = [c for c in SHEETS[sheet][1].schema.names if c != STAMP]
+    return {c: own.get(c, c.replace("_", " ").upper()) for c in names}
 
 
 def _export_sheet(spark: SparkSession, sf_dir: str, sheet: str) -> str:
     """Write a mapped view as the CSV export of a sheet; returns its folder."""
-    view, _, headers = SHEETS[sheet]
+    view, headers = SHEETS[sheet][0], _typed(sheet)
     folder = shared_folder(spark, f"sheet-{sheet}")
     rows = spark_view(spark, sf_dir, view)
     # Blanks around values are data here, so the writer must keep them.
@@ -120,24 +118,42 @@ def _export_sheet(spark: SparkSession, sf_dir: str, sheet: str) -> str:
     return folder
 
 
-def _sheet_columns(rows: DataFrame, sheet: str) -> DataFrame:
-    return rows.select(*SHEETS[sheet][2])
-
-
 def sheet_ingest(sheet: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = read_sheet(spark, _export_sheet(spark, sf_dir, sheet))
-        return _sheet_columns(clean.clean_sheet(raw, SHEETS[sheet][1], RUN_TS), sheet)
+        return _plain_times(clean.clean_sheet(raw, SHEETS[sheet][1], RUN_TS))
 
     return query
 
 
+def _new_tables(spark: SparkSession) -> Catalog:
+    """Empty tables in schemas of their own, below the shared folder."""
+    own = uuid.uuid4().hex[:12]
+    catalog = Catalog(**{layer: f"{layer}_{own}" for layer in LAYERS})
+    create_tables(spark, catalog, location=shared_folder(spark, "tables"))
+    return catalog
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules sheet arriving as files, taken by a stream."""
-    folder = _export_sheet(spark, sf_dir, "rules")
-    sink, checkpoint = shared_folder(spark, "arrivals"), shared_folder(spark, "arrivals-checkpoint")
-    append_arrivals(arriving_rows(spark, folder, RULE, run_ts=RUN_TS), sink, checkpoint).awaitTermination()
-    return _sheet_columns(spark.read.schema(RULES).parquet(sink), "rules")
+    """The rules sheet arriving as files, taken by a stream into the bronze table."""
+    folder, catalog = _export_sheet(spark, sf_dir, "rules"), _new_tables(spark)
+    jobs.ingest_stream(spark, folder, RULE, shared_folder(spark, "arrivals-checkpoint"), catalog, run_ts=RUN_TS)
+    return _plain_times(read_table(spark, catalog, "bronze", RULE.table))
+
+
+def job_table(table: str) -> Query:
+    """Sheets to bronze, bronze to silver, silver to golden, all as tables; returns a golden one."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        catalog = _new_tables(spark)
+        for sheet, (_, entity) in SHEETS.items():
+            jobs.ingest_sheet(spark, _export_sheet(spark, sf_dir, sheet), entity, catalog, run_ts=RUN_TS)
+        write_table(spark_view(spark, sf_dir, "fx_custom"), catalog, "bronze", "app_custom_concepts")
+        jobs.build_silver(spark, catalog, RUN_TS)
+        jobs.build_golden(spark, catalog, RUN_TS)
+        return _plain_times(read_table(spark, catalog, "golden", table))
+
+    return query
 
 
 def bronze_null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,12 +229,6 @@ def _bronze_tables(bronze: Bronze) -> dict[str, DataFrame]:
     return {CONCEPT.table: bronze.concepts, RULE.table: bronze.rules, LINEAGE.table: bronze.trace}
 
 
-LATEST_COLUMNS = (CODE, "concepto_de_negocio", TERM, DOMAIN, SUBDOMAIN, "data_owner", STAMP)
-CHANGE_COLUMNS = (CODE, *[c for c in CONCEPT.updatable if c != CODE], "personal", "logica_de_calculo", STAMP)
-RULE_CHANGE_COLUMNS = (RULE_ID, *RULE.updatable, STAMP)
-DIFF_COLUMNS = (CODE, "concepto_de_negocio", TERM, DOMAIN, SUBDOMAIN, PRIORITY)
-
-
 def _inserted(bronze: Bronze) -> DataFrame:
     return changes.apply_inserts(bronze.concepts, bronze.view("fx_inserts"), CONCEPT, RUN_TS)
 
@@ -230,7 +240,7 @@ def _updated(bronze: Bronze) -> DataFrame:
 def change_insert_rules(bronze: Bronze) -> DataFrame:
     table = bronze.rules
     new = bronze.view("fx_rule_edits").withColumn(RULE_ID, F.concat(F.lit("NR"), F.col("seq").cast("string")))
-    return changes.apply_inserts(table, new, RULE, RUN_TS).select(*RULE_CHANGE_COLUMNS)
+    return changes.apply_inserts(table, new, RULE, RUN_TS)
 
 
 def change_insert_trace(bronze: Bronze) -> DataFrame:
@@ -240,13 +250,11 @@ def change_insert_trace(bronze: Bronze) -> DataFrame:
         F.col(DOMAIN).alias("aplicativos"),
         F.lit(" ").alias("fuente_oficial"),
     )
-    return changes.apply_inserts(bronze.trace, new, LINEAGE, RUN_TS).select(CODE, *LINEAGE.updatable, STAMP)
+    return changes.apply_inserts(bronze.trace, new, LINEAGE, RUN_TS)
 
 
 def change_update_rules(bronze: Bronze) -> DataFrame:
-    return changes.apply_updates(bronze.rules, bronze.view("fx_rule_edits"), RULE, "seq", RUN_TS).select(
-        *RULE_CHANGE_COLUMNS
-    )
+    return changes.apply_updates(bronze.rules, bronze.view("fx_rule_edits"), RULE, "seq", RUN_TS)
 
 
 def change_update_trace(bronze: Bronze) -> DataFrame:
@@ -261,9 +269,7 @@ def change_update_trace(bronze: Bronze) -> DataFrame:
         F.col(PRIORITY).alias("periodicidad_de_actualizacion"),
         "seq",
     )
-    return changes.apply_updates(bronze.trace, edits, LINEAGE, "seq", RUN_TS).select(
-        CODE, *LINEAGE.updatable, STAMP
-    )
+    return changes.apply_updates(bronze.trace, edits, LINEAGE, "seq", RUN_TS)
 
 
 def _supplier_number(bronze: Bronze) -> tuple[DataFrame, Column]:
@@ -277,19 +283,19 @@ def _deleted_concepts(bronze: Bronze) -> DataFrame:
 
 
 def change_delete(bronze: Bronze) -> DataFrame:
-    return changes.apply_deletes(bronze.concepts, _deleted_concepts(bronze), CONCEPT).select(CODE, TERM)
+    return changes.apply_deletes(bronze.concepts, _deleted_concepts(bronze), CONCEPT)
 
 
 def change_delete_rules(bronze: Bronze) -> DataFrame:
     suppliers, number = _supplier_number(bronze)
     keys = suppliers.select(F.concat(F.lit("RC"), number).alias(RULE_ID))
-    return changes.apply_deletes(bronze.rules, keys, RULE).select(RULE_ID, TERM)
+    return changes.apply_deletes(bronze.rules, keys, RULE)
 
 
 def change_delete_trace(bronze: Bronze) -> DataFrame:
     suppliers, number = _supplier_number(bronze)
     keys = suppliers.select(F.concat(F.lit("POL"), number).alias(CODE))
-    return changes.apply_deletes(bronze.trace, keys, LINEAGE).select(CODE, "aplicativos", "fuente_oficial")
+    return changes.apply_deletes(bronze.trace, keys, LINEAGE)
 
 
 def change_validate(bronze: Bronze) -> DataFrame:
@@ -314,17 +320,23 @@ def change_values(bronze: Bronze) -> DataFrame:
 # --- versions -------------------------------------------------------------------
 
 
-def snapshot_diff(bronze: Bronze) -> DataFrame:
-    """Concepts before and after the update, insert and delete batches."""
-    old = bronze.concepts.select(*DIFF_COLUMNS)
+def _after(bronze: Bronze) -> DataFrame:
+    """Concepts after the update, delete and insert batches."""
     new = changes.apply_deletes(_updated(bronze), _deleted_concepts(bronze), CONCEPT)
-    new = changes.apply_inserts(new, bronze.view("fx_inserts"), CONCEPT, RUN_TS).select(*DIFF_COLUMNS)
-    diff = versions.snapshot_diff(old, new, CODE)
-    return diff.select(
-        CODE, "change", "copies", F.array_join("changed_columns", ",").alias("changed_columns"),
-        F.col(f"before.{DOMAIN}").alias("before_domain"), F.col(f"after.{DOMAIN}").alias("after_domain"),
-        F.col("before.concepto_de_negocio").alias("before_concept"),
-        F.col("after.concepto_de_negocio").alias("after_concept"),
+    return changes.apply_inserts(new, bronze.view("fx_inserts"), CONCEPT, RUN_TS)
+
+
+def _diff(bronze: Bronze) -> DataFrame:
+    return versions.snapshot_diff(bronze.concepts, _after(bronze), CODE)
+
+
+def snapshot_diff(bronze: Bronze) -> DataFrame:
+    both = [
+        F.col(f"{side}.{c}").cast("timestamp_ntz" if c == STAMP else "string").alias(f"{side}_{c}")
+        for c in CONCEPTS.names for side in ("before", "after")
+    ]
+    return _diff(bronze).select(
+        CODE, "change", "copies", F.array_join("changed_columns", ",").alias("changed_columns"), *both
     )
 
 
@@ -361,23 +373,22 @@ QUERIES: dict[str, Query] = {
     "golden_defaults": _on_bronze(golden_defaults),
     "golden_flags": _on_bronze(golden_flags),
     "golden_quality_report": _on_bronze(lambda b: golden.quality_report(b.silver, RUN_TS)),
-    "golden_quality_report_plain": _on_bronze(lambda b: golden.quality_report_plain(b.silver, RUN_TS)),
     "golden_quality_report_eager": _on_bronze(lambda b: golden.quality_report_eager(b.coverage, RUN_TS)),
     "golden_quality_report_distinct_rules": _on_bronze(
         lambda b: golden.quality_report(b.silver, RUN_TS, distinct_rules=True)
     ),
-    "golden_priority": _on_bronze(lambda b: golden.priority_summary(b.concept_rows, RUN_TS)),
+    "golden_priority": _on_bronze(lambda b: golden.priority_summary(b.silver, RUN_TS)),
     "kpi_counts": _on_bronze(lambda b: metrics.kpi_counts(_bronze_tables(b))),
     "top_domains": _on_bronze(lambda b: metrics.top_domains(b.concepts)),
     "top_principles": _on_bronze(lambda b: metrics.top_principles(b.rules)),
     "latest_records": _on_bronze(
-        lambda b: metrics.latest_records(b.concepts.select(*LATEST_COLUMNS), limit=LATEST)
+        lambda b: metrics.latest_records(b.concepts, limit=LATEST)
     ),
-    "latest_records_all": _on_bronze(lambda b: metrics.latest_records(b.concepts.select(*LATEST_COLUMNS))),
-    "change_insert": _on_bronze(lambda b: _inserted(b).select(*CHANGE_COLUMNS)),
+    "latest_records_all": _on_bronze(lambda b: metrics.latest_records(b.concepts)),
+    "change_insert": _on_bronze(lambda b: _inserted(b)),
     "change_insert_rules": _on_bronze(change_insert_rules),
     "change_insert_trace": _on_bronze(change_insert_trace),
-    "change_update": _on_bronze(lambda b: _updated(b).select(*CHANGE_COLUMNS)),
+    "change_update": _on_bronze(lambda b: _updated(b)),
     "change_update_rules": _on_bronze(change_update_rules),
     "change_update_trace": _on_bronze(change_update_trace),
     "change_delete": _on_bronze(change_delete),
@@ -391,13 +402,17 @@ QUERIES: dict[str, Query] = {
     "dash_rules_by_principle": _on_bronze(lambda b: metrics.rules_by_principle(b.concept_rows, b.rules)),
     "dash_completeness": _on_bronze(lambda b: metrics.completeness(b.coverage)),
     "dash_last_update": _on_bronze(lambda b: metrics.last_update(_bronze_tables(b))),
-    "newest_rows": _on_bronze(lambda b: metrics.newest_rows(b.concepts.select(*LATEST_COLUMNS), CODE)),
+    "newest_rows": _on_bronze(lambda b: metrics.newest_rows(b.concepts, CODE)),
     "lineage_forward": _on_bronze(lambda b: metrics.lineage_of_codes(b.concepts, b.trace)),
     "lineage_reverse": _on_bronze(lineage_reverse),
     "dedup_concepts": _on_bronze(
-        lambda b: versions.dedup_concepts(b.concepts.select(*LATEST_COLUMNS), CODE, [STAMP])
+        lambda b: versions.dedup_concepts(b.concepts, CODE, [STAMP])
     ),
     "snapshot_diff": _on_bronze(snapshot_diff),
+    "diff_applied": _on_bronze(lambda b: versions.apply_diff(b.concepts, _diff(b))),
+    "diff_reverted": _on_bronze(lambda b: versions.revert_diff(_after(b), _diff(b))),
+    "job_golden_report": job_table("reporte_calidad_conceptos"),
+    "job_golden_priority": job_table("resumen_prioridad_dominio"),
     "history": _on_bronze(history),
     "history_as_of": _on_bronze(history_as_of),
     "stream_ingest": stream_ingest,

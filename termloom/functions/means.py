@@ -1,9 +1,9 @@
 """Averages that do not depend on the order in which rows are added.
 
 Sums of doubles differ in the last digits from run to run, and a different last
-digit can flip the fourth decimal of a rounded average. Thresholds have few
-decimals, so they are added as decimals. Should a value not fit exactly, the
-group falls back on the sum of doubles.
+digit can flip the fourth decimal of a rounded average. Values that a decimal
+holds exactly are therefore added as decimals. Only values that do not fit are
+added as doubles, apart from the others, and join the total at the end.
 """
 
 from __future__ import annotations
@@ -11,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT = "decimal(24,6)"
-PARTS = ("count", "exact_count", "exact_sum", "double_sum")
+EXACT = "decimal(28,9)"
+PARTS = ("count", "exact_sum", "rest_sum")
 
 
 def mean_parts(value: Column, name: str) -> list[Column]:
     """Aggregates that ``add_parts`` can add up further and ``mean`` can finish."""
     value = F.when(~F.isnan(value), value)
     exact = value.try_cast(EXACT)
+    fits = F.coalesce(exact.cast("double") == value, F.lit(False))
     return [
         F.count(value).alias(f"{name}_count"),
-        F.count(F.when(exact.cast("double") == value, 1)).alias(f"{name}_exact_count"),
-        F.sum(exact).alias(f"{name}_exact_sum"),
-        F.sum(value).alias(f"{name}_double_sum"),
+        F.sum(F.when(fits, exact)).alias(f"{name}_exact_sum"),
+        F.sum(F.when(~fits, value)).alias(f"{name}_rest_sum"),
     ]
 
 
@@ -36,7 +36,6 @@ def add_parts(name: str, weight: Column | None = None) -> list[Column]:
 def mean(name: str, digits: int = 4) -> Column:
     """The rounded average, 0.0 when there was no value."""
     count = F.coalesce(F.col(f"{name}_count"), F.lit(0)).cast("double")
-    total = F.when(
-        F.col(f"{name}_exact_count") == F.col(f"{name}_count"), F.col(f"{name}_exact_sum").cast("double")
-    ).otherwise(F.col(f"{name}_double_sum"))
+    exact = F.coalesce(F.col(f"{name}_exact_sum").cast("double"), F.lit(0.0))
+    total = exact + F.coalesce(F.col(f"{name}_rest_sum"), F.lit(0.0))
     return F.coalesce(F.round(F.try_divide(total, count), digits), F.lit(0.0))

@@ -18,49 +18,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import content_spread
+from ..session import stored
 
 HOT_ROWS = 2_000_000  # rows of one key that one task may hold
-HOT_KEYS = 1_000  # most keys that are salted, so the broadcast stays small
+HOT_PAIRS = 50_000_000  # joined rows of one key that one task may make
 NULL_SPREAD = 4_096
-SMALL_ROWS, SMALL_BYTES = 200_000, 64 * 1024 * 1024
 
 
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
-    """Whether a frame may be broadcast, found by reading at most ``max_rows`` rows of it.
-
-    Runs a job; meant for batches that a job is about to apply to a big table.
-    """
-    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
-    read = df.select(size.alias("size")).limit(max_rows + 1)
-    found = read.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    return found["rows"] <= max_rows and found["bytes"] <= max_bytes
-
-
-def join_unique(
-    left: DataFrame, right: DataFrame, on: str, how: str = "left", small: bool = False
-) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
     """``left`` or ``left_anti`` join with a right side of one row per key.
 
-    ``small`` says that the right side passed ``is_small``: it is then
-    broadcast, and the left side is not shuffled at all.
-
     Null keys of the left side get stand-in keys by input partition, which
     decide only where the row goes: the join condition still asks for a key.
     The right side keeps its key alone, so that an aggregate by that key is
-    not shuffled a second time.
+    not shuffled a second time. Whether a small right side is broadcast is
+    left to Spark, which knows its size at run time.
     """
     right = right.filter(F.col(on).isNotNull()).withColumnRenamed(on, "_right_key")
-    if small:
-        joined = left.join(F.broadcast(right), F.col(on) == F.col("_right_key"), how)
-    else:
-        kind = left.schema[on].dataType
-        stand_in = -1 - F.spark_partition_id() % NULL_SPREAD
-        if isinstance(kind, T.StringType):
-            stand_in = F.concat(F.lit("\0"), stand_in.cast("string"))
-        keyed = left.withColumn("_left_key", F.coalesce(F.col(on), stand_in.cast(kind)))
-        same = (F.col("_left_key") == F.col("_right_key")) & F.col(on).isNotNull()
-        joined = keyed.join(right, same, how)
-    return joined.drop("_left_key", "_right_key")
+    kind = left.schema[on].dataType
+    stand_in = -1 - F.spark_partition_id() % NULL_SPREAD
+    if isinstance(kind, T.StringType):
+        stand_in = F.concat(F.lit("\0"), stand_in.cast("string"))
+    keyed = left.withColumn("_left_key", F.coalesce(F.col(on), stand_in.cast(kind)))
+    same = (F.col("_left_key") == F.col("_right_key")) & F.col(on).isNotNull()
+    return keyed.join(right, same, how).drop("_left_key", "_right_key")
 
 
 def key_counts(df: DataFrame, on: str, weight: str | None = None) -> DataFrame:
@@ -70,24 +51,47 @@ def key_counts(df: DataFrame, on: str, weight: str | None = None) -> DataFrame:
 
 
 def hot_fans(
-    left_counts: DataFrame, right_counts: DataFrame, on: str, hot_rows: int, hot_keys: int
+    left_counts: DataFrame,
+    right_counts: DataFrame,
+    on: str,
+    hot_rows: int = HOT_ROWS,
+    hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
-    """``(on, _left_fan, _right_fan)`` for the largest hot keys, at most ``hot_keys`` rows.
+    """``(on, _left_fan, _right_fan)`` of every key with too many rows or pairs for one task.
 
-    Hot keys beyond that number are still joined, only without salt. Each of
-    them has less than ``1 / hot_keys`` of all rows.
+    Each side is cut so that no piece has more than ``hot_rows`` rows. Where the
+    pieces still meet in more than ``hot_pairs`` pairs, the larger side is cut
+    further, down to single rows, and then the other.
     """
-    hot = (
-        left_counts.select(on, F.col("rows").alias("_l"), F.lit(0).cast("bigint").alias("_r"))
-        .unionAll(right_counts.select(on, F.lit(0).cast("bigint").alias("_l"), F.col("rows").alias("_r")))
-        .filter((F.col("_l") > hot_rows) | (F.col("_r") > hot_rows))
+    none = F.lit(0).cast("bigint")
+    both = (
+        left_counts.select(on, F.col("rows").alias("_l"), none.alias("_r"))
+        .unionAll(right_counts.select(on, none.alias("_l"), F.col("rows").alias("_r")))
         .groupBy(on)
         .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
-        .orderBy(F.greatest("_l", "_r").desc(), on)
-        .limit(hot_keys)
     )
-    tasks = lambda rows: F.greatest(F.ceil(F.col(rows) / hot_rows), F.lit(1)).cast("int")
-    return hot.select(on, tasks("_l").alias("_left_fan"), tasks("_r").alias("_right_fan"))
+    left, right = F.col("_l"), F.col("_r")
+    pairs = left.cast("double") * right
+    tasks = lambda rows: F.greatest(F.ceil(rows / hot_rows), F.lit(1)).cast("int")
+    squares = F.ceil(pairs / hot_pairs)
+    cut = lambda rows, other: F.least(rows, F.ceil(squares / other)).cast("int")
+    large, small = F.greatest(left, right), F.least(left, right)
+    hot = both.filter((left > hot_rows) | (right > hot_rows) | (pairs > hot_pairs))
+    fans = hot.select(
+        on,
+        (left >= right).alias("_left_large"),
+        F.greatest(tasks(large), cut(large, tasks(small))).alias("_large"),
+        small.alias("_small_rows"),
+        squares.alias("_squares"),
+        tasks(small).alias("_small"),
+    )
+    rest = F.least(F.col("_small_rows"), F.ceil(F.col("_squares") / F.col("_large"))).cast("int")
+    small_fan = F.greatest("_small", rest)
+    return fans.select(
+        on,
+        F.when(F.col("_left_large"), F.col("_large")).otherwise(small_fan).alias("_left_fan"),
+        F.when(F.col("_left_large"), small_fan).otherwise(F.col("_large")).alias("_right_fan"),
+    )
 
 
 def join_fanout(
@@ -99,7 +103,7 @@ def join_fanout(
     left_counts: DataFrame | None = None,
     right_counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
+    hot_pairs: int = HOT_PAIRS,
 ) -> DataFrame:
     """``left`` or ``inner`` join with any number of matches, salted for hot keys.
 
@@ -107,13 +111,19 @@ def join_fanout(
     to one left piece and is copied to every right piece, and the other way
     round, so that each pair meets once. A left copy that meets nothing in its
     piece is dropped when the key is cut on the right: such a key has matches.
+
+    The hot keys are found first, by a job that counts the keys of both sides,
+    and written to the shared folder. Their true size is then known when the
+    join is planned, so Spark broadcasts them if they are few and joins them
+    like any table if not; there is no limit on their number.
     """
-    fans = F.broadcast(
+    fans = stored(
         hot_fans(
             left_counts if left_counts is not None else key_counts(left, on),
             right_counts if right_counts is not None else key_counts(right, on),
-            on, hot_rows, hot_keys,
-        )
+            on, hot_rows, hot_pairs,
+        ),
+        "hot-keys",
     )
     left_fan, right_fan = F.coalesce("_left_fan", F.lit(1)), F.coalesce("_right_fan", F.lit(1))
 
@@ -126,10 +136,10 @@ def join_fanout(
         .otherwise(0)
     )
     right_piece = F.when(right_fan > 1, content_spread(right.columns, right_fan)).otherwise(0)
-    salted_left = left.join(fans, on, "left").select(
+    salted_left = join_unique(left, fans, on).select(
         *left.columns, left_piece.alias("_lp"), (right_fan > 1).alias("_cut"), pieces(right_fan).alias("_rp")
     )
-    salted_right = right.filter(F.col(on).isNotNull()).join(fans, on, "left").select(
+    salted_right = join_unique(right.filter(F.col(on).isNotNull()), fans, on).select(
         *right.columns, right_piece.alias("_rp"), pieces(left_fan).alias("_lp"), F.lit(True).alias("_met")
     )
     joined = salted_left.join(salted_right, [on, "_lp", "_rp"], how)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import latest_first
+from ..session import stored
 from .joins import join_unique
 
 
@@ -21,11 +22,17 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return newest.select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def newest_with_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The newest row of each key; a row without a key is nobody's version and stays."""
+    keyed = latest_per_key(df.filter(F.col(key).isNotNull()), [key], order)
+    return keyed.unionByName(df.filter(F.col(key).isNull()))
+
+
 def dedup_concepts(concepts: DataFrame, code: str, order: list[str]) -> DataFrame:
-    """One row per trimmed code; rows without a code are kept as they are."""
-    trimmed = concepts.withColumn(code, F.trim(code))
-    return latest_per_key(trimmed.filter(F.col(code).isNotNull()), [code], order).unionByName(
-        trimmed.filter(F.col(code).isNull())
+    """One row per trimmed code; rows whose code is null or blank are kept as they are."""
+    coded = F.coalesce(F.trim(code) != "", F.lit(False))
+    return latest_per_key(concepts.filter(coded).withColumn(code, F.trim(code)), [code], order).unionByName(
+        concepts.filter(~coded)
     )
 
 
@@ -84,38 +91,93 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, ignore: tuple[str, .
     return updates.unionByName(singles)
 
 
-def history(versions: DataFrame, key: str, ts: str, bucket: str = "day") -> DataFrame:
+def _undo(diff: DataFrame) -> DataFrame:
+    """The difference in the other direction."""
+    turned = F.when(F.col("change") == "insert", "delete").when(F.col("change") == "delete", "insert")
+    return diff.withColumns(
+        {"change": turned.otherwise(F.col("change")), "before": F.col("after"), "after": F.col("before")}
+    )
+
+
+def apply_diff(old: DataFrame, diff: DataFrame) -> DataFrame:
+    """The snapshot that ``snapshot_diff`` compared with: its ``before`` rows leave, its ``after`` rows come.
+
+    Rows are counted, not paired, so copies and rows without a key are right
+    too. A ``before`` row that the snapshot lacks is an error of the caller and
+    leaves the count of that row at zero. Columns are those of the difference.
+    """
+    columns = diff.schema["before"].dataType.fieldNames()
+
+    def side(name: str, sign: int) -> DataFrame:
+        rows = diff.filter(F.col(name).isNotNull())
+        return rows.select(*[F.col(f"{name}.{c}").alias(c) for c in columns], (F.col("copies") * sign).alias("_n"))
+
+    counted = (
+        old.select(*columns, F.lit(1).cast("bigint").alias("_n"))
+        .unionByName(side("before", -1))
+        .unionByName(side("after", 1))
+        .groupBy(*columns)
+        .agg(F.sum("_n").alias("_n"))
+        .filter("_n > 0")
+    )
+    return counted.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*columns)
+
+
+def revert_diff(new: DataFrame, diff: DataFrame) -> DataFrame:
+    """The snapshot before the changes: ``apply_diff`` backwards."""
+    return apply_diff(new, _undo(diff))
+
+
+def history(versions: DataFrame, key: str, ts: str, deleted: str | None = None) -> DataFrame:
     """Validity interval of every version: ``valid_from``, ``valid_to``, ``is_current``.
 
-    ``valid_to`` is the start of the key's next version, null for the newest. Of
-    several versions with one key and time, the largest row counts.
+    ``valid_to`` is the start of the key's next version, null for the newest.
+    Of versions with one key and time, ordered by all columns, all but the last
+    get an interval of no length. A row without a key has no later version.
+    ``deleted`` names a boolean column of end marks: they end the version before
+    them and are not versions themselves.
 
-    A window over a whole key would put a busy key into one task. The next
-    version is therefore looked up within each (key, time bucket); only the
-    last version of each bucket is ordered along the whole key, to find the
-    start of the key's next bucket.
+    A window over a whole key would put a busy key into one task. The rows are
+    therefore cut into ranges by (key, time), whose bounds come from the data;
+    the next version is looked up within each range, and only the first time of
+    each range of a key is ordered along the whole key.
     """
-    in_bucket = Window.partitionBy(key, "_bucket")
-    versions = (
-        latest_per_key(versions, [key, ts], [ts])
-        .withColumn("_bucket", F.date_trunc(bucket, ts))
-        .withColumn("_next", F.lead(ts).over(in_bucket.orderBy(ts)))
-        .withColumn("_start", F.min(ts).over(in_bucket))
+    order = [ts, *[c for c in versions.columns if c not in (key, ts)]]
+    keyed = versions.filter(F.col(key).isNotNull())
+    # Written down, since the bounds of the ranges are sampled anew in each run.
+    ranged = stored(
+        keyed.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()), "history"
     )
-    last = F.col("_next").isNull()
-    along_key = Window.partitionBy(key).orderBy("_bucket")
-    ends = versions.filter(last).withColumn("_next", F.lead("_start").over(along_key))
+    in_range = Window.partitionBy(key, "_range")
+    versions_of = ranged.withColumn("_next", F.lead(ts).over(in_range.orderBy(*order))).withColumn(
+        "_start", F.min(ts).over(in_range)
+    )
+    starts = versions_of.groupBy(key, "_range").agg(F.min("_start").alias("_start"))
+    along_key = Window.partitionBy(key).orderBy("_range")
+    following = starts.select(
+        F.col(key).alias("_key"), F.col("_range").alias("_of"), F.lead("_start").over(along_key).alias("_after")
+    )
+    same = (F.col(key) == F.col("_key")) & (F.col("_range") == F.col("_of"))
+    joined = versions_of.join(following, same)
+    ended = joined.withColumn("_next", F.coalesce("_next", "_after")).drop("_key", "_of", "_after", "_range", "_start")
+    free = versions.filter(F.col(key).isNull()).withColumn("_next", F.lit(None).cast(versions.schema[ts].dataType))
+    rows = ended.unionByName(free)
+    if deleted:
+        rows = rows.filter(~F.coalesce(deleted, F.lit(False)))
     return (
-        versions.filter(~last)
-        .unionByName(ends)
-        .withColumn("valid_from", F.col(ts))
+        rows.withColumn("valid_from", F.col(ts))
         .withColumnRenamed("_next", "valid_to")
         .withColumn("is_current", F.col("valid_to").isNull())
-        .drop("_bucket", "_start")
     )
 
 
-def as_of(versions: DataFrame, key: str, ts: str, at: datetime | Column) -> DataFrame:
-    """The version of each key that was valid at the given time."""
+def as_of(
+    versions: DataFrame, key: str, ts: str, at: datetime | Column, deleted: str | None = None
+) -> DataFrame:
+    """The version of each key that was valid at the given time; none where an end mark is the newest.
+
+    Rows without a key are kept. Of versions with one time the largest row counts.
+    """
     at = at if isinstance(at, Column) else F.lit(at)
-    return latest_per_key(versions.filter(F.col(ts) <= at), [key], [ts])
+    rows = newest_with_key(versions.filter(F.col(ts) <= at), key, [ts])
+    return rows.filter(~F.coalesce(deleted, F.lit(False))) if deleted else rows

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.changes import apply_deletes, apply_inserts, apply_updates
 from ..operators.clean import clean_sheet
-from ..operators.joins import is_small
 from ..schemas import Entity
 from ..sources.sheets import read_sheet
 from ..sources.tables import Catalog, read_table, rewrite_table, write_table
+from ..streaming.arrivals import append_to_bronze, arriving_rows
 from .golden import priority_summary, quality_report
 from .silver import silver
 
@@ -24,15 +24,31 @@ def ingest_sheet(
     fmt: str = "csv",
     mode: str = "overwrite",
     run_ts: datetime | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
+    headers: list[str] | None = None,
 ) -> None:
     """A sheet folder into its bronze table. ``overwrite`` also replaces rows entered by hand."""
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode must be overwrite or append, not {mode!r}")
-    rows = clean_sheet(read_sheet(spark, path, fmt, multi_line=multi_line), entity, run_ts)
+    rows = clean_sheet(read_sheet(spark, path, fmt, headers, multi_line), entity, run_ts)
     write_table(rows, catalog, "bronze", entity.table, overwrite=mode == "overwrite")
 
 
+def ingest_stream(
+    spark: SparkSession,
+    folder: str,
+    entity: Entity,
+    checkpoint: str,
+    catalog: Catalog = Catalog(),
+    fmt: str = "csv",
+    run_ts: datetime | None = None,
+    headers: list[str] | None = None,
+) -> None:
+    """All files not yet taken, appended to the bronze table; returns when they are in."""
+    rows = arriving_rows(spark, folder, entity, headers, fmt, run_ts)
+    append_to_bronze(rows, entity, catalog, checkpoint).awaitTermination()
+
+
 def build_silver(spark: SparkSession, catalog: Catalog = Catalog(), run_ts: datetime | None = None) -> None:
     bronze = {
         name: read_table(spark, catalog, "bronze", table)
@@ -62,20 +78,16 @@ def change_bronze(
     sequence: str = "seq",
     run_ts: datetime | None = None,
 ) -> None:
-    """Apply a batch to a bronze table: deletes, then updates, then inserts.
-
-    The usual batch is small, so its size is looked at first: a small one is
-    broadcast, and the table is only read and written.
-    """
+    """Apply a batch to a bronze table: deletes, then updates, then inserts."""
     rows = read_table(spark, catalog, "bronze", entity.table)
     if deletes is None and updates is None and inserts is not None:
         new = apply_inserts(rows.limit(0), inserts, entity, run_ts)
         write_table(new, catalog, "bronze", entity.table, overwrite=False)
         return
     if deletes is not None:
-        rows = apply_deletes(rows, deletes, entity, small=is_small(deletes))
+        rows = apply_deletes(rows, deletes, entity)
     if updates is not None:
-        rows = apply_updates(rows, updates, entity, sequence, run_ts, small=is_small(updates))
+        rows = apply_updates(rows, updates, entity, sequence, run_ts)
     if inserts is not None:
         rows = apply_inserts(rows, inserts, entity, run_ts)
     rewrite_table(rows, catalog, "bronze", entity.table)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_fanout
-from ..operators.versions import latest_per_key
+from ..operators.versions import newest_with_key
 from ..schemas import (
     CODE, DOMAIN, FLAGS, NO_DOMAIN, NO_PRINCIPLE, PRIORITY, RULE_ID, STAMP, SUBDOMAIN, TERM,
     TOP_GROUPS, YES,
@@ -166,8 +166,8 @@ def last_update(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def newest_rows(df: DataFrame, key: str) -> DataFrame:
-    """The newest row of each key of a bronze table."""
-    return latest_per_key(df, [key], [STAMP])
+    """The newest row of each key of a bronze table; rows without a key stay."""
+    return newest_with_key(df, key, [STAMP])
 
 
 # --- lineage ------------------------------------------------------------------

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings, all public Spark ones. Cluster deployments set their own memory,
 # parallelism and ``spark.checkpoint.dir``.
@@ -31,12 +32,28 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra: s
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir`` that every executor can reach.
 
-    Only a ``local`` session may go without that setting; it then gets a
-    temporary folder of this machine.
+    Only a session whose master is known to be ``local`` or ``local[...]`` may
+    go without that setting; it then gets one temporary folder of this machine,
+    which is removed when the Python process ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="termloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark)
     return os.path.join(root, "termloom", f"{purpose}-{uuid.uuid4().hex}")
+
+
+def _local_root(spark: SparkSession) -> str:
+    global _own_root
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
+    if _own_root is None:
+        _own_root = tempfile.TemporaryDirectory(prefix="termloom-")
+    return _own_root.name
+
+
+_own_root: tempfile.TemporaryDirectory | None = None
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame written to the shared folder and read back: computed once, and of known size."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,10 +28,16 @@ class Catalog:
         return f"{self.schema_name(layer)}.`{table}`"
 
 
-def create_tables(spark: SparkSession, catalog: Catalog = Catalog(), fmt: str = "parquet") -> None:
-    """Create the missing schemas and tables; existing ones are left alone."""
+def create_tables(
+    spark: SparkSession, catalog: Catalog = Catalog(), fmt: str = "parquet", location: str | None = None
+) -> None:
+    """Create the missing schemas and tables; existing ones are left alone.
+
+    New schemas lie below ``location``, if given.
+    """
     for layer in LAYERS:
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {catalog.schema_name(layer)}")
+        where = f" LOCATION '{location}/{getattr(catalog, layer)}'" if location else ""
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {catalog.schema_name(layer)}{where}")
     for (layer, table), schema in TABLES.items():
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         spark.sql(f"CREATE TABLE IF NOT EXISTS {catalog.table_name(layer, table)} ({columns}) USING {fmt}")

@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clean import clean_sheet
 from ..schemas import Entity
-from ..sources.sheets import read_sheet, stream_sheet
+from ..sources.sheets import stream_sheet
+from ..sources.tables import Catalog, write_table
 
 
 def arriving_rows(
@@ -20,10 +21,10 @@ def arriving_rows(
     fmt: str = "csv",
     run_ts: datetime | None = None,
     max_files_per_trigger: int | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Streaming frame of clean bronze rows. Headers default to those now in the folder."""
-    headers = headers or read_sheet(spark, folder, fmt).columns
-    raw = stream_sheet(spark, folder, headers, fmt, max_files_per_trigger=max_files_per_trigger)
+    raw = stream_sheet(spark, folder, headers, fmt, multi_line, max_files_per_trigger)
     return clean_sheet(raw, entity, run_ts)
 
 
@@ -37,3 +38,19 @@ def append_arrivals(rows: DataFrame, sink: str, checkpoint: str) -> StreamingQue
         .trigger(availableNow=True)
         .start()
     )
+
+
+def append_to_bronze(rows: DataFrame, entity: Entity, catalog: Catalog, checkpoint: str) -> StreamingQuery:
+    """The same into the entity's bronze table, one insert per batch of files.
+
+    A batch that is run again after a failure between its insert and its
+    checkpoint is inserted twice, as plain file tables have no transactions.
+    """
+    return (
+        rows.writeStream.foreachBatch(
+            lambda batch, _: write_table(batch, catalog, "bronze", entity.table, overwrite=False)
+        )
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

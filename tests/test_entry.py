@@ -9,9 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from entry_support import oracle, registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SQL = spark_entry.oracle_sql()
+SQL = oracle.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
 
 
@@ -35,7 +36,8 @@ def as_bag(names, rows):
 
 
 def test_each_query_has_sql():
-    assert set(SQL) == set(spark_entry.queries())
+    assert set(SQL) == set(registry.QUERIES)
+    assert set(SQL) <= set(spark_entry.oracle_sql()) and set(registry.QUERIES) <= set(spark_entry.queries())
 
 
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas")
@@ -43,7 +45,7 @@ UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInP
 
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_query_equals_sql(spark, duck, capsys, key):
-    df = spark_entry.queries()[key](spark, SF_DIR)
+    df = registry.QUERIES[key](spark, SF_DIR)
     df.explain()
     plan = capsys.readouterr().out
     assert "Physical Plan" in plan and not [node for node in UNWANTED if node in plan]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import bag
-from termloom.operators.joins import hot_fans, is_small, join_fanout, join_unique, key_counts
+from termloom.operators.joins import hot_fans, join_fanout, join_unique, key_counts
 
 
 @pytest.fixture(scope="module")
@@ -20,11 +20,11 @@ def sides(spark):
     )
 
 
-@pytest.mark.parametrize("hot_rows, hot_keys", [(1, 1000), (4, 1000), (4, 1), (20, 3), (10**9, 1000)])
-def test_fanout_equals_plain_join(sides, hot_rows, hot_keys):
+@pytest.mark.parametrize("hot_rows, hot_pairs", [(1, 10**9), (4, 10**9), (10**9, 7), (20, 50), (10**9, 10**9), (3, 1)])
+def test_fanout_equals_plain_join(sides, hot_rows, hot_pairs):
     left, right = sides
     for how in ("left", "inner"):
-        salted = join_fanout(left, right, "k", how, hot_rows=hot_rows, hot_keys=hot_keys)
+        salted = join_fanout(left, right, "k", how, hot_rows=hot_rows, hot_pairs=hot_pairs)
         assert bag(salted) == bag(left.join(right, "k", how))
 
 
@@ -49,11 +49,33 @@ def test_wrong_counts_only_cost_time(sides):
 
 def test_hot_key_is_cut_into_pieces(sides):
     left, right = sides
-    fans = {r["k"]: r for r in hot_fans(key_counts(left, "k"), key_counts(right, "k"), "k", 20, 10).collect()}
+    fans = {r["k"]: r for r in hot_fans(key_counts(left, "k"), key_counts(right, "k"), "k", 20, 10**9).collect()}
     assert set(fans) == {5}
     assert fans[5]["_left_fan"] >= 3 and fans[5]["_right_fan"] >= 3
 
 
+def test_key_warm_on_both_sides_is_cut_by_pairs(spark, no_broadcast):
+    """No side is large, but their pairs are: the largest task makes a bounded share of them."""
+    both = spark.range(100).selectExpr("if(id < 60, 1, id) as k", "id as v")
+    left, right = both.withColumnRenamed("v", "l"), both.withColumnRenamed("v", "r")
+    joined = join_fanout(left, right, "k", "inner", hot_rows=1000, hot_pairs=100)
+    assert bag(joined) == bag(left.join(right, "k"))
+    fan = hot_fans(key_counts(left, "k"), key_counts(right, "k"), "k", 1000, 100).collect()
+    assert [(r["k"], r["_left_fan"] * r["_right_fan"] >= 36) for r in fan] == [(1, True)]
+    per_piece = joined.filter("k = 1").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert per_piece < 60 * 60 * 0.7
+    # Very many pairs: the larger side is cut down to single rows, then the other.
+    fan = hot_fans(key_counts(left, "k"), key_counts(right, "k"), "k", 1000, 1).first()
+    assert (fan["_left_fan"], fan["_right_fan"]) == (60, 60)
+
+
+def test_all_hot_keys_are_cut(spark):
+    rows = spark.range(20_000).selectExpr("id % 5000 as k")
+    counts = key_counts(rows, "k")
+    fans = hot_fans(counts, counts, "k", 3, 10**9)
+    assert fans.count() == 5000 and fans.filter("_left_fan < 2 or _right_fan < 2").count() == 0
+
+
 @pytest.fixture
 def no_broadcast(spark):
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
@@ -89,16 +111,8 @@ def test_null_keys_spread_in_unique_join(sides, no_broadcast, key, capsys):
     assert "SortMergeJoin [_left_key" in plan and plan.count("Exchange hashpartitioning") == 2
 
 
-@pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("how", ["left", "left_anti"])
-def test_join_unique(sides, how, small):
+def test_join_unique(sides, how):
     left, right = sides
     one_each = right.groupBy("k").agg(F.max("r").alias("r"))
-    assert bag(join_unique(left, one_each, "k", how, small)) == bag(left.join(one_each, "k", how))
-
-
-def test_is_small(sides):
-    left, _ = sides
-    assert is_small(left) and is_small(left.limit(0))
-    assert is_small(left, max_rows=150) and not is_small(left, max_rows=149)
-    assert not is_small(left, max_bytes=1000)
+    assert bag(join_unique(left, one_each, "k", how)) == bag(left.join(one_each, "k", how))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import bag
 from termloom.operators.clean import clean_sheet, conform, drop_legend, normalise_headers
 from termloom.schemas import CONCEPT, CONCEPT_LEGEND, CONCEPTS, LINEAGE, RULE, TRACE
-from termloom.sources.sheets import read_sheet
+from termloom.sources.sheets import REJECT, read_sheet, read_sheet_rows, stream_sheet
 
 RUN = datetime(2026, 1, 1)
 
@@ -59,7 +59,10 @@ def test_file_with_other_headers_fails(spark, folder):
 def test_other_formats_read_as_text(spark, frame, tmp_path, fmt):
     df = frame("Código umbral", ("C1", 1.5), types="string double")
     df.write.mode("overwrite").format(fmt).save(str(tmp_path / fmt))
-    back = read_sheet(spark, str(tmp_path / fmt), fmt)
+    if fmt == "json":
+        with pytest.raises(ValueError, match="headers"):
+            read_sheet(spark, str(tmp_path / fmt), fmt)
+    back = read_sheet(spark, str(tmp_path / fmt), fmt, ["Código", "umbral"] if fmt == "json" else None)
     assert {f.dataType.simpleString() for f in back.schema} == {"string"}
     assert bag(back) == bag(frame("Código umbral", ("C1", "1.5")))
 
@@ -103,3 +106,22 @@ def test_conform_never_reads_text_as_number(frame):
 def test_concepts_sheet_from_text_columns_only(frame):
     rows = clean_sheet(frame("Personal", ("SI",)), CONCEPT, RUN)
     assert rows.schema.simpleString() == CONCEPTS.simpleString()
+
+
+def test_malformed_rows_are_refused_or_returned(spark, tmp_path):
+    text = 'ID regla de calidad,Término de negocio\nR1,"line one\nline two"\nR2,B,EXTRA\nR3\nR4,D\n'
+    (tmp_path / "a.csv").write_text(text, encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)malformed|FAILED_READ_FILE"):
+        read_sheet(spark, str(tmp_path)).collect()
+    rows, rejects = read_sheet_rows(spark, str(tmp_path))
+    assert {tuple(r) for r in rows.collect()} == {("R1", "line one\nline two"), ("R4", "D")}
+    assert {r[REJECT].strip() for r in rejects.collect()} == {"R2,B,EXTRA", "R3"}
+
+
+def test_typed_parquet_streams(spark, frame, tmp_path):
+    frame("k umbral", ("C1", 1.5), types="string double").write.parquet(str(tmp_path / "in"))
+    raw = stream_sheet(spark, str(tmp_path / "in"), fmt="parquet")
+    query = raw.writeStream.format("memory").queryName("typed").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "check")).start()
+    query.awaitTermination()
+    assert [tuple(r) for r in spark.table("typed").collect()] == [("C1", "1.5")]

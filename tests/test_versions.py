@@ -7,7 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import bag
-from termloom.operators.versions import as_of, dedup_concepts, history, latest_per_key, snapshot_diff
+from termloom.operators.versions import (
+    apply_diff, as_of, dedup_concepts, history, latest_per_key, newest_with_key, revert_diff, snapshot_diff,
+)
 
 
 def snapshot(spark, rng, n=60):
@@ -30,7 +32,9 @@ def replay(old, diff):
 def test_diff_turns_old_into_new(spark, seed):
     rng = random.Random(seed)
     old, new = snapshot(spark, rng), snapshot(spark, rng, 40)
-    assert replay(old, snapshot_diff(old, new, "k")) == bag(new)
+    diff = snapshot_diff(old, new, "k")
+    assert replay(old, diff) == bag(new)
+    assert bag(apply_diff(old, diff)) == bag(new) and bag(revert_diff(new, diff)) == bag(old)
     assert snapshot_diff(old, old.repartition(3), "k").count() == 0
 
 
@@ -62,18 +66,45 @@ def versions(spark):
     return spark.createDataFrame(rows, "k string, ts timestamp, v int").repartition(4)
 
 
-@pytest.mark.parametrize("bucket", ["day", "month", "hour"])
-def test_history_equals_window_over_whole_key(versions, bucket):
-    one_each = latest_per_key(versions, ["k", "ts"], ["ts"])
+def test_rows_without_a_code_are_kept(frame):
+    df = frame("k v ts", ("a", "1", 1), (" a", "2", 2), ("  ", "1", 1), (" ", "1", 2), ("", "1", 1), (None, "1", 1), (None, "1", 1), types="string string int")
+    assert bag(dedup_concepts(df, "k", ["ts"])) == Counter(
+        {("a", 2, "2"): 1, ("  ", 1, "1"): 1, (" ", 2, "1"): 1, ("", 1, "1"): 1, (None, 1, "1"): 2}
+    )
+    assert newest_with_key(df, "k", ["ts"]).filter("k is null").count() == 2
+
+
+def test_history_equals_window_over_whole_key(versions):
+    tied = versions.unionByName(versions.filter("v % 5 = 0").withColumn("v", F.col("v") + 1000))
+    along = Window.partitionBy("k").orderBy("ts", "v")
     plain = (
-        one_each.withColumn("valid_from", F.col("ts"))
-        .withColumn("valid_to", F.lead("ts").over(Window.partitionBy("k").orderBy("ts")))
+        tied.withColumn("valid_from", F.col("ts"))
+        .withColumn("valid_to", F.when(F.col("k").isNotNull(), F.lead("ts").over(along)))
         .withColumn("is_current", F.col("valid_to").isNull())
     )
-    assert bag(history(versions, "k", "ts", bucket)) == bag(plain)
+    assert bag(history(tied, "k", "ts")) == bag(plain)
+    assert history(tied.limit(0), "k", "ts").count() == 0
+
+
+def test_busy_key_is_cut_into_ranges(spark, versions):
+    busy = spark.range(4000).selectExpr("if(id % 10 < 8, 'hot', 'b') as k", "timestamp_seconds(id div 3) as ts", "id as v")
+    hot = history(busy, "k", "ts").filter("k = 'hot'")
+    along = Window.partitionBy("k").orderBy("ts", "v")
+    assert bag(hot.select("v", "valid_to")) == bag(
+        busy.filter("k = 'hot'").withColumn("valid_to", F.lead("ts").over(along)).select("v", "valid_to")
+    )
+
+
+def test_end_marks(frame):
+    df = frame("k ts gone", ("a", 1, False), ("a", 5, True), ("a", 7, False), ("b", 2, None), ("b", 3, True), types="string int boolean")
+    got = {(r.k, r.valid_from, r.valid_to, r.is_current) for r in history(df, "k", "ts", deleted="gone").collect()}
+    assert got == {("a", 1, 5, False), ("a", 7, None, True), ("b", 2, 3, False)}
+    at = lambda t: {(r.k, r.ts) for r in as_of(df, "k", "ts", F.lit(t), deleted="gone").collect()}
+    assert at(4) == {("a", 1)} and at(6) == set() and at(8) == {("a", 7)} and at(2) == {("a", 1), ("b", 2)}
 
 
 def test_as_of_agrees_with_history(versions):
     at = datetime(2024, 1, 9, 5)
     valid = history(versions, "k", "ts").filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
-    assert bag(as_of(versions, "k", "ts", at)) == bag(valid.select("k", "ts", "v"))
+    assert bag(as_of(versions, "k", "ts", at).filter("k is not null")) == bag(valid.filter("k is not null").select("k", "ts", "v"))
+    assert as_of(versions, "k", "ts", at).filter("k is null").count() == versions.filter((F.col("k").isNull()) & (F.col("ts") <= at)).count()
