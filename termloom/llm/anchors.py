@@ -16,7 +16,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 SHIFT = np.uint64(32)
 PLACE_BITS = np.uint64(24)
-MOST_BYTES = 1 << 22  # of a slice; positions must fit into PLACE_BITS
+MOST_BYTES = 1 << 20  # of a slice; positions must fit into PLACE_BITS
 _TABLES = np.random.default_rng(20_240).integers(0, 1 << 63, size=(2, 256), dtype=np.uint64)
 
 

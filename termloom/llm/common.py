@@ -41,16 +41,26 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def per_text(docs: DataFrame, compute: Callable[[list[str]], list[tuple]], columns: str) -> DataFrame:
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that Python holds few texts at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def per_text(
+    docs: DataFrame, compute: Callable[[list[str]], list[tuple]], columns: str, at_once: int = 256
+) -> DataFrame:
     """``doc_id`` and the columns that ``compute`` makes of each text of a batch (null: empty), in Arrow batches.
 
     ``columns`` lists names and types (``long``, ``string``, ``binary``). ``doc_id`` passes as it is.
+    ``compute`` gets ``at_once`` texts at a time.
     """
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = [pair.split() for pair in columns.split(",")]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in parts(source, at_once):
             rows = compute([text or "" for text in batch.column("text").to_pylist()])
             made = [pa.array([row[i] for row in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays(

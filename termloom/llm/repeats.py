@@ -39,10 +39,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.anchors import BASE, LENGTH, MOST_BYTES, mixed, powers, stretches
-from termloom.llm.common import stored, table
+from termloom.llm.common import parts, stored, table
 from termloom.llm.merging import front_coded, merged
 
-BLOCK_BYTES = 1 << 22  # of text; a block ends with the text that reaches it
+BLOCK_BYTES = 1 << 20  # of text; a block ends with the text that reaches it
 ANCHOR, STRETCH, STRING = 0, 1, 2  # kinds of questions
 TWICE, VARIED, CHOSEN = 1, 2, 4  # bits of an answer
 SPLITTERS = 4096  # sampled strings for the splitters, at most
@@ -89,7 +89,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             )
             return batch_of(BLOCKS, [made])
 
-        for batch in batches:
+        for batch in parts(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids.append(doc)
                 texts.append((text or "").encode("utf-8", "surrogatepass"))
@@ -200,10 +200,10 @@ def answered(asks: DataFrame, partitions: int) -> DataFrame:
             else:
                 own_bits[first] |= CHOSEN
             bits[order] = own_bits
-        at = 0
-        for owner, dest, kind, n in heads:
-            yield batch_of(ANSWER, [(owner, dest, kind, bits[at : at + n].tobytes())])
-            at += n
+        ends = np.cumsum([n for *_, n in heads])
+        for low in range(0, len(heads), 1000):
+            some = zip(heads[low : low + 1000], ends[low : low + 1000])
+            yield batch_of(ANSWER, [(o, d, k, bits[end - n : end].tobytes()) for (o, d, k, n), end in some])
 
     answers = asks.repartition(partitions, "dest").mapInArrow(reply, ANSWER)
     return answers.groupBy("owner").agg(F.collect_list(F.struct("kind", "dest", "bits")).alias("replies"))
@@ -286,8 +286,8 @@ def splitters(opens: DataFrame, ranges: int) -> list[bytes]:
         for row in rows_of(batches):
             own = list(stretch_list(row))
             step = max(1, len(own) // SAMPLE_OF_BLOCK)
-            for start, _, offset, content in own[::step]:
-                yield batch_of("s binary", [(s,) for s in sides(content, offset)])
+            picked = [side for _, _, offset, content in own[::step] for side in sides(content, offset)]
+            yield batch_of("s binary", [(side,) for side in picked])
 
     sample = opens.select("starts", "counts", "offsets", "content").mapInArrow(some, "s binary")
     picked = sorted(r["s"] for r in sample.orderBy(F.xxhash64("s"), "s").limit(SPLITTERS).collect())
@@ -388,8 +388,7 @@ def string_keys(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def asking(frame: DataFrame, questions: Callable[[dict], Iterator[tuple]]) -> DataFrame:
     def ask(batches: Batches) -> Batches:
         for row in rows_of(batches):
-            for question in questions(row):
-                yield batch_of(ASK, [question])
+            yield batch_of(ASK, list(questions(row)))
 
     return frame.mapInArrow(ask, ASK)
 
