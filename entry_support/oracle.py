@@ -292,7 +292,6 @@ select codigo_de_entidad_del_dato, case when {_yes('dato_critico')} then 'Sí' e
   case when {_yes('personal')} then 'Sí' else 'No' end as personal,
   case when {_yes('sensible')} then 'Sí' else 'No' end as sensible from concepts_all""",
     "golden_quality_report": QUALITY_REPORT,
-    "golden_quality_report_plain": QUALITY_REPORT,
     "golden_quality_report_eager": QUALITY_REPORT,
     "golden_quality_report_distinct_rules": QUALITY_REPORT.replace(
         "count(id_regla_de_calidad)", "count(distinct id_regla_de_calidad)"
@@ -459,7 +458,6 @@ qualify codigo_de_entidad_del_dato is null or row_number() over (partition by co
     "job_golden_report": QUALITY_REPORT,
 }
 QUERIES["job_golden_priority"] = QUERIES["golden_priority"]
-del QUERIES["golden_quality_report_plain"]
 
 
 def _needed(text: str, parts: dict[str, str]) -> list[str]:

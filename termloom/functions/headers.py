@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 import unicodedata
 
-_BETWEEN_WORDS = re.compile(r"[\s/()\[\]\-?#\xa0]+")
+# The signs that stand between words in a header, besides white space.
+SEPARATORS = "/()[]-?#\xa0"
+_BETWEEN_WORDS = re.compile(rf"[\s{re.escape(SEPARATORS)}]+")
 
 
 def header_name(header: object) -> str:
     """``' Código de Entidad (del dato)'`` -> ``'codigo_de_entidad_del_dato'``.
 
-    Lower case, no accents, one underscore for each run of blanks or of
-    ``/ ( ) [ ] - ? #``. Other signs, such as ``.``, ``%`` and ``¿``, stay.
+    Lower case, one underscore for each run of blanks or of ``/ ( ) [ ] - ? #``,
+    none at the ends, no accents. Other signs, such as ``.``, ``%`` and ``¿``, stay.
     """
-    decomposed = unicodedata.normalize("NFD", str(header).strip().lower())
-    bare = "".join(ch for ch in decomposed if unicodedata.category(ch) != "Mn")
-    return "_".join(_BETWEEN_WORDS.split(bare)).strip("_")
+    joined = _BETWEEN_WORDS.sub("_", str(header).strip().lower()).strip("_")
+    return "".join(ch for ch in unicodedata.normalize("NFD", joined) if unicodedata.category(ch) != "Mn")

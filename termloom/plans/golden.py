@@ -82,17 +82,6 @@ def quality_report(
     )
 
 
-def quality_report_plain(silver: DataFrame, run_ts: datetime | Column | None = None) -> DataFrame:
-    """The same report as a single aggregation; kept to check and time the others."""
-    report = golden_rows(silver).groupBy(DOMAIN, SUBDOMAIN).agg(
-        F.count_distinct(CODE).alias("total_conceptos"),
-        *[F.count_distinct(F.when(F.col(flag) == YES, F.col(CODE))).alias(t) for flag, t in TOTALS.items()],
-        F.count(RULE_ID).alias("total_reglas_calidad"),
-        *[part for name in THRESHOLDS for part in mean_parts(F.col(name), name)],
-    )
-    return _finish(report, run_ts)
-
-
 def quality_report_eager(coverage: DataFrame, run_ts: datetime | Column | None = None) -> DataFrame:
     """The same report without silver: sums of the joins' sizes instead of their rows."""
     times = F.col("fan_out")

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.changes import apply_deletes, apply_inserts, apply_updates
 from ..operators.clean import clean_sheet
 from ..schemas import Entity
+from ..session import stored
 from ..sources.sheets import read_sheet
 from ..sources.tables import Catalog, read_table, rewrite_table, write_table
 from ..streaming.arrivals import append_to_bronze, arriving_rows
 from .golden import priority_summary, quality_report
-from .silver import silver
+from . import metrics
+from .silver import all_concepts, coverage, silver
 
 
 def ingest_sheet(
@@ -47,6 +49,8 @@ def ingest_stream(
     """All files not yet taken, appended to the bronze table; returns when they are in."""
     rows = arriving_rows(spark, folder, entity, headers, fmt, run_ts)
     append_to_bronze(rows, entity, catalog, checkpoint).awaitTermination()
+    # The stream writes in a session of its own; this one may still know the old files.
+    spark.catalog.refreshTable(catalog.table_name("bronze", entity.table))
 
 
 def build_silver(spark: SparkSession, catalog: Catalog = Catalog(), run_ts: datetime | None = None) -> None:
@@ -68,6 +72,23 @@ def build_golden(spark: SparkSession, catalog: Catalog = Catalog(), run_ts: date
     write_table(priority_summary(rows, run_ts), catalog, "golden", "resumen_prioridad_dominio")
 
 
+def dashboard(spark: SparkSession, catalog: Catalog = Catalog()) -> dict[str, DataFrame]:
+    """The dashboard's figures over the bronze tables; what several of them need is computed once."""
+    concepts, rules, trace, custom = (
+        read_table(spark, catalog, "bronze", table)
+        for table in ("conceptos_negocio", "reglas_calidad", "trazabilidad", "app_custom_concepts")
+    )
+    covered = stored(coverage(concepts, rules, trace, custom), "coverage")
+    everything = all_concepts(concepts, custom)
+    return {
+        "totals": metrics.dashboard_totals(covered),
+        "flags_by_domain": metrics.flags_by_domain(covered),
+        "completeness": metrics.completeness(covered),
+        "priority_share": metrics.priority_share(everything),
+        "rules_by_principle": metrics.rules_by_principle(everything, rules),
+    }
+
+
 def change_bronze(
     spark: SparkSession,
     entity: Entity,

@@ -190,6 +190,8 @@ class Entity:
     choices: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
+# The fields of the forms that insert and edit each sheet, and those
+# that must be filled.
 CONCEPT = Entity(
     table="conceptos_negocio",
     schema=CONCEPTS,

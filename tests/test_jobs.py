@@ -63,6 +63,11 @@ def test_sheets_to_golden(spark, catalog, tmp_path):
     assert report["No Especificado"].total_conceptos == 1
     assert read_table(spark, catalog, "golden", "resumen_prioridad_dominio").count() == 2
 
+    figures = jobs.dashboard(spark, catalog)
+    totals = {r.metric: r.total for r in figures["totals"].collect()}
+    assert (totals["entities"], totals["with_rule"], totals["with_trace"]) == (2, 1, 1)
+    assert all(df.count() for df in figures.values())
+
     # appending keeps what is there, overwriting does not
     jobs.ingest_sheet(spark, folders["r"], RULE, catalog, mode="append", run_ts=RUN)
     assert read_table(spark, catalog, "bronze", RULE.table).count() == 4
@@ -124,6 +129,15 @@ def test_stream_takes_each_file_once_and_equals_batch(spark, tmp_path):
     assert got == bag(batch) and sum(got.values()) == 4
 
 
+def test_stream_into_bronze(spark, catalog, tmp_path):
+    folder = sheets(tmp_path)["r"]
+    before = read_table(spark, catalog, "bronze", RULE.table).count()
+    checkpoint = shared_folder(spark, "checkpoint")
+    for _ in range(2):
+        jobs.ingest_stream(spark, folder, RULE, checkpoint, catalog, run_ts=RUN)
+    assert read_table(spark, catalog, "bronze", RULE.table).count() == before + 2
+
+
 def test_shared_folder_is_below_the_configured_one(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark, "x").startswith(root) and shared_folder(spark, "x") != shared_folder(spark, "x")
