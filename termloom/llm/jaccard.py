@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.anchors import _TABLES, mixed, powers
-from termloom.llm.common import stored, table
+from termloom.llm.common import parts, stored, table
 
 N_WORDS = 5
 LINK = (4, 9)  # similarity 0.8: shared / (a + b) of at least 4 / 9
@@ -131,7 +131,7 @@ def described(docs: DataFrame) -> DataFrame:
 
     def describe(batches: Batches) -> Batches:
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-        for batch in batches:
+        for batch in parts(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             rows = []
             for doc, x, text, own in zip(
@@ -165,7 +165,7 @@ def squares(size: Column, side: int, of: Column) -> Column:
 def grouped(batches: Batches, keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
     """Groups of rows that follow one another with equal keys."""
     last, held = None, []
-    for batch in batches:
+    for batch in parts(batches):
         for row in batch.to_pylist():
             key = tuple(row[k] for k in keys)
             if key != last and held:
@@ -255,11 +255,12 @@ def verified(docs: DataFrame, members: DataFrame, group: str) -> DataFrame:
     ``members``: set, ``group``, size (of the group), texts (of the class), doc_id and x of a row that has the text.
     """
     wanted = members.select(F.col("doc_id").alias("d"), F.col("x").alias("x2"), "set", group, "size", "texts")
-    found = keyed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("x") == F.col("x2")))
+    # A merge join at every size: the plan does not change with the number of members.
+    found = keyed(docs).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("x") == F.col("x2")))
 
     def sets(batches: Batches) -> Batches:
         done: set[bytes] = set()
-        for batch in batches:
+        for batch in parts(batches):
             rows = [row for row in batch.to_pylist() if row["set"] not in done and not done.add(row["set"])]
             texts = [row["text"].encode("utf-8", "surrogatepass") for row in rows]
             made = [(row["set"], own.tobytes()) for row, own in zip(rows, shingle_sets(texts))]
