@@ -33,7 +33,7 @@ from termloom.llm.vocabulary import Remembered, pieces, read_ranks, slices
 LEVELS = 24
 CHUNK_BYTES = 1_000_000
 SHORT_BYTES = 64
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 6_000_000
 
 # One pair a step: for the many short pieces. A piece's tokens are a list that the step takes apart into
 # position rows and, after the join with the merge table, puts together again around the contracted pair.
@@ -107,7 +107,7 @@ class Coder:
         if max(ranks.values()) >= 65536:
             raise ValueError("the vocabulary has ids of 65,536 or more")
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         given = merge_table(ranks)  # noqa: F841  (named in the next statement)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         entries = pa.table({"id": list(ranks.values()), "bytes": pa.array(list(ranks), pa.binary())})  # noqa: F841
@@ -167,6 +167,8 @@ class Coder:
             "SELECT string_agg(t::VARCHAR, ' ' ORDER BY i), unhex(string_agg(bytes, '' ORDER BY i)) "
             "FROM tokens JOIN vocabulary ON id = t GROUP BY w ORDER BY w"
         ).fetchall()
+        for name in ("start", "tokens", "ended", "unready"):
+            self.db.execute(f"DROP TABLE IF EXISTS {name}")
         for at, (ids, decoded) in zip(group, made, strict=True):
             # The text of a good round trip is the piece itself and takes no memory of its own.
             out[at] = ids, words[at] if decoded == coded[at] else decoded.decode()
@@ -175,7 +177,12 @@ class Coder:
 @cache
 def remembered(path: str) -> Remembered:
     """One for each worker process and vocabulary."""
-    return Remembered(Coder(path).made_of)
+    return Remembered(Coder(path).made_of, most=500_000)
+
+
+def rested(path: str) -> None:
+    """At the end of a task: a worker that waits for other work holds no pieces."""
+    remembered(path).forget()
 
 
 def coded_texts(texts: list[str], path: str) -> Iterator[tuple[str, int, str]]:
@@ -189,7 +196,7 @@ def coded_texts(texts: list[str], path: str) -> Iterator[tuple[str, int, str]]:
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (decimal, joined by blanks), n_tokens and the decoded text of each row."""
-    return per_text(docs, lambda texts: list(coded_texts(texts, path)), "ids string, n_tokens long, decoded string")
+    return per_text(docs, lambda texts: list(coded_texts(texts, path)), "ids string, n_tokens long, decoded string", 4096, lambda: rested(path))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -199,7 +206,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         made = coded_texts(texts, path)
         return [(ids, n, int(decoded == text)) for text, (ids, n, decoded) in zip(texts, made)]
 
-    return per_text(docs, rows, "ids string, n_tokens long, round_trip long")
+    return per_text(docs, rows, "ids string, n_tokens long, round_trip long", 4096, lambda: rested(path))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -211,7 +218,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             for ids, n, decoded in coded_texts(texts, path)
         ]
 
-    return per_text(docs, rows, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return per_text(docs, rows, "n_tokens long, ids_sha256 string, decoded_sha256 string", 4096, lambda: rested(path))
 
 
 def default_ranks() -> str:

@@ -49,12 +49,16 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
 
 
 def per_text(
-    docs: DataFrame, compute: Callable[[list[str]], list[tuple]], columns: str, at_once: int = 256
+    docs: DataFrame,
+    compute: Callable[[list[str]], list[tuple]],
+    columns: str,
+    at_once: int = 256,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """``doc_id`` and the columns that ``compute`` makes of each text of a batch (null: empty), in Arrow batches.
 
     ``columns`` lists names and types (``long``, ``string``, ``binary``). ``doc_id`` passes as it is.
-    ``compute`` gets ``at_once`` texts at a time.
+    ``compute`` gets ``at_once`` texts at a time. ``after`` is called at the end of each task.
     """
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = [pair.split() for pair in columns.split(",")]
@@ -66,5 +70,7 @@ def per_text(
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), *made], names=["doc_id", *[name for name, _ in fields]]
             )
+        if after:
+            after()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, f"doc_id long, {columns}")

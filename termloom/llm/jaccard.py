@@ -38,7 +38,7 @@ TREES, DEPTH = 20, 8
 TARGET_RECALL = 0.9999
 NODE_SQUARE = 256
 SET_SQUARE = 64
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 _FACTORS = np.random.default_rng(5_802).integers(1, 1 << 63, size=TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

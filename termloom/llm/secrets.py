@@ -27,10 +27,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import per_text, table
+from termloom.llm.common import parts, per_text, table
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -161,10 +162,10 @@ def tally(docs: DataFrame) -> DataFrame:
     Those that failed it count as step 0: they are among the hypotheses tested.
     """
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int, int], int] = {}  # at most encodings x bands x steps entries
-        for frame in frames:
-            for text in frame["text"]:
+        for batch in parts(batches):
+            for text in batch.column("text").to_pylist():
                 for start, end, tested in candidates(text or ""):
                     if tested is None:
                         which = encoding_of(text[start:end])
@@ -173,9 +174,13 @@ def tally(docs: DataFrame) -> DataFrame:
                         n = len(text[start:end].rstrip("="))
                         tested = (which, max(0, sum(n >= low for low in BANDS) - 1), 0)
                     seen[tested] = seen.get(tested, 0) + 1
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["encoding", "band", "step", "n"])
+        columns = list(zip(*[(*k, n) for k, n in seen.items()])) or [(), (), (), ()]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["encoding", "band", "step", "n"]
+        )
 
-    rows = docs.select("text").mapInPandas(count, "encoding int, band int, step int, n long")
+    rows = docs.select("text").mapInArrow(count, "encoding int, band int, step int, n long")
     return rows.groupBy("encoding", "band", "step").agg(F.sum("n").alias("n"))
 
 

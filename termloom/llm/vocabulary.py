@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -83,14 +84,25 @@ class Remembered:
         self.make, self.most = make, most
         self.numbers, self.values = Numbered(), []
 
+    def forget(self) -> None:
+        self.numbers, self.values = Numbered(), []
+
     def of(self, texts: list[list[str]]) -> Iterator[list]:
         """The values of the parts of each text."""
         if len(self.values) > self.most:
-            self.numbers, self.values = Numbered(), []
-        number = self.numbers.__getitem__
-        coded = [list(map(number, parts)) for parts in texts]
-        if new := self.numbers.order[len(self.values) :]:
-            self.values += self.make(new)
+            self.forget()
+        # Very many objects are made here and none refers back to another, so the
+        # collector's passes over the whole memory would find nothing.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            number = self.numbers.__getitem__
+            coded = [list(map(number, parts)) for parts in texts]
+            if new := self.numbers.order[len(self.values) :]:
+                self.values += self.make(new)
+        finally:
+            if collecting:
+                gc.enable()
         value = self.values.__getitem__
         for codes in coded:
             yield list(map(value, codes))
