@@ -290,7 +290,8 @@ def splitters(opens: DataFrame, ranges: int) -> list[bytes]:
             yield batch_of("s binary", [(side,) for side in picked])
 
     sample = opens.select("starts", "counts", "offsets", "content").mapInArrow(some, "s binary")
-    picked = sorted(r["s"] for r in sample.orderBy(F.xxhash64("s"), "s").limit(SPLITTERS).collect())
+    bounded = stored(sample.orderBy(F.xxhash64("s"), "s").limit(SPLITTERS), "repeats-sample")
+    picked = sorted(r["s"] for r in bounded.collect())
     return sorted({bytes(picked[len(picked) * i // ranges]) for i in range(1, ranges)}) if picked else []
 
 
