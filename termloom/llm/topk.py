@@ -13,7 +13,8 @@ candidates are scored by matrix products, again in each round:
 So no partition and no task ever holds more than its block of scores, however many scores tie.
 
 Cases: vectors that are null, or hold null or non-finite components, and rows without id take no part. Rows are told
-apart by their id: a query does not meet rows of its own id, other repeated rows count each. Vectors of unequal length
+apart by their id: a query does not meet rows of its own id (of several vectors with a query's id the least asks), other
+repeated rows count each. Vectors of unequal length
 do not meet. An empty vector scores 0 with the others of its kind. Fewer than k candidates: all of them. Only ``vec_id`` and ``embedding`` are read.
 """
 
@@ -169,7 +170,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """
     rows = stored(usable(vectors), "topk-vectors")
     spark = vectors.sparkSession
-    queries = rows.filter(is_query).dropDuplicates(["vec_id"])
+    queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     # Blocks by ranges of ids: the ids' order is cut into runs of at most BLOCK.
     numbered = queries.repartitionByRange("vec_id").sortWithinPartitions("vec_id")
     packed = stored(numbered, "topk-queries")
