@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from termloom.llm.common import table
+from termloom.llm.common import parts, table
 from termloom.llm.vocabulary import Remembered, chunks, slices
 from termloom.session import shared_folder
 
@@ -156,7 +157,6 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memory = Remembered(self.encoded)
@@ -188,7 +188,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([maker.made(part, number)], pa.binary())], names=["content"])
 
-        for batch in batches:
+        for batch in parts(batches, 2048):
             texts = [text or "" for text in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer_path).of(texts)):
                 maker.add(doc_id, ids + end)
@@ -246,23 +246,43 @@ def read_tokens(spark: SparkSession, path: str, wanted: list[int] | None = None)
     return files.mapInArrow(rows, "part long, number long, doc_id long, before long, ids binary")
 
 
-def placed(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from rows of ``read_tokens``.
+def file_starts(spark: SparkSession, path: str) -> DataFrame:
+    """part, number, file_start: how many ids lie before each file. Reads the indexes only, and orders one row a file."""
 
-    Only the totals of the files, one row each, are put in order to find where each file starts.
-    """
-    own = tokens.select(
-        "part",
-        "number",
-        "doc_id",
-        "before",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"),
-    )
-    totals = own.groupBy("part", "number").agg(F.sum("n_tokens").alias("total"))
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            opened = [OpenFile(content) for content in filter(None, batch.column("content").to_pylist())]
+            rows = [(one.part, one.number, int(one.counts.sum())) for one in opened]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row[i] for row in rows], pa.int64()) for i in range(3)], names=["part", "number", "total"]
+            )
+
+    files = spark.read.format("binaryFile").load(path).select("content")
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("part", "number", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("file_start"))
-    return own.join(starts, ["part", "number"]).select(
+    return files.mapInArrow(totals, "part long, number long, total long").select(
+        "part", "number", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("file_start")
+    )
+
+
+def placed(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from its ids as read back."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in filter(None, batch.column("content").to_pylist()):
+                opened = OpenFile(content)
+                rows = [(doc, before, len(ids) // 4, zlib.crc32(ids)) for doc, before, ids in opened.documents()]
+                columns = [pa.array([row[i] for row in rows], pa.int64()) for i in range(4)]
+                place = [pa.array([x] * len(rows), pa.int64()) for x in (opened.part, opened.number)]
+                yield pa.RecordBatch.from_arrays(
+                    [*place, *columns], names=["part", "number", "doc_id", "before", "n_tokens", "ids_crc32"]
+                )
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    own = files.mapInArrow(
+        digests, "part long, number long, doc_id long, before long, n_tokens long, ids_crc32 long"
+    )
+    return own.join(file_starts(spark, path), ["part", "number"]).select(
         "doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
 
@@ -274,4 +294,4 @@ def default_tokenizer() -> str:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
     write_tokens(table(spark, sf_dir, "documents"), default_tokenizer(), path)
-    return placed(read_tokens(spark, path))
+    return placed(spark, path)
