@@ -86,7 +86,7 @@ def _sets_of(texts: list[bytes]) -> Iterator[np.ndarray]:
     step = np.uint64(0x9FB21C651E98DF25)
     n = len(words)
     grams = np.zeros(n, dtype=np.uint64)
-    for k in range(N_WORDS):
+    for k in range(min(N_WORDS, n)):
         grams[: n - k] = grams[: n - k] * step + words[k:] if k else words
     whole = np.arange(n) + N_WORDS <= (first + counts)[text_of] if n else np.zeros(0, dtype=bool)
     values, owner = mixed(grams[whole]), text_of[whole]

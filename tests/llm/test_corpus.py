@@ -157,6 +157,23 @@ def test_near_duplicates_with_awkward_rows(spark):
     assert jaccard.near_duplicates(none(spark)).count() == 0
 
 
+def test_shingles_of_few_words_in_a_slice(spark):
+    words = "one two three four five".split()
+    few = [" ".join(words[:n]).encode() for n in range(6)]
+    sizes = [0, 1, 1, 1, 1, 1]
+    assert [len(own) for text in few for own in jaccard.shingle_sets([text])] == sizes
+    together = list(jaccard.shingle_sets(few))
+    for text, size, own in zip(few, sizes, together):
+        long_text = (b"word " * jaccard.SLICE_BYTES)[: jaccard.SLICE_BYTES]
+        assert [len(x) for x in jaccard.shingle_sets([long_text, text])][1:] == [size]
+        assert np.array_equal(next(jaccard.shingle_sets([text])), own)
+    docs = spark.createDataFrame([(1, "two words"), (2, "two  words"), (3, "now three words")], "doc_id long, text string").coalesce(1)
+    got = bag(jaccard.near_duplicates(docs).collect(), "doc_id", "class_id", "n_links")
+    assert got == Counter({(1, 1, 1): 1, (2, 1, 1): 1, (3, 3, 0): 1})
+    alone = spark.createDataFrame([(1, "two words")], "doc_id long, text string")
+    assert bag(jaccard.near_duplicates(alone).collect(), "doc_id", "class_id", "n_links") == Counter({(1, 1, 0): 1})
+
+
 def test_near_duplicates_in_a_large_group(spark, monkeypatch):
     """Squares smaller than the group: every link is still counted once."""
     monkeypatch.setattr(jaccard, "NODE_SQUARE", 4)
