@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a randomness test battery over all token-like strings.
 
-Every run of 20 or more characters of ``A-Za-z0-9+/_=-`` is a candidate. Its encoding is the smallest
+Every run of 20 or more characters of ``A-Za-z0-9+/_-`` is a candidate, with one or two ``=`` that end it as padding; any
+other ``=`` parts runs, so that the name and the value of ``NAME=token`` are tested apart. Its encoding is the smallest
 alphabet that holds all its characters. Three tests ask whether it looks like independent uniform
 symbols of that alphabet: a chi-squared test of the symbol counts, a runs test about the middle of the
 alphabet, and a lag-one serial correlation test. A candidate that fails one of them (Holm, 0.1 %)
@@ -38,7 +39,8 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+# An equals sign only ends a candidate, as padding: NAME=token is two runs.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 KINDS = ("assign", "access", "hex", "random")
 
 

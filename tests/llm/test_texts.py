@@ -90,6 +90,20 @@ def test_secrets_in_documents(spark):
     assert sum(by_row(secrets.scan(documents(spark), {}), "spans").values()) == len(rows())
 
 
+def test_secrets_after_equals_signs(spark):
+    rng = random.Random(5)
+    alphabet = secrets.UPPER + secrets.LOWER + secrets.DIGITS
+    keys = ["".join(rng.choices(alphabet, k=48)) for _ in range(4)]
+    texts = [f"AWS_KEY={keys[0]}\n", f"see https://host/a?x={keys[1]}&y=1", f"A_LONG_NAME_OF_MANY_LETTERS={keys[2]}", f"k={keys[3]}== end"]
+    expected = ["AWS_KEY=[secret]\n", "see https://host/a?x=[secret]&y=1", "A_LONG_NAME_OF_MANY_LETTERS=[secret]", "k=[secret] end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(docs, secrets.thresholds(docs)).collect()}
+    for i, (text, key) in enumerate(zip(texts, keys)):
+        at = text.index(key)
+        assert got[i] == f"random:{at}:{at + 48 + 2 * (i == 3)}"
+    assert [r.text for r in secrets.masked(docs).orderBy("doc_id").collect()] == expected
+
+
 def test_licenses_against_plain_dice(spark, capsys):
     def units(text):
         plain = re.sub(r"[^\w\n]+|_+", " ", text or "").lower()
