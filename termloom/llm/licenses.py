@@ -1,13 +1,19 @@
 """Licence scan: text compared with licence templates by Dice coefficient over word bigrams.
 
-A text is compared as a whole, by its blocks (runs of lines between empty lines) and by its lines, so that a notice in
-the middle of prose is found as well as a licence file. All are normalised alike: lower case, and everything that
+A text is compared as a whole, by its blocks (runs of lines between empty lines) and by its lines, and then by its runs
+of words wherever these begin and end, so that a notice in the middle of a sentence, directly before code or spread over several
+blocks is found as well as a licence file. All are normalised alike: lower case, and everything that
 is neither letter nor digit is a gap. Two sets of bigrams of sizes a and b can reach a coefficient t only if
 t / (2 - t) <= a / b <= (2 - t) / t; templates outside of these bounds are pruned before any bigram is compared, and so
 are units whose number of words alone rules out every template. For the same reason a match shares at least b t / (2 - t)
 bigrams with its template. Words are chosen such that more of each template's bigrams than a match can miss hold
 one of them; a text with none of these words cannot match and is not taken apart.
 
+Runs begin and end with a bigram of their template and have at most b (2 - t) / t bigrams, repeated ones counted. They are
+taken only for templates of which the text holds b t / (2 - t) bigrams. Of the runs that begin at one place the best counts,
+so that a notice does not also stand for its neighbours (GPL-3.0 for GPL-2.0). Runs add the licences that no unit
+matches, each with its best run as one match; ``OP3_SQL`` knows units only, and what units match is as it says.
+
 All of it is one projection of built-in expressions: nothing is shuffled, and the templates are a literal.
 
 Cases: a null or empty text matches nothing. Repeated rows give equal results. Equal coefficients go to the template
@@ -26,6 +32,7 @@ from pyspark.sql import functions as F
 from termloom.llm.common import let, table
 
 THRESHOLD_PERCENT = 80
+MATCHES = "array<struct<license:string,shared:int,total:int>>"
 LONG_WORD = 5  # letters; longer words are looked for anywhere, shorter ones only as whole words
 # Wordings of public licences and of the usual notices that refer to one.
 TEMPLATES = {
@@ -109,8 +116,70 @@ def _pairs(unit: Column) -> Column:
     )
 
 
+def _runs(unit: Column, known: Column, pairs: list[str], percent: int) -> Column:
+    """Array of (license, shared, total): the best run of words of each licence that some run of the unit matches."""
+
+    def of_template(t: Column, own: Column) -> Column:
+        reach = F.floor(t["n"] * (200 - percent) / percent).cast("int")
+
+        def from_place(places: Column, s: Column, j: Column) -> Column:
+            def best(ends: Column) -> Column:
+                scores = F.transform(
+                    ends,
+                    lambda e, k: F.struct(
+                        F.size(F.array_distinct(F.transform(F.slice(ends, 1, k + 1), lambda i: F.get(own, i)))).alias("shared"),
+                        (F.size(F.array_distinct(F.slice(own, s + 1, e - s + 1))) + t["n"]).alias("total"),
+                    ),
+                )
+                fit = F.filter(scores, lambda x: x["shared"] * 200 >= x["total"] * percent)
+                ranked = F.transform(
+                    fit,
+                    lambda x: F.struct(
+                        s.alias("at"), (-x["shared"] / x["total"]).alias("rank"), t["name"].alias("license"), x["shared"], x["total"]
+                    ),
+                )
+                enough = F.size(F.array_distinct(F.transform(ends, lambda i: F.get(own, i)))) * (200 - percent) >= t["n"] * percent
+                return F.when(enough, F.array_min(ranked))
+
+            return let(F.filter(F.slice(places, j + 1, reach), lambda e: e < s + reach), best)
+
+        places = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.array_contains(t["own"], F.get(own, i)))
+        return let(places, lambda found: F.transform(found, lambda s, j: from_place(found, s, j)))
+
+    def named(ordered: Column) -> Column:
+        first = F.filter(ordered, lambda m, i: ~F.get(ordered, i - 1)["at"].eqNullSafe(m["at"]))
+        ranked = F.array_sort(
+            F.transform(first, lambda m: F.struct(m["license"], m["rank"], m["shared"], m["total"]))
+        )
+        best = let(ranked, lambda r: F.filter(r, lambda m, i: ~F.get(r, i - 1)["license"].eqNullSafe(m["license"])))
+        return F.transform(best, lambda m: F.struct(m["license"], m["shared"], m["total"]))
+
+    def searched(own: Column) -> Column:
+        def among(near: Column) -> Column:
+            some = F.flatten(F.transform(near, lambda t: of_template(t, own)))
+            ordered = F.array_sort(F.filter(some, lambda m: m.isNotNull()))
+            return F.when(F.size(near) > 0, let(ordered, named)).otherwise(F.array().cast(MATCHES))
+
+        held = F.array_distinct(F.filter(own, lambda x: x.isin(*pairs)))
+        near = let(
+            held,
+            lambda h: F.filter(
+                known,
+                lambda t: (F.size(h) * (200 - percent) >= t["n"] * percent)
+                & (F.size(F.array_intersect(h, t["own"])) * (200 - percent) >= t["n"] * percent),
+            ),
+        )
+        return let(near, among)
+
+    words = F.split(unit, " ")
+    in_order = let(
+        words, lambda w: F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
+    )
+    return let(in_order, searched)
+
+
 def matches(text: Column, templates: dict[str, list[str]] = TEMPLATES, percent: int = THRESHOLD_PERCENT) -> Column:
-    """Array of (license, shared, total) of a text's units: the coefficient is 2 x shared / total."""
+    """Array of (license, shared, total) of a text's units and runs: the coefficient is 2 x shared / total."""
     ready = prepared(templates)
     known = F.array(
         *[
@@ -149,7 +218,14 @@ def matches(text: Column, templates: dict[str, list[str]] = TEMPLATES, percent:
         return let(_pairs(unit), scored)
 
     wordy = F.filter(units, lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) >= max(2, least))
-    found = F.flatten(F.transform(wordy, compared))
+    pairs = sorted({pair for _, own in ready for pair in own})
+
+    def with_runs(found: Column) -> Column:
+        names = F.transform(found, lambda m: m["license"])
+        more = F.filter(_runs(F.get(units, 0), known, pairs, percent), lambda m: ~F.array_contains(names, m["license"]))
+        return F.concat(found, more)
+
+    found = let(F.flatten(F.transform(wordy, compared)), with_runs)
     anchors = anchor_words(ready, percent)
     short = "|".join(word for word in anchors if len(word) < LONG_WORD)
     token = rf"(?<![\p{{L}}\p{{N}}])(?:{short})(?![\p{{L}}\p{{N}}])"
@@ -159,11 +235,11 @@ def matches(text: Column, templates: dict[str, list[str]] = TEMPLATES, percent:
         return reduce(or_, [*tests, small.rlike(token)] if short else tests)
 
     hit = let(F.lower(F.coalesce(text, F.lit(""))), anchored)
-    return F.when(hit, found).otherwise(F.array().cast("array<struct<license:string,shared:int,total:int>>"))
+    return F.when(hit, found).otherwise(F.array().cast(MATCHES))
 
 
 def scanned(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """doc_id, licenses (names found, in order), best_license, best_percent (rounded down), n_matches (units x templates)."""
+    """doc_id, licenses (names found, in order), best_license, best_percent (rounded down), n_matches (units x templates, and licences by runs alone)."""
     found = F.col("found")
     ordered = F.array_sort(
         F.transform(

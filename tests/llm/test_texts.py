@@ -132,6 +132,26 @@ def test_licenses_against_plain_dice(spark, capsys):
     assert "Python" not in plan and "Exchange" not in plan.split("Scan")[0].replace("Exchange RoundRobin", "")
 
 
+def test_licenses_inside_of_larger_units(spark):
+    bsd, apache = licenses.TEMPLATES["BSD-2-Clause"][1], licenses.TEMPLATES["Apache-2.0"][1]
+    clauses = bsd.replace(" 1. ", ":\n\n1. ").replace(" 2. ", "\n\n2. ")
+    prose = " ".join(f"word{i}" for i in range(200)) + " "
+    code = "\n".join(f"value{i} = compute({i})" for i in range(100))
+    given = [
+        ("Copyright (c) 2020 Foo. Licensed under the MIT License.", "MIT", 100.0),
+        (f"Copyright (c) 2020 Foo\n\n{clauses}\n\n{prose}", "BSD-2-Clause", 100.0),
+        (apache.replace("\n", "\n# ") + "\n" + code, "Apache-2.0", 100.0),
+        (f"{prose}This work is licensed under the GNU General Public License, version 3. {prose}", "GPL-3.0", 100.0),
+        (f"{prose}{licenses.TEMPLATES['CC-BY-NC-4.0'][1]} {prose}", "CC-BY-NC-4.0", 100.0),
+        (f"{prose}Licensed under CC BY 4.0. {prose}Licensed under CC BY-NC 4.0.", "CC-BY-4.0,CC-BY-NC-4.0", 100.0),
+        (f"{prose} the MIT licence, the license of the software, under the conditions of the source", "", None),
+        ("license", "", None),
+    ]
+    docs = spark.createDataFrame([(i, g[0]) for i, g in enumerate(given)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.best_percent) for r in licenses.scanned(docs).collect()}
+    assert got == {i: (names, best) for i, (_, names, best) in enumerate(given)}
+
+
 def odd_texts(n=300):
     rng = random.Random(4)
     return ["".join(rng.choices("aAbé日 \n\t_1² \x1f'sdl!½\x85", k=40)) for _ in range(n)] + [
