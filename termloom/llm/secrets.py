@@ -3,7 +3,7 @@
 Every run of 20 or more characters of ``A-Za-z0-9+/_-`` is a candidate, with one or two ``=`` that end it as padding; any
 other ``=`` parts runs, so that the name and the value of ``NAME=token`` are tested apart. Its encoding is the smallest
 alphabet that holds all its characters. Three tests ask whether it looks like independent uniform
-symbols of that alphabet: a chi-squared test of the symbol counts, a runs test about the middle of the
+symbols of that alphabet (rules of marks, and words or numbers parted by marks, are no hypotheses): a chi-squared test of the symbol counts, a runs test about the middle of the
 alphabet, and a lag-one serial correlation test. A candidate that fails one of them (Holm, 0.1 %)
 is not random. For the others the chi-squared statistic is held against ordinary text, whose symbol
 frequencies depart from uniform by a stated effect: the statistic is then noncentral with a centre that
@@ -41,6 +41,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 # An equals sign only ends a candidate, as padding: NAME=token is two runs.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+# Rules and slugs: marks alone, or words and numbers that marks part.
+PLAIN = re.compile(r"[+/_-]++|[+/_-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++)[+/_-]++)+(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++)?")
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -78,8 +80,9 @@ def normal_tail(z: float) -> float:
 
 
 def encoding_of(token: str) -> int | None:
-    own = set(token.rstrip("="))
-    if not own or own <= set(DIGITS):
+    core = token.rstrip("=")
+    own = set(core)
+    if not own or own <= set(DIGITS) or PLAIN.fullmatch(core):
         return None
     return next((i for i, codes in enumerate(CODES) if own <= codes.keys()), None)
 

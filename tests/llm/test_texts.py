@@ -90,6 +90,14 @@ def test_secrets_in_documents(spark):
     assert sum(by_row(secrets.scan(documents(spark), {}), "spans").values()) == len(rows())
 
 
+def test_rules_and_slugs_are_no_hypotheses(spark):
+    plain = ["-" * 30, "_" * 20, "the-quick-brown-fox-jumps", "/usr/local/share/Documents", "LOG_2024_01_01_SERVER_START/"]
+    assert [secrets.encoding_of(x) for x in plain] == [None] * 5
+    assert secrets.encoding_of("the-quick-brown-f0x-jumps") is not None and secrets.encoding_of("abcdefghijklmnopqrstuvwxyz") is not None
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(plain)], "doc_id long, text string")
+    assert secrets.tally(docs).count() == 0
+
+
 def test_secrets_after_equals_signs(spark):
     rng = random.Random(5)
     alphabet = secrets.UPPER + secrets.LOWER + secrets.DIGITS
