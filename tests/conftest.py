@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import os
 import sys
-from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -41,9 +40,3 @@ def frame(spark):
         return spark.createDataFrame(list(rows), schema)
 
     return make
-
-
-def bag(df):
-    """Rows as a multiset, columns by name, so that order does not matter."""
-    names = sorted(df.columns)
-    return Counter(tuple(row[n] if not isinstance(row[n], list) else tuple(row[n]) for n in names) for row in df.collect())

@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from conftest import bag
+from rows import bag
 from termloom.operators.changes import (
     accepted, apply_deletes, apply_inserts, apply_updates, check_changes, rejected,
 )

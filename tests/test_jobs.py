@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from conftest import bag
+from rows import bag
 from termloom.plans import jobs
 from termloom.plans.golden import quality_report_eager
 from termloom.plans.silver import coverage

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import bag
+from rows import bag
 from termloom.operators.joins import hot_fans, join_fanout, join_unique, key_counts
 
 

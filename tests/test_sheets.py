@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import bag
+from rows import bag
 from termloom.operators.clean import clean_sheet, conform, drop_legend, normalise_headers
 from termloom.schemas import CONCEPT, CONCEPT_LEGEND, CONCEPTS, LINEAGE, RULE, TRACE
 from termloom.sources.sheets import REJECT, read_sheet, read_sheet_rows, stream_sheet

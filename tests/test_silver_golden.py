@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import bag
+from rows import bag
 from termloom.operators.clean import conform
 from termloom.plans import golden, metrics, silver
 from termloom.schemas import (

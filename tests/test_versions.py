@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import bag
+from rows import bag
 from termloom.operators.versions import (
     apply_diff, as_of, dedup_concepts, history, latest_per_key, newest_with_key, revert_diff, snapshot_diff,
 )
