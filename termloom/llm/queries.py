@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, jaccard, licenses, mixing, quality, repeats, secrets, sharding, tokenfile, topk
+from termloom.llm import (
+    bpe, jaccard, licenses, mixing, periods, phrases, quality, repeats, secrets, sharding, tokenfile, topk,
+)
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,9 +17,12 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_repeats": repeats.op9_repeats,
     "op10_shards": sharding.op10_shards,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
 ORACLE = {
     "op2_quality_rules": quality.OP2_SQL,
     "op3_license_scan": licenses.OP3_SQL,
     "op5_top_k": topk.OP5_SQL,
+    "op12_phrases": phrases.OP12_SQL,
 }
