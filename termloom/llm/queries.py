@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from termloom.llm import (
     bpe, jaccard, licenses, mixing, periods, phrases, quality, repeats, secrets, sharding, tokenfile, topk,
+    winnowing,
 )
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_repeats": repeats.op9_repeats,
     "op10_shards": sharding.op10_shards,
+    "op11_decontamination": winnowing.op11_decontamination,
     "op12_phrases": phrases.op12_phrases,
     "op13_periodic_runs": periods.op13_periodic_runs,
 }
@@ -24,5 +26,6 @@ ORACLE = {
     "op2_quality_rules": quality.OP2_SQL,
     "op3_license_scan": licenses.OP3_SQL,
     "op5_top_k": topk.OP5_SQL,
+    "op11_decontamination": winnowing.OP11_SQL,
     "op12_phrases": phrases.OP12_SQL,
 }

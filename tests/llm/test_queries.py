@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, key):
 def test_all_are_registered():
     found = entry.queries()
     assert "pipeline" in found and set(QUERIES) <= set(found)
-    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_pipeline_stages(spark):
