@@ -1,15 +1,12 @@
 """Phrase collocations by stripes: each word keys an associative counter of what follows it.
 
 A task cuts a block of texts into pieces and words and counts, for each language and word x of the block, how often x
-occurs and how often it goes on with y, and with y z. That is the stripe of x: one row with the continuations (the empty one
-for x itself) and their counts. Stripes of one word are merged elementwise after a shuffle by word. The merged stripes hold
-everything the score needs: the total of a prefix (x, or x y), its extensions, and the largest extension, which decides
-whether a shorter phrase is subsumed. What a phrase is subsumed by on its left comes from the stripe of another word,
-by a join of the few frequent continuations.
-
-The stripes of very frequent words, at most 1,000 of all languages together and so a list of bounded size, are cut by their
-next word into ``SPLITS`` pieces. They are found first, in a pass that returns of each block only the words that hold a
-thousandth of it. The list decides where counts meet, not what they are.
+occurs and how often it goes on with y, and with y z. That is the stripe of x: x itself and its continuations, with their counts. A
+stripe is dealt by its next word into ``SHARES`` parts, so that no word, however frequent, has its counts in one place, and the parts go by
+hash into buckets, whose number follows the size of the input. A row holds what a block has for a bucket. After the shuffle the parts of
+all blocks are merged elementwise, a bucket at a time, in bounded steps. The merged stripes hold everything the score needs: the total of a
+prefix (x, or x y), its extensions, and the largest extension, which decides whether a shorter phrase is subsumed. What a phrase
+is subsumed by on its left comes from the stripe of another word, by a join of the few frequent continuations.
 
 A phrase counted less than the least count cannot be a candidate or a part of one, so it goes once the counts are
 merged, and never before. Scores are whole numbers made of decimals of 38 digits.
@@ -27,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +36,14 @@ SUBSUMED_PERCENT = 50
 TOP = 2_000
 MARKS = byte_set(".,;:!?", range(0x0A, 0x0E))
 OUTSIDE = MARKS | byte_set("\x20\x09")
-BLOCK_BYTES = 12 << 20
-HEAVY_SHARE = 1_000  # a heavy word is at least one in so many words
-SPLITS = 64
+BLOCK_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20  # of text whose counts meet in one bucket
+MERGE_ENTRIES = 1_000_000  # are held before they are added up
+SHARES = 64
 RANK_SPREAD = 64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-STRIPES = "lang string, word string, piece int, following array<string>, counts array<long>"
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -90,120 +89,116 @@ class Counted:
         triples, times = np.unique(of_place[at] * n + token[at + 2], return_counts=True)
         return codes // n, codes % n, count, triples // n, triples % n, times
 
+    def stripes(self, buckets: int) -> Iterator[tuple[str, int, pa.Array, np.ndarray]]:
+        """language, bucket, phrases and counts; the empty phrase counts all words of a language."""
+        x, y, xy_times, xy, z, xyz_times = self.pairs()
+        word = lambda tokens: self.vocabulary.take(pa.array(self.word_of[tokens]))
+        blank = pa.scalar(b" ", pa.large_binary())
+        first = word(np.arange(len(self.times)))
+        pair = pc.binary_join_element_wise(word(x), word(y), blank)
+        phrases = pa.concat_arrays([first, pair, pc.binary_join_element_wise(pair.take(pa.array(xy)), word(z), blank)])
+        counts = np.concatenate([self.times, xy_times, xyz_times])
+        hashes = np.array([zlib.crc32(w) for w in self.vocabulary.to_pylist()], dtype=np.uint64)[self.word_of]
+        share = hashes % np.uint64(SHARES) * SPREAD
+        bucket = np.concatenate([hashes, hashes[x] + share[y], hashes[x[xy]] + share[y[xy]]]) % np.uint64(buckets)
+        lang = np.concatenate([self.lang_of, self.lang_of[x], self.lang_of[x[xy]]])
+        code = lang * buckets + bucket.astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        code, counts, phrases = code[order], counts[order], phrases.take(pa.array(order))
+        edges = np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code)).tolist()
+        names = self.langs.to_pylist()
+        for low, high in zip(edges, edges[1:]):
+            yield names[code[low] // buckets], int(code[low] % buckets), phrases.slice(low, high - low), counts[low:high]
+        totals = np.bincount(self.lang_of, weights=self.times, minlength=len(names)).astype(np.int64)
+        for name, total in zip(names, totals):
+            yield name, 0, pa.array([b""], pa.large_binary()), np.array([total])
 
-def heavy_words(docs: DataFrame) -> list[tuple[str, str]]:
-    """(language, word) of at most ``HEAVY_SHARE`` words, among them every one that is so frequent in all texts."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            one = Counted(block)
-            n = len(one.token)
-            many = np.flatnonzero(one.times * HEAVY_SHARE >= n)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    one.langs.take(pa.array(one.lang_of[many])),
-                    one.vocabulary.take(pa.array(one.word_of[many])).cast(pa.string()),
-                    pa.array(one.times[many]),
-                ],
-                names=["lang", "word", "n"],
-            )
+def packed(phrases: pa.Array, counts: np.ndarray) -> bytes:
+    data, offsets = flat(phrases)
+    lengths = np.diff(offsets).astype("<u4")
+    whole = np.array([len(counts)], dtype="<u8").tobytes() + counts.astype("<i8").tobytes() + lengths.tobytes() + data.tobytes()
+    return zstandard.compress(whole, 1)
 
-    found = docs.select("lang", "text").mapInArrow(rows, "lang string, word string, n long")
-    most = found.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(HEAVY_SHARE)
-    return [(r.lang, r.word) for r in most.collect()]
 
+def unpacked(content: bytes) -> tuple[pa.Array, np.ndarray]:
+    whole = zstandard.decompress(content)
+    n = int(np.frombuffer(whole, dtype="<u8", count=1)[0])
+    counts = np.frombuffer(whole, dtype="<i8", count=n, offset=8)
+    offsets = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum(np.frombuffer(whole, dtype="<u4", count=n, offset=8 + 8 * n), out=offsets[1:])
+    data = pa.py_buffer(whole).slice(8 + 12 * n)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), data]), counts
 
-def stripes(docs: DataFrame, heavy: list[tuple[str, str]]) -> DataFrame:
-    """``STRIPES``: of each word of a block the continuations and their counts, those of heavy words in pieces.
 
-    The row of the empty word holds the number of all words of a language.
-    """
+def added(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """The parts of some stripes as one, each phrase once."""
+    coded = pa.concat_arrays([phrases for phrases, _ in parts]).dictionary_encode()
+    order = coded.indices.to_numpy(zero_copy_only=False)
+    total = np.zeros(len(coded.dictionary), dtype=np.int64)
+    np.add.at(total, order, np.concatenate([counts for _, counts in parts]))
+    return coded.dictionary, total
+
+
+def stripes(docs: DataFrame, buckets: int) -> DataFrame:
+    """lang, bucket, stripes: what each block has for a bucket."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            yield from striped(Counted(block))
-
-    def striped(one: Counted) -> Iterator[pa.RecordBatch]:
-        x, y, xy_times, xy, z, xyz_times = one.pairs()
-        names = one.vocabulary.cast(pa.string())
-        word = lambda tokens: names.take(pa.array(one.word_of[tokens]))
-        lang_names = one.langs.to_pylist()
-        chosen = {(lang, w) for lang, w in heavy if lang in lang_names}
-        cut = np.zeros(len(one.times), dtype=bool)
-        if chosen:
-            texts = names.to_pylist()
-            cut[:] = [(lang_names[a], texts[b]) in chosen for a, b in zip(one.lang_of.tolist(), one.word_of.tolist())]
-            share = np.array([zlib.crc32(w.encode()) % SPLITS for w in texts], dtype=np.int64)[one.word_of]
-        else:
-            share = np.zeros(len(one.times), dtype=np.int64)
-        # The continuations of every word: the empty one, then y, then y z; each with the word it belongs to.
-        owner = np.concatenate([np.arange(len(one.times)), x, x[xy]])
-        piece = np.concatenate([np.zeros(len(one.times), dtype=np.int64), share[y], share[y[xy]]])
-        piece[~cut[owner]] = 0
-        second = word(y)
-        following = pa.concat_arrays(
-            [
-                pa.array([""] * len(one.times), pa.string()),
-                second,
-                pc.binary_join_element_wise(second.take(pa.array(xy)), word(z), " "),
-            ]
-        )
-        counts = np.concatenate([one.times, xy_times, xyz_times])
-        code = owner * SPLITS + piece
-        order = np.argsort(code, kind="stable")
-        code = code[order]
-        first = np.flatnonzero(np.diff(code, prepend=-1))
-        places = pa.array(np.append(first, len(code)), pa.int32())
-        key = code[first] // SPLITS
-        yield pa.RecordBatch.from_arrays(
-            [
-                one.langs.take(pa.array(one.lang_of[key])),
-                word(key),
-                pa.array(code[first] % SPLITS, pa.int32()),
-                pa.ListArray.from_arrays(places, following.take(pa.array(order))),
-                pa.ListArray.from_arrays(places, pa.array(counts[order], pa.int64())),
-            ],
-            names=["lang", "word", "piece", "following", "counts"],
-        )
-        totals = np.bincount(one.lang_of, weights=one.times, minlength=len(lang_names)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                one.langs,
-                pa.array([""] * len(totals), pa.string()),
-                pa.array([0] * len(totals), pa.int32()),
-                pa.array([[""]] * len(totals), pa.list_(pa.string())),
-                pa.array([[n] for n in totals.tolist()], pa.list_(pa.int64())),
-            ],
-            names=["lang", "word", "piece", "following", "counts"],
-        )
-
-    return docs.select("lang", "text").mapInArrow(rows, STRIPES)
+            held = [(lang, bucket, packed(phrases, counts)) for lang, bucket, phrases, counts in Counted(block).stripes(buckets)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in held], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.binary()))],
+                names=["lang", "bucket", "stripes"],
+            )
+
+    return docs.select("lang", "text").mapInArrow(rows, "lang string, bucket int, stripes binary")
 
 
 def merged(parts: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
-    """lang, word, following, n: the stripes of all blocks added up, without what is rarer than ``least``."""
-    together = parts.repartition("lang", "word", "piece")
-    entries = together.select("lang", "word", "piece", F.inline(F.arrays_zip("following", "counts")))
-    return (
-        entries.groupBy("lang", "word", "piece", "following")
-        .agg(F.sum("counts").alias("n"))
-        .filter((F.col("n") >= least) | (F.col("word") == ""))
-        .select("lang", "word", "following", "n")
-    )
+    """lang, phrase, n: the stripes of all blocks added up, without what is rarer than ``least``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size = None, [], 0
+
+        def result() -> pa.RecordBatch:
+            phrases, counts = added(held)
+            frequent = (counts >= least) | (pc.binary_length(phrases).to_numpy(zero_copy_only=False) == 0)
+            phrases = phrases.filter(pa.array(frequent)).cast(pa.string())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]] * len(phrases), pa.string()), phrases, pa.array(counts[frequent])],
+                names=["lang", "phrase", "n"],
+            )
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                now = batch.column("lang")[i].as_py(), batch.column("bucket")[i].as_py()
+                if now != key:
+                    if held:
+                        yield result()
+                    key, held, size = now, [], 0
+                one = unpacked(batch.column("stripes")[i].as_py())
+                held.append(one)
+                size += len(one[1])
+                if size >= MERGE_ENTRIES and len(held) > 1:
+                    held = [added(held)]
+                    size = 0  # the next step again waits for so many new ones
+        if held:
+            yield result()
+
+    together = parts.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return together.mapInArrow(rows, "lang string, phrase string, n long")
 
 
 def collocations(docs: DataFrame, least: int = LEAST_COUNT, percent: int = SUBSUMED_PERCENT) -> DataFrame:
     """lang, phrase, a, l, r, n, score of every phrase of two or three words that no longer one subsumes."""
-    found = stored(merged(stripes(docs, heavy_words(docs)), least), "phrases")
-    totals = found.filter(F.col("word") == "").select("lang", F.col("n"))
-    counted = found.filter(F.col("word") != "").select(
-        "lang",
-        "word",
-        "following",
-        F.when(F.col("following") == "", F.col("word")).otherwise(F.concat_ws(" ", "word", "following")).alias("phrase"),
-        F.col("n").alias("a"),
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
+    found = stored(merged(stripes(docs, 1 + size // BUCKET_BYTES), least), "phrases")
+    totals = found.filter(F.col("phrase") == "").select("lang", F.col("n"))
+    words = F.split("phrase", " ", 2)
+    counted = found.filter(F.col("phrase") != "").select(
+        "lang", F.get(words, 0).alias("word"), F.get(words, 1).alias("following"), "phrase", F.col("n").alias("a")
     )
-    longer = counted.filter(F.col("following") != "")
+    longer = counted.filter(F.col("following").isNotNull())
     ahead = F.split("following", " ")
     next_word, last_word = F.get(ahead, 0), F.get(ahead, 1)
     cuts = longer.select(
