@@ -457,6 +457,19 @@ qualify codigo_de_entidad_del_dato is null or row_number() over (partition by co
   order by ingestion_date desc, prioridad_del_entidad_de_dato desc, peso desc, event_id desc) = 1""",
     "job_golden_report": QUALITY_REPORT,
 }
+_CELLS = [f"""coalesce('"' || replace(cast({c} as varchar), '"', '""') || '"', '')""" for c in RULE_NAMES if c != "ingestion_date"]
+QUERIES["sheet_rejects"] = f"""
+select 'reglas_calidad' as tabla, 'number of cells differs from the header' as motivo,
+  case when id_regla_de_calidad like '%7' then {" || ',' || ".join(_CELLS[:-1])}
+       else {" || ',' || ".join(_CELLS)} || ',extra' end as contenido, {RUN} as ingestion_date
+from fx_rules where id_regla_de_calidad like '%7' or id_regla_de_calidad like '%31'"""
+for _table, _plain in {
+    "change_update_table": "change_update",
+    "change_update_table_trace": "change_update_trace",
+    "change_delete_table_rules": "change_delete_rules",
+    "change_batch_table": "diff_applied",  # the snapshot after the same three batches
+}.items():
+    QUERIES[_table] = QUERIES[_plain]
 QUERIES["job_golden_priority"] = QUERIES["golden_priority"]
 
 

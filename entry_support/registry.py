@@ -15,7 +15,7 @@ from termloom.operators import changes, clean, versions
 from termloom.plans import golden, jobs, metrics, silver
 from termloom.schemas import (
     CODE, CONCEPT, CONCEPTS, CUSTOM_CONCEPTS, DOMAIN, FLAGS, LINEAGE, PRIORITY, RULE, RULE_ID, RULES,
-    LAYERS, STAMP, SUBDOMAIN, TERM, THRESHOLDS, TRACE,
+    LAYERS, REJECTED_TABLE, STAMP, SUBDOMAIN, TERM, THRESHOLDS, TRACE,
 )
 from termloom.session import shared_folder
 from termloom.sources.sheets import read_sheet
@@ -141,6 +141,22 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(read_table(spark, catalog, "bronze", RULE.table))
 
 
+def sheet_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules sheet with a cell missing or too many in some rows: what the ingest keeps of these."""
+    names = [c for c in RULES.names if c != STAMP]
+    cells = [F.coalesce(F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) for c in names]
+    full, short = F.concat_ws(",", *cells), F.concat_ws(",", *cells[:-1])
+    line = F.when(F.col(RULE_ID).endswith("7"), short).when(F.col(RULE_ID).endswith("31"), F.concat(full, F.lit(",extra"))).otherwise(full)
+    first_of_file = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    header = ",".join(f'"{h}"' for h in _typed("rules").values()) + "\n"
+    folder, catalog = shared_folder(spark, "sheet-rejects"), _new_tables(spark)
+    text = F.concat(F.when(first_of_file, F.lit(header)).otherwise(""), line)
+    spark_view(spark, sf_dir, "fx_rules").select(text).write.text(folder)
+    jobs.ingest_sheet(spark, folder, RULE, catalog, run_ts=RUN_TS)
+    rejects = read_table(spark, catalog, "bronze", REJECTED_TABLE)
+    return _plain_times(rejects.select("tabla", "motivo", "contenido", STAMP))
+
+
 def job_table(table: str) -> Query:
     """Sheets to bronze, bronze to silver, silver to golden, all as tables; returns a golden one."""
 
@@ -257,8 +273,16 @@ def change_update_rules(bronze: Bronze) -> DataFrame:
     return changes.apply_updates(bronze.rules, bronze.view("fx_rule_edits"), RULE, "seq", RUN_TS)
 
 
-def change_update_trace(bronze: Bronze) -> DataFrame:
-    edits = bronze.view("fx_updates").select(
+def _concept_edits(bronze: Bronze) -> DataFrame:
+    return bronze.view("fx_updates")
+
+
+def _new_concepts(bronze: Bronze) -> DataFrame:
+    return bronze.view("fx_inserts")
+
+
+def _trace_edits(bronze: Bronze) -> DataFrame:
+    return bronze.view("fx_updates").select(
         F.concat(F.lit("POL"), numeric_id(F.trim(CODE)).cast("string")).alias(CODE),
         F.col("concepto_de_negocio").alias("nombre_de_entidad_del_dato"),
         F.lit("APP").alias("aplicativos"),
@@ -269,7 +293,10 @@ def change_update_trace(bronze: Bronze) -> DataFrame:
         F.col(PRIORITY).alias("periodicidad_de_actualizacion"),
         "seq",
     )
-    return changes.apply_updates(bronze.trace, edits, LINEAGE, "seq", RUN_TS)
+
+
+def change_update_trace(bronze: Bronze) -> DataFrame:
+    return changes.apply_updates(bronze.trace, _trace_edits(bronze), LINEAGE, "seq", RUN_TS)
 
 
 def _supplier_number(bronze: Bronze) -> tuple[DataFrame, Column]:
@@ -286,10 +313,13 @@ def change_delete(bronze: Bronze) -> DataFrame:
     return changes.apply_deletes(bronze.concepts, _deleted_concepts(bronze), CONCEPT)
 
 
-def change_delete_rules(bronze: Bronze) -> DataFrame:
+def _deleted_rules(bronze: Bronze) -> DataFrame:
     suppliers, number = _supplier_number(bronze)
-    keys = suppliers.select(F.concat(F.lit("RC"), number).alias(RULE_ID))
-    return changes.apply_deletes(bronze.rules, keys, RULE)
+    return suppliers.select(F.concat(F.lit("RC"), number).alias(RULE_ID))
+
+
+def change_delete_rules(bronze: Bronze) -> DataFrame:
+    return changes.apply_deletes(bronze.rules, _deleted_rules(bronze), RULE)
 
 
 def change_delete_trace(bronze: Bronze) -> DataFrame:
@@ -298,6 +328,19 @@ def change_delete_trace(bronze: Bronze) -> DataFrame:
     return changes.apply_deletes(bronze.trace, keys, LINEAGE)
 
 
+def _changed_table(entity, rows: str, **batches: str) -> Query:
+    """A bronze table with the mapped rows, changed by a job that writes only the buckets it touches."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bronze, catalog = Bronze(spark, sf_dir), _new_tables(spark)
+        write_table(getattr(bronze, rows), catalog, "bronze", entity.table)
+        made = {kind: globals()[name](bronze) for kind, name in batches.items()}
+        jobs.change_bronze(spark, entity, catalog, run_ts=RUN_TS, **made)
+        return _plain_times(read_table(spark, catalog, "bronze", entity.table))
+
+    return query
+
+
 def change_validate(bronze: Bronze) -> DataFrame:
     concepts = changes.check_changes(bronze.view("fx_inserts"), CONCEPT).select(
         F.lit(CONCEPT.table).alias("tabla"), F.col(CODE).alias("clave"), "missing_fields", "bad_values", "accepted"
@@ -360,6 +403,7 @@ QUERIES: dict[str, Query] = {
     "sheet_concepts": sheet_ingest("concepts"),
     "sheet_rules": sheet_ingest("rules"),
     "sheet_trace": sheet_ingest("trace"),
+    "sheet_rejects": sheet_rejects,
     "bronze_null_tokens": bronze_null_tokens,
     "bronze_blank_rows": bronze_blank_rows,
     "bronze_thresholds": bronze_thresholds,
@@ -394,6 +438,12 @@ QUERIES: dict[str, Query] = {
     "change_delete": _on_bronze(change_delete),
     "change_delete_rules": _on_bronze(change_delete_rules),
     "change_delete_trace": _on_bronze(change_delete_trace),
+    "change_update_table": _changed_table(CONCEPT, "concepts", updates="_concept_edits"),
+    "change_update_table_trace": _changed_table(LINEAGE, "trace", updates="_trace_edits"),
+    "change_delete_table_rules": _changed_table(RULE, "rules", deletes="_deleted_rules"),
+    "change_batch_table": _changed_table(
+        CONCEPT, "concepts", updates="_concept_edits", deletes="_deleted_concepts", inserts="_new_concepts"
+    ),
     "change_validate": _on_bronze(change_validate),
     "change_values": _on_bronze(change_values),
     "dash_totals": _on_bronze(lambda b: metrics.dashboard_totals(b.coverage)),

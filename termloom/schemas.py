@@ -246,14 +246,36 @@ LINEAGE = Entity(
     required=(CODE,),
 )
 
+# Sheet rows that could not be read, with where they stand and why.
+REJECTED_TABLE = "filas_rechazadas"
+REJECTED = T.StructType(
+    [
+        T.StructField("tabla", T.StringType()),
+        T.StructField("archivo", T.StringType()),
+        T.StructField("linea", T.LongType()),
+        T.StructField("motivo", T.StringType()),
+        T.StructField("contenido", T.StringType()),
+        T.StructField(STAMP, T.TimestampType()),
+    ]
+)
+
 # (layer, table) -> contract
 TABLES = {
     ("bronze", CONCEPT.table): CONCEPTS,
     ("bronze", RULE.table): RULES,
     ("bronze", LINEAGE.table): TRACE,
     ("bronze", "app_custom_concepts"): CUSTOM_CONCEPTS,
+    ("bronze", REJECTED_TABLE): REJECTED,
     ("silver", "conceptos_calidad_trazabilidad"): SILVER,
     ("golden", "reporte_calidad_conceptos"): QUALITY_REPORT,
     ("golden", "resumen_prioridad_dominio"): PRIORITY_SUMMARY,
 }
+# Key of each bronze table: what decides where a row is stored.
+KEYS = {
+    CONCEPT.table: CONCEPT.key,
+    RULE.table: RULE.key,
+    LINEAGE.table: LINEAGE.key,
+    "app_custom_concepts": CODE,
+    REJECTED_TABLE: "tabla",
+}
 LAYERS = ("raw", "bronze", "silver", "golden")
