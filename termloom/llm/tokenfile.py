@@ -29,6 +29,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from termloom.llm.common import parts, table
-from termloom.llm.vocabulary import Remembered, chunks, slices
+from termloom.llm.vocabulary import loose, pieces, slices
+from termloom.llm.wordcut import gathered
 from termloom.session import shared_folder
 
 FRAME_BYTES = 1 << 18  # of ids; a frame ends with the document that reaches it
@@ -49,6 +51,9 @@ SEEKABLE = 0x8F92EAB1
 CHECKSUMS = 0x80
 END_BYTE = "\u008f"  # the last byte of a file, as the writer's separator in ISO-8859-1
 END_ID = 0
+KNOWN_BYTES = 48 << 20  # of parts and their ids that a worker remembers
+SLICE_CHARS = 4_000_000
+ENCODED_AT_ONCE = 20_000
 TORN = "the file does not end with a seek table"
 
 
@@ -153,23 +158,92 @@ class OpenFile:
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizer gives them, with each part of a text encoded once."""
+    """Ids of whole texts, as the tokenizer gives them, with each different part of the texts encoded once.
 
-    def __init__(self, path: str):
+    Known parts lie in one array of bytes and their ids in another, and all parts of a slice of texts are looked up at
+    once. What is remembered is bounded in bytes: beyond them only the parts of the present slice stay.
+    """
+
+    def __init__(self, path: str, most_bytes: int = KNOWN_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory = Remembered(self.encoded)
+        self.most_bytes = most_bytes
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_binary())
+        self.ids, self.ends = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
 
     def encoded(self, parts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [array("I", one.ids).tobytes() for one in made]
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        """A text with the wording of a special token is one part, since that may span parts."""
-        for some in slices(texts):
-            split = [[text] if any(s in text for s in self.special) else chunks(text) for text in some]
-            yield from map(b"".join, self.memory.of(split))
+        """A text with the wording of a special token is encoded as a whole, since that may span parts."""
+        for some in slices(texts, SLICE_CHARS):
+            made: list[bytes] = [b""] * len(some)
+            plain, listed = [], []
+            for i, text in enumerate(some):
+                if any(s in text for s in self.special):
+                    made[i] = self.encoded([text])[0]
+                else:
+                    (listed if loose(text) else plain).append(i)
+            for group, cut in ((plain, blank_chunks), (listed, listed_pieces)):
+                if group:
+                    for i, ids in zip(group, self.joined(*cut([some[i] for i in group]))):
+                        made[i] = ids
+            yield from made
+
+    def joined(self, parts: pa.Array, counts: np.ndarray) -> Iterator[bytes]:
+        """The ids of each text, from its number of parts and the parts of all."""
+        coded = parts.dictionary_encode()
+        own = self.places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        lengths = self.ends[own + 1] - self.ends[own]
+        flat_ids = gathered(self.ids, self.ends[own], lengths)
+        edges = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        for low, high in zip(edges, edges[1:]):
+            yield flat_ids[low:high].tobytes()
+
+    def places(self, parts: pa.Array) -> np.ndarray:
+        """Where each of the different parts is among the known ones; new ones become known."""
+        if self.known.nbytes + self.ids.nbytes + self.ends.nbytes > self.most_bytes:
+            self.forget()
+        found = pc.index_in(parts, value_set=self.known)
+        fresh = found.is_null()
+        new = parts.filter(fresh)
+        place = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            place[fresh.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+            ids = []
+            for low in range(0, len(new), ENCODED_AT_ONCE):
+                ids += self.encoded(new.slice(low, ENCODED_AT_ONCE).cast(pa.large_string()).to_pylist())
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), dtype="<u4")])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(one) // 4 for one in ids])])
+        return place
+
+
+def blank_chunks(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of texts that are not ``loose``, and their number in each: blanks and line feeds begin a chunk, and line feeds end one."""
+    coded = [text.encode("utf-8", "surrogatepass") for text in texts]
+    data = np.frombuffer(b"".join(coded), dtype=np.uint8)
+    ends = np.cumsum([len(one) for one in coded])
+    line = data == 0x0A
+    begins = np.append(line | (data == 0x20), True)
+    begins[1:] |= np.append(line[:-1], False) if len(line) else False
+    begins[np.concatenate([[0], ends])] = True
+    places = np.flatnonzero(begins)
+    parts = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)]
+    )
+    return parts, np.diff(np.searchsorted(places, np.concatenate([[0], ends])))
+
+
+def listed_pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    cut = [pieces(text) for text in texts]
+    parts = pa.array([p.encode("utf-8", "surrogatepass") for own in cut for p in own], pa.large_binary())
+    return parts, np.array([len(own) for own in cut])
 
 
 @cache

@@ -37,13 +37,11 @@ def pieces(text: str) -> list[str]:
 
 OTHER_SPACE = re.compile(r"[^\S \n]")
 PAIRS = ("  ", " \n", "\n ", "\n\n")
-CHUNK = re.compile(r" ?[^ \n]+|[ \n]")
 
 
-def chunks(text: str) -> list[str]:
-    """Runs of whole pieces. Where white space is only single blanks and line feeds, each of them begins a piece."""
-    loose = any(pair in text for pair in PAIRS) or OTHER_SPACE.search(text)
-    return pieces(text) if loose else CHUNK.findall(text)
+def loose(text: str) -> bool:
+    """Whether the text has other white space than single blanks and line feeds. If not, each of them begins a piece."""
+    return any(pair in text for pair in PAIRS) or OTHER_SPACE.search(text) is not None
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -14,7 +14,7 @@ from helpers import documents, none, rows
 from tokenizers import Tokenizer
 
 from termloom.llm import bpe, licenses, quality, secrets, tokenfile
-from termloom.llm.vocabulary import chunks, pieces, read_ranks
+from termloom.llm.vocabulary import loose, pieces, read_ranks
 from termloom.session import shared_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -170,8 +170,11 @@ def odd_texts(n=300):
 def test_pieces_and_chunks():
     for text in odd_texts():
         assert pieces(text) == __import__("regex").findall(public_tokenizers.PATTERN, text)
-        assert "".join(chunks(text)) == text
-        assert [p for c in chunks(text) for p in pieces(c)] == pieces(text)
+        parts, counts = tokenfile.blank_chunks([text, "a b", "", text])
+        cut = [p.decode() for p in parts.to_pylist()]
+        assert "".join(cut) == f"{text}a b{text}" and counts.sum() == len(cut)
+        if not loose(text):
+            assert [p for c in cut[: counts[0]] for p in pieces(c)] == pieces(text)
 
 
 def test_bpe_equals_tiktoken_and_round_trips(spark):
@@ -185,6 +188,13 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
     assert bpe.digests(none(spark), path).count() == 0
 
 
+def test_encoder_that_forgets_gives_the_same():
+    path = tokenfile.default_tokenizer()
+    one, texts = tokenfile.Encoder(path, most_bytes=200), [*odd_texts(), "", "a <|endoftext|> b", " x", "x \ny"] * 2
+    for _ in range(2):
+        assert list(one.of(texts)) == one.encoded(texts)
+
+
 def test_memory_that_forgets_gives_the_same():
     from termloom.llm.vocabulary import Remembered
 
