@@ -457,6 +457,40 @@ qualify codigo_de_entidad_del_dato is null or row_number() over (partition by co
   order by ingestion_date desc, prioridad_del_entidad_de_dato desc, peso desc, event_id desc) = 1""",
     "job_golden_report": QUALITY_REPORT,
 }
+_MARKED = "(select *, event_id % 13 = 0 as fin from fx_versions)"
+QUERIES["history_ended"] = f"select * from ({QUERIES['history'].replace('fx_versions', _MARKED + ' v')}) where not fin"
+QUERIES["history_as_of_many"] = f"""
+with asked as (select row_number() over () as nr, event_id as peticion, codigo_de_entidad_del_dato as k,
+    ingestion_date + to_hours(event_id % 3) as momento from fx_versions),
+  found as (select * from asked a left join {_MARKED} v
+    on v.codigo_de_entidad_del_dato = a.k and v.ingestion_date <= a.momento
+    qualify row_number() over (partition by nr order by v.ingestion_date desc nulls last,
+      v.prioridad_del_entidad_de_dato desc nulls last, v.peso desc nulls last, v.event_id desc nulls last) = 1)
+select peticion, k as codigo_de_entidad_del_dato, momento,
+  case when not fin then prioridad_del_entidad_de_dato end as prioridad_del_entidad_de_dato,
+  case when not fin then peso end as peso, case when not fin then event_id end as event_id,
+  case when not fin then ingestion_date end as ingestion_date from found"""
+QUERIES["log_replayed"] = QUERIES["diff_applied"]
+QUERIES["log_rolled_back"] = f"select {LATEST} from updated"
+QUERIES["log_folded"] = QUERIES["snapshot_diff"]
+
+# The golden tables over the tables after the batches: the same parts, on other tables.
+_CHANGED = {"fx_concepts": "concepts_new", "b_rules": "rules_new", "fx_trace": "trace_new"}
+PARTS["concepts_new"] = "select * exclude (k) from after"
+PARTS["rules_new"] = QUERIES["change_update_rules"].strip()
+PARTS["trace_new"] = QUERIES["change_delete_trace"].replace("from fx_trace t", f"from ({QUERIES['change_update_trace'].strip()}) t")
+_REBUILT = ("u_concepts", "u_rules", "u_trace", "concepts_all", "wide", "g")
+
+
+def _on_changed(text: str) -> str:
+    for old, new in {**_CHANGED, **{name: f"{name}_new" for name in _REBUILT}}.items():
+        text = re.sub(rf"\b(from|join) {old}\b", rf"\1 {new}", text)
+    return text
+
+
+PARTS.update({f"{name}_new": _on_changed(PARTS[name]) for name in _REBUILT})
+QUERIES["golden_incremental"] = _on_changed(QUALITY_REPORT)
+QUERIES["golden_incremental_priority"] = _on_changed(QUERIES["golden_priority"])
 _CELLS = [f"""coalesce('"' || replace(cast({c} as varchar), '"', '""') || '"', '')""" for c in RULE_NAMES if c != "ingestion_date"]
 QUERIES["sheet_rejects"] = f"""
 select 'reglas_calidad' as tabla, 'number of cells differs from the header' as motivo,

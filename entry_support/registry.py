@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import numeric_id
-from termloom.operators import changes, clean, versions
-from termloom.plans import golden, jobs, metrics, silver
+from termloom.operators import changelog, changes, clean, versions
+from termloom.plans import golden, incremental, jobs, metrics, silver
 from termloom.schemas import (
     CODE, CONCEPT, CONCEPTS, CUSTOM_CONCEPTS, DOMAIN, FLAGS, LINEAGE, PRIORITY, RULE, RULE_ID, RULES,
     LAYERS, REJECTED_TABLE, STAMP, SUBDOMAIN, TERM, THRESHOLDS, TRACE,
 )
-from termloom.session import shared_folder
+from termloom.session import shared_folder, stored
 from termloom.sources.sheets import read_sheet
 from termloom.sources.tables import Catalog, create_tables, read_table, write_table
 
@@ -322,10 +322,13 @@ def change_delete_rules(bronze: Bronze) -> DataFrame:
     return changes.apply_deletes(bronze.rules, _deleted_rules(bronze), RULE)
 
 
-def change_delete_trace(bronze: Bronze) -> DataFrame:
+def _deleted_trace(bronze: Bronze) -> DataFrame:
     suppliers, number = _supplier_number(bronze)
-    keys = suppliers.select(F.concat(F.lit("POL"), number).alias(CODE))
-    return changes.apply_deletes(bronze.trace, keys, LINEAGE)
+    return suppliers.select(F.concat(F.lit("POL"), number).alias(CODE))
+
+
+def change_delete_trace(bronze: Bronze) -> DataFrame:
+    return changes.apply_deletes(bronze.trace, _deleted_trace(bronze), LINEAGE)
 
 
 def _changed_table(entity, rows: str, **batches: str) -> Query:
@@ -373,14 +376,16 @@ def _diff(bronze: Bronze) -> DataFrame:
     return versions.snapshot_diff(bronze.concepts, _after(bronze), CODE)
 
 
-def snapshot_diff(bronze: Bronze) -> DataFrame:
+def _flat_diff(diff: DataFrame) -> DataFrame:
     both = [
         F.col(f"{side}.{c}").cast("timestamp_ntz" if c == STAMP else "string").alias(f"{side}_{c}")
         for c in CONCEPTS.names for side in ("before", "after")
     ]
-    return _diff(bronze).select(
-        CODE, "change", "copies", F.array_join("changed_columns", ",").alias("changed_columns"), *both
-    )
+    return diff.select(CODE, "change", "copies", F.array_join("changed_columns", ",").alias("changed_columns"), *both)
+
+
+def snapshot_diff(bronze: Bronze) -> DataFrame:
+    return _flat_diff(_diff(bronze))
 
 
 def history(bronze: Bronze) -> DataFrame:
@@ -391,6 +396,66 @@ def history_as_of(bronze: Bronze) -> DataFrame:
     return versions.as_of(bronze.view("fx_versions"), CODE, STAMP, F.lit(AS_OF).cast("timestamp_ntz"))
 
 
+def _marked_versions(bronze: Bronze) -> DataFrame:
+    """The versions, some of them end marks."""
+    return bronze.view("fx_versions").withColumn("fin", F.col("event_id") % 13 == 0)
+
+
+def history_ended(bronze: Bronze) -> DataFrame:
+    return versions.history(_marked_versions(bronze), CODE, STAMP, deleted="fin")
+
+
+def history_as_of_many(bronze: Bronze) -> DataFrame:
+    """For each version the one of its key that was valid some hours later; at none for ties."""
+    asked = bronze.view("fx_versions").select(
+        F.col("event_id").alias("peticion"),
+        CODE,
+        F.expr(f"{STAMP} + make_interval(0, 0, 0, 0, cast(event_id % 3 as int))").alias("momento"),
+    )
+    return versions.as_of_many(_marked_versions(bronze), asked, CODE, STAMP, "momento", deleted="fin")
+
+
+def _steps(bronze: Bronze) -> list[DataFrame]:
+    """Concepts before and after each of three batches."""
+    edited = _updated(bronze)
+    return [bronze.concepts, edited, changes.apply_deletes(edited, _deleted_concepts(bronze), CONCEPT), _after(bronze)]
+
+
+def _written_log(bronze: Bronze) -> tuple[list[DataFrame], str]:
+    steps, log = _steps(bronze), shared_folder(bronze.concepts.sparkSession, "change-log")
+    for number, (old, new) in enumerate(zip(steps, steps[1:]), 1):
+        changelog.append_changes(versions.snapshot_diff(old, new, CODE), log, number, RUN_TS)
+    return steps, log
+
+
+def log_replayed(bronze: Bronze) -> DataFrame:
+    steps, log = _written_log(bronze)
+    return changelog.replayed(steps[0], changelog.read_changes(steps[0].sparkSession, log))
+
+
+def log_rolled_back(bronze: Bronze) -> DataFrame:
+    """Back to the snapshot after the first batch."""
+    steps, log = _written_log(bronze)
+    return changelog.rolled_back(steps[-1], changelog.read_changes(steps[0].sparkSession, log, after=1))
+
+
+def log_folded(bronze: Bronze) -> DataFrame:
+    steps, log = _written_log(bronze)
+    return _flat_diff(changelog.folded(changelog.read_changes(steps[0].sparkSession, log), CODE))
+
+
+def _refreshed_state(bronze: Bronze) -> DataFrame:
+    """The state of the golden tables, brought up to date with batches of changes to three tables."""
+    trace = changes.apply_deletes(change_update_trace(bronze), _deleted_trace(bronze), LINEAGE)
+    now = {"concepts": _after(bronze), "rules": change_update_rules(bronze), "trace": trace}
+    diffs = {
+        name: versions.snapshot_diff(getattr(bronze, name), rows, key)
+        for (name, rows), key in zip(now.items(), (CODE, RULE_ID, CODE))
+    }
+    state = stored(incremental.code_state(bronze.coverage), "state")
+    return incremental.refreshed(state, custom=bronze.custom, diffs={n: stored(d, f"diff-{n}") for n, d in diffs.items()}, **now)
+
+
 def lineage_reverse(bronze: Bronze) -> DataFrame:
     """From every source field in the trace back to the concepts that use it."""
     fields = bronze.trace.select(
@@ -465,5 +530,12 @@ QUERIES: dict[str, Query] = {
     "job_golden_priority": job_table("resumen_prioridad_dominio"),
     "history": _on_bronze(history),
     "history_as_of": _on_bronze(history_as_of),
+    "history_ended": _on_bronze(history_ended),
+    "history_as_of_many": _on_bronze(history_as_of_many),
+    "log_replayed": _on_bronze(log_replayed),
+    "log_rolled_back": _on_bronze(log_rolled_back),
+    "log_folded": _on_bronze(log_folded),
+    "golden_incremental": _on_bronze(lambda b: incremental.quality_report_of(_refreshed_state(b), RUN_TS)),
+    "golden_incremental_priority": _on_bronze(lambda b: incremental.priority_summary_of(_refreshed_state(b), RUN_TS)),
     "stream_ingest": stream_ingest,
 }

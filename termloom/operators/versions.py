@@ -49,11 +49,16 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, ignore: tuple[str, .
     columns = [c for c in old.columns if c not in ignore]
     if set(columns) - set(new.columns):
         raise ValueError("the new snapshot lacks columns of the old one")
-    row = F.struct(*columns)
     rows = (
         old.select(*columns, F.lit(-1).cast("bigint").alias("_n"))
         .unionByName(new.select(*columns, F.lit(1).cast("bigint").alias("_n")))
     )
+    return paired_changes(rows, columns, key)
+
+
+def paired_changes(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """The difference that rows counted with ``_n`` make, negative ones having gone: see ``snapshot_diff``."""
+    row = F.struct(*columns)
     left_over = rows.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter(F.col("_n") != 0)
     gone, come = F.col("_n") < 0, F.col("_n") > 0
 
@@ -181,3 +186,50 @@ def as_of(
     at = at if isinstance(at, Column) else F.lit(at)
     rows = newest_with_key(versions.filter(F.col(ts) <= at), key, [ts])
     return rows.filter(~F.coalesce(deleted, F.lit(False))) if deleted else rows
+
+
+def as_of_many(
+    versions: DataFrame, requests: DataFrame, key: str, ts: str, at: str, deleted: str | None = None
+) -> DataFrame:
+    """Each request (``key``, time ``at``) with the version of its key that was valid then.
+
+    All columns of the request, then those of the version but its key and end mark; these are null where there
+    is no version, or an end mark is the newest, or the request lacks a key or a time. Of versions with one time the largest row counts.
+
+    Versions and requests are cut into ranges by (key, time) together. Within a range the last version is carried along;
+    into a range only one version comes for each key, so a busy key is spread over many tasks.
+    """
+    columns = [c for c in versions.columns if c not in (key, deleted)]
+    taken = set(requests.columns) & set(columns)
+    if taken:
+        raise ValueError(f"requests and versions share the columns {sorted(taken)}")
+    mark = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    version = F.struct(F.col(ts), *[F.col(c) for c in columns if c != ts], mark.alias("_ended"))
+    facts = versions.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(ts).alias("_at"), F.lit(0).alias("_asks"), version.alias("_version")
+    )
+    usable = F.col(key).isNotNull() & F.col(at).isNotNull()
+    asked = requests.filter(usable).select(
+        F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_asks"), F.struct(*requests.columns).alias("_request")
+    )
+    order = ["_at", "_asks", "_version"]
+    ranged = stored(
+        facts.unionByName(asked, allowMissingColumns=True)
+        .repartitionByRange("_key", *order, F.xxhash64("_request"))
+        .withColumn("_range", F.spark_partition_id()),
+        "as-of",
+    )
+    in_range = Window.partitionBy("_key", "_range").orderBy(*order)
+    along = in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = ranged.withColumn("_newest", F.last("_version", ignorenulls=True).over(along)).filter("_asks = 1")
+    tails = ranged.groupBy("_key", "_range").agg(F.max("_version").alias("_tail"))
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(
+        F.col("_key").alias("_k"), F.col("_range").alias("_of"), F.last("_tail", ignorenulls=True).over(before).alias("_carried")
+    )
+    found = seen.join(carried, (F.col("_key") == F.col("_k")) & (F.col("_range") == F.col("_of"))).withColumn(
+        "_valid", F.coalesce("_newest", "_carried")
+    )
+    valid = F.when(~F.col("_valid._ended"), F.col("_valid"))
+    answered = found.select("_request.*", *[valid[c].alias(c) for c in columns])
+    return answered.unionByName(requests.filter(~usable), allowMissingColumns=True)

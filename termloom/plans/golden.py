@@ -39,7 +39,7 @@ def _finish(df: DataFrame, run_ts: datetime | Column | None) -> DataFrame:
     return conform(stamped, QUALITY_REPORT)
 
 
-def _report_from_codes(per_code: DataFrame, run_ts: datetime | Column | None) -> DataFrame:
+def report_from_codes(per_code: DataFrame, run_ts: datetime | Column | None) -> DataFrame:
     """Second step of the two-step report: rows per (domain, subdomain, code) to groups."""
     has_code = F.col(CODE).isNotNull()
     report = per_code.groupBy(DOMAIN, SUBDOMAIN).agg(
@@ -73,7 +73,7 @@ def quality_report(
         F.count(RULE_ID).alias("rules"),
         *[part for name in THRESHOLDS for part in mean_parts(F.col(name), name)],
     )
-    report = _report_from_codes(per_code, run_ts)
+    report = report_from_codes(per_code, run_ts)
     if not distinct_rules:
         return report
     different = rows.groupBy(DOMAIN, SUBDOMAIN).agg(F.count_distinct(RULE_ID).alias("total_reglas_calidad"))
@@ -90,7 +90,7 @@ def quality_report_eager(coverage: DataFrame, run_ts: datetime | Column | None =
         F.sum(times * F.col("rule_rows")).alias("rules"),
         *[part for name in THRESHOLDS for part in add_parts(name, times)],
     )
-    return _report_from_codes(per_code, run_ts)
+    return report_from_codes(per_code, run_ts)
 
 
 def priority_summary(rows: DataFrame, run_ts: datetime | Column | None = None) -> DataFrame:

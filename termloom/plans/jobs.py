@@ -13,7 +13,7 @@ from ..functions import clean_text
 from ..operators.changes import apply_deletes, apply_inserts, apply_updates
 from ..operators.clean import clean_sheet
 from ..schemas import REJECTED_TABLE, Entity
-from ..session import stored
+from ..session import stored, working_folders
 from ..sources.records import first_headers, lines_of, read_records, sheet_and_rejects
 from ..sources.sheets import read_sheet
 from ..sources.tables import Catalog, TouchedBuckets, bucket_count, read_table, rewrite_table, write_table
@@ -55,14 +55,15 @@ def ingest_sheet(
         rows = clean_sheet(read_sheet(spark, path, fmt, headers, multi_line), entity, run_ts)
         write_table(rows, catalog, "bronze", entity.table, overwrite)
         return None
-    raw, rejects = read_records(spark, path, headers)
-    records, rejected = raw.count(), rejects.count()
-    loaded = Observation()
-    rows = clean_sheet(raw, entity, run_ts).observe(loaded, F.count(F.lit(1)).alias("rows"))
-    if rejected:
-        write_rejects(rejects, entity, catalog, uuid.uuid4().hex, run_ts)
-    write_table(rows, catalog, "bronze", entity.table, overwrite)
-    taken = loaded.get["rows"]
+    with working_folders(spark):
+        raw, rejects = read_records(spark, path, headers)
+        records, rejected = raw.count(), rejects.count()
+        loaded = Observation()
+        rows = clean_sheet(raw, entity, run_ts).observe(loaded, F.count(F.lit(1)).alias("rows"))
+        if rejected:
+            write_rejects(rejects, entity, catalog, uuid.uuid4().hex, run_ts)
+        write_table(rows, catalog, "bronze", entity.table, overwrite)
+        taken = loaded.get["rows"]
     return Ingested(records + rejected, taken, rejected, records - taken)
 
 
@@ -112,7 +113,8 @@ def build_silver(spark: SparkSession, catalog: Catalog = Catalog(), run_ts: date
             "custom": "app_custom_concepts",
         }.items()
     }
-    write_table(silver(**bronze, run_ts=run_ts), catalog, "silver", "conceptos_calidad_trazabilidad")
+    with working_folders(spark):
+        write_table(silver(**bronze, run_ts=run_ts), catalog, "silver", "conceptos_calidad_trazabilidad")
 
 
 def build_golden(spark: SparkSession, catalog: Catalog = Catalog(), run_ts: datetime | None = None) -> None:
@@ -159,26 +161,27 @@ def change_bronze(
             new = apply_inserts(table.limit(0), inserts, entity, run_ts)
             write_table(new, catalog, "bronze", entity.table, overwrite=False)
         return
-    deletes, updates, inserts = (
-        None if batch is None else stored(batch, f"changes-{name}")
-        for name, batch in (("deletes", deletes), ("updates", updates), ("inserts", inserts))
-    )
-    place = None
-    if bucket_count(spark, catalog.table_name("bronze", entity.table)):
-        keys = [
-            batch.select(clean_text(F.col(entity.key).cast("string")))
-            for batch in (deletes, updates, inserts)
-            if batch is not None and entity.key in batch.columns
-        ]
-        place = TouchedBuckets(spark, catalog, entity.table, keys)
-    rows = place.rows() if place else table
-    if deletes is not None:
-        rows = apply_deletes(rows, deletes, entity)
-    if updates is not None:
-        rows = apply_updates(rows, updates, entity, sequence, run_ts)
-    if inserts is not None:
-        rows = apply_inserts(rows, inserts, entity, run_ts)
-    if place:
-        place.replace(rows)
-    else:
-        rewrite_table(rows, catalog, "bronze", entity.table)
+    with working_folders(spark):
+        deletes, updates, inserts = (
+            None if batch is None else stored(batch, f"changes-{name}")
+            for name, batch in (("deletes", deletes), ("updates", updates), ("inserts", inserts))
+        )
+        place = None
+        if bucket_count(spark, catalog.table_name("bronze", entity.table)):
+            keys = [
+                batch.select(clean_text(F.col(entity.key).cast("string")))
+                for batch in (deletes, updates, inserts)
+                if batch is not None and entity.key in batch.columns
+            ]
+            place = TouchedBuckets(spark, catalog, entity.table, keys)
+        rows = place.rows() if place else table
+        if deletes is not None:
+            rows = apply_deletes(rows, deletes, entity)
+        if updates is not None:
+            rows = apply_updates(rows, updates, entity, sequence, run_ts)
+        if inserts is not None:
+            rows = apply_inserts(rows, inserts, entity, run_ts)
+        if place:
+            place.replace(rows)
+        else:
+            rewrite_table(rows, catalog, "bronze", entity.table)

@@ -170,6 +170,8 @@ def newest_rows(df: DataFrame, key: str) -> DataFrame:
     return newest_with_key(df, key, [STAMP])
 
 
+SOURCE_SPREAD = 64
+
 # --- lineage ------------------------------------------------------------------
 
 
@@ -188,12 +190,27 @@ def lineage_of_codes(codes: DataFrame, trace: DataFrame) -> DataFrame:
 def codes_of_sources(sources: DataFrame, trace: DataFrame, concepts: DataFrame) -> DataFrame:
     """Which concepts use the given source fields (columns ``tabla`` and ``campo``).
 
-    A null field asks for rows whose field is empty.
+    A null field asks for rows whose field is empty. Each wanted pair is copied to ``SOURCE_SPREAD`` pieces, and
+    a row goes to the piece of its id, so that a field that most ids share is looked up by as many tasks.
     """
+    pair = lambda tabla, campo: F.xxhash64(tabla.isNull(), tabla, campo.isNull(), campo)
     wanted = sources.select(F.col("tabla").alias("_tabla"), F.col("campo").alias("_campo")).distinct()
+    wanted = wanted.select(
+        "*",
+        pair(F.col("_tabla"), F.col("_campo")).alias("_pair"),
+        F.explode(F.sequence(F.lit(0), F.lit(SOURCE_SPREAD - 1))).alias("_piece"),
+    )
     fields = _sources(trace).select(ID, "tabla", "campo").distinct()
-    same = F.col("tabla").eqNullSafe(F.col("_tabla")) & F.col("campo").eqNullSafe(F.col("_campo"))
-    hits = fields.join(wanted, same, "left_semi")
+    fields = fields.withColumns(
+        {"_p": pair(F.col("tabla"), F.col("campo")), "_own": F.pmod(F.xxhash64(ID), F.lit(SOURCE_SPREAD)).cast("int")}
+    )
+    same = (
+        (F.col("_p") == F.col("_pair"))
+        & (F.col("_own") == F.col("_piece"))
+        & F.col("tabla").eqNullSafe(F.col("_tabla"))
+        & F.col("campo").eqNullSafe(F.col("_campo"))
+    )
+    hits = fields.join(wanted, same, "left_semi").drop("_p", "_own")
     codes = with_id(usable_concepts(concepts).select(CODE)).filter(F.col(ID).isNotNull()).distinct()
     return join_fanout(hits, codes, ID, "inner").select("tabla", "campo", CODE)
 

@@ -129,8 +129,15 @@ def coverage(
 
     ``trace_rows`` and ``rule_rows`` count the matches, ``fan_out`` how often
     silver repeats the concept's rules. Threshold sums are those of the
-    concept's rules once. Trace and rules are aggregated to one row per key
-    before they are joined, so neither join multiplies rows.
+    concept's rules once.
+    """
+    return coverage_of(all_concepts(concepts, custom, trim_terms), rules, trace)
+
+
+def coverage_of(base: DataFrame, rules: DataFrame, trace: DataFrame) -> DataFrame:
+    """``coverage`` of ``all_concepts`` rows.
+
+    Trace and rules are aggregated to one row per key before they are joined, so neither join multiplies rows.
     """
     trace_per_id = (
         with_id(usable_trace(trace)).filter(F.col(ID).isNotNull())
@@ -141,7 +148,6 @@ def coverage(
         _rule_side(rules).filter(F.col(TERM).isNotNull())
         .groupBy(TERM).agg(F.count(RULE_ID).alias("rule_rows"), *parts)
     )
-    base = all_concepts(concepts, custom, trim_terms)
     joined = join_unique(join_unique(base, trace_per_id, ID), rules_per_term, TERM)
     zero = F.lit(0).cast("bigint")
     return joined.withColumns(

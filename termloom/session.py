@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +39,31 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     which is removed when the Python process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark)
-    return os.path.join(root, "termloom", f"{purpose}-{uuid.uuid4().hex}")
+    path = os.path.join(root, "termloom", f"{purpose}-{uuid.uuid4().hex}")
+    for held in _working:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def working_folders(spark: SparkSession) -> Iterator[None]:
+    """What ``shared_folder`` names inside of this block is removed at its end, also after a failure.
+
+    For jobs that have written their result by then: frames that still read such a folder cannot be used afterwards.
+    """
+    held: list[str] = []
+    _working.append(held)
+    try:
+        yield
+    finally:
+        _working.remove(held)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for name in held:
+            path = hadoop(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_working: list[list[str]] = []
 
 
 def _local_root(spark: SparkSession) -> str:
