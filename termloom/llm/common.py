@@ -20,10 +20,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, whatever signs that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(stem: str, columns: list[str]) -> str:
+    """The stem, lengthened until no column has that name in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+# Rows hold whole texts, so batches that count rows must be small.
+SMALL_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 512}
+ROW_GROUP_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets at most a few hundred rows at a time pass through Spark's columnar reader and to Python, in this session.
+
+    The defaults are 4,096 and 10,000 rows, however long these are. Lower settings stay.
+    """
+    for name, rows in SMALL_BATCHES.items():
+        if int(spark.conf.get(name)) > rows:
+            spark.conf.set(name, str(rows))
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The frame written to the shared folder and read back, so that what follows never computes it again."""
+    """The frame written to the shared folder and read back, so that what follows never computes it again.
+
+    Row groups are small, since writers and readers hold a whole one.
+    """
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -72,5 +103,6 @@ def per_text(
             )
         if after:
             after()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, f"doc_id long, {columns}")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.anchors import _TABLES, mixed, powers
-from termloom.llm.common import parts, stored, table
+from termloom.llm.common import column, parts, stored, table
 
 N_WORDS = 5
 LINK = (4, 9)  # similarity 0.8: shared / (a + b) of at least 4 / 9
@@ -380,9 +380,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     firsts = by_set.select(F.col("first.doc_id").alias("d"), F.col("first.x").alias("x2")).distinct()
     bare = rows.filter("set IS NULL").select(F.col("doc_id").alias("d"), F.col("x").alias("x2")).distinct()
     keep = firsts.unionByName(bare).distinct()
-    names = docs.columns
     packed = docs.select(
-        F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("x2"), F.struct(*names).alias("row")
+        F.col("doc_id").cast("long").alias("d"),
+        F.xxhash64("text").alias("x2"),
+        F.struct(*[column(c) for c in docs.columns]).alias("row"),
     )
     # Rows with equal id and text are one document; the first aggregation happens before anything moves.
     once = packed.groupBy("d", "x2").agg(F.first("row").alias("row"))

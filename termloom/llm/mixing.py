@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import stored, table, word_count
+from termloom.llm.common import column, free_name, stored, table, word_count
 
 # Production parameters.
 WEIGHTS = (3, 1, 2)  # repeating, over the sources in order
@@ -205,15 +205,14 @@ def mixed(docs: DataFrame, row: Column | None = None) -> DataFrame:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """The rows of the mix, each as often as it is taken, with their own columns."""
-    number = "__row"
-    while number in docs.columns:
-        number += "_"
+    number = free_name("__row", docs.columns)
+    of, copies = (free_name(stem, [*docs.columns, number]) for stem in ("__of", "__copies"))
     # The numbers are written with the rows, so that they cannot change between here and the join.
     rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "mix-documents")
-    counts = mixed(rows, F.col(number)).filter("copies > 0").select("row", "copies")
-    taken = rows.join(counts.withColumnsRenamed({"row": "__of", "copies": "__copies"}), F.col(number) == F.col("__of"))
-    again = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return taken.withColumn(number, again).select(*docs.columns)
+    counts = mixed(rows, F.col(number)).filter("copies > 0").select(F.col("row").alias(of), F.col("copies").alias(copies))
+    taken = rows.join(counts, F.col(number) == F.col(of))
+    again = F.explode(F.sequence(F.lit(1), F.col(copies)))
+    return taken.withColumn(number, again).select(*[column(c) for c in docs.columns])
 
 
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

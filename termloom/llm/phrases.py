@@ -36,9 +36,9 @@ SUBSUMED_PERCENT = 50
 TOP = 2_000
 MARKS = byte_set(".,;:!?", range(0x0A, 0x0E))
 OUTSIDE = MARKS | byte_set("\x20\x09")
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 4 << 20  # of text whose counts meet in one bucket
-MERGE_ENTRIES = 1_000_000  # are held before they are added up
+MERGE_ENTRIES = 500_000  # are held before they are added up
 SHARES = 64
 RANK_SPREAD = 64
 LOWER = np.arange(256, dtype=np.uint8)
@@ -154,8 +154,11 @@ def stripes(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(rows, "lang string, bucket int, stripes binary")
 
 
-def merged(parts: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
-    """lang, phrase, n: the stripes of all blocks added up, without what is rarer than ``least``."""
+def merged(parts: DataFrame, buckets: int, least: int = LEAST_COUNT) -> DataFrame:
+    """lang, phrase, n: the stripes of all blocks added up, without what is rarer than ``least``.
+
+    There are as many tasks as buckets, so that a task's part does not grow with the input.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, size = None, [], 0
@@ -185,14 +188,17 @@ def merged(parts: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
         if held:
             yield result()
 
-    together = parts.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    together = parts.repartition(buckets, "lang", "bucket").sortWithinPartitions("lang", "bucket")
     return together.mapInArrow(rows, "lang string, phrase string, n long")
 
 
-def collocations(docs: DataFrame, least: int = LEAST_COUNT, percent: int = SUBSUMED_PERCENT) -> DataFrame:
-    """lang, phrase, a, l, r, n, score of every phrase of two or three words that no longer one subsumes."""
+def collocations(
+    docs: DataFrame, least: int = LEAST_COUNT, percent: int = SUBSUMED_PERCENT
+) -> tuple[DataFrame, DataFrame]:
+    """lang, phrase, a, l, r, score of every phrase of two or three words that no longer one subsumes; lang, n of all words."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
-    found = stored(merged(stripes(docs, 1 + size // BUCKET_BYTES), least), "phrases")
+    buckets = 1 + size // BUCKET_BYTES
+    found = stored(merged(stripes(docs, buckets), buckets, least), "phrases")
     totals = found.filter(F.col("phrase") == "").select("lang", F.col("n"))
     words = F.split("phrase", " ", 2)
     counted = found.filter(F.col("phrase") != "").select(
@@ -235,16 +241,14 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, percent: int = SUBSU
         "a",
     )
     largest = held.groupBy("lang", "phrase").agg(F.max("a").alias("longest"))
-    return (
-        best.join(largest, ["lang", "phrase"], "left")
-        .filter(F.col("longest").isNull() | (100 * F.col("longest") < percent * F.col("best.a")))
-        .join(totals, "lang")
-        .select("lang", "phrase", "best.a", "best.l", "best.r", "n", "best.score")
+    alone = best.join(largest, ["lang", "phrase"], "left").filter(
+        F.col("longest").isNull() | (100 * F.col("longest") < percent * F.col("best.a"))
     )
+    return alone.select("lang", "phrase", "best.a", "best.l", "best.r", "best.score"), totals
 
 
-def top_phrases(phrases: DataFrame, top: int = TOP) -> DataFrame:
-    """The first ``top`` phrases of each language, ranked from 1.
+def top_phrases(phrases: DataFrame, totals: DataFrame, top: int = TOP) -> DataFrame:
+    """The first ``top`` phrases of each language, ranked from 1, with the number of all its words.
 
     A language is first ranked in ``RANK_SPREAD`` shares, so that one task orders no more than their heads.
     """
@@ -252,11 +256,11 @@ def top_phrases(phrases: DataFrame, top: int = TOP) -> DataFrame:
     shares = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SPREAD))).orderBy(*order)
     heads = phrases.withColumn("rank", F.row_number().over(shares)).filter(F.col("rank") <= top)
     whole = Window.partitionBy("lang").orderBy(*order)
-    return heads.withColumn("rank", F.row_number().over(whole).cast("long")).filter(F.col("rank") <= top)
+    return heads.withColumn("rank", F.row_number().over(whole).cast("long")).filter(F.col("rank") <= top).join(totals, "lang")
 
 
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = top_phrases(collocations(table(spark, sf_dir, "documents")))
+    found = top_phrases(*collocations(table(spark, sf_dir, "documents")))
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

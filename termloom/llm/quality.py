@@ -5,7 +5,8 @@ comparison multiplies them out, so no verdict depends on rounding. The measures
 expression; no row is shuffled and no user function runs.
 
 Cases: a null text has no words, fails the base rules and is not kept. Repeated rows are judged
-alike. Other columns pass through untouched whatever their names.
+alike. Other columns pass through untouched whatever their names. Stop words are asked for only where ``lang`` is one of the
+languages that the list covers.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import let, table, words_of
+from termloom.llm.common import column, free_name, let, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 STOP_GAP = r"[\x20\x09-\x0D.,;:!?]+"
@@ -28,10 +29,14 @@ STOP_WORDS = (
     "el los las y se con por del para su es al no una lo"
 ).split()
 STOP_WORDS = sorted(set(STOP_WORDS))
+SPOKEN = ("en", "fr", "de", "es")  # the values of ``lang`` whose function words are in the list
 
 
 class Rule(NamedTuple):
-    """``low`` <= 100 * part / whole <= ``high``, asked only of texts whose ``whole`` is ``least`` or more."""
+    """``low`` <= 100 * part / whole <= ``high``, asked only of texts whose ``whole`` is ``least`` or more.
+
+    ``spoken``: asked only of texts in a language whose stop words are known.
+    """
 
     name: str
     part: str
@@ -39,6 +44,7 @@ class Rule(NamedTuple):
     low: int | None
     high: int | None
     least: int = 1
+    spoken: bool = False
 
 
 # Production thresholds, in percent of the whole.
@@ -47,8 +53,8 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", None, 10),
     Rule("exclamations", "n_bangs", "n_words", None, 30),
     Rule("echoed_words", "n_echoes", "n_words", None, 25),
-    Rule("stop_words", "n_stop_words", "n_words", 4, None, 40),
-    Rule("stop_words_short", "n_stop_words", "n_words", 1, None, 15),
+    Rule("stop_words", "n_stop_words", "n_words", 4, None, 40, spoken=True),
+    Rule("stop_words_short", "n_stop_words", "n_words", 1, None, 15, spoken=True),
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 40, 4),
 )
 MIN_WORDS = 10
@@ -120,7 +126,7 @@ def measures(text: Column) -> Column:
     )
 
 
-def passes(measured: Column, rules=RULES) -> Column:
+def passes(measured: Column, spoken: Column, rules=RULES) -> Column:
     """One boolean expression out of the table of rules."""
     verdict = F.lit(True)
     for rule in rules:
@@ -130,6 +136,8 @@ def passes(measured: Column, rules=RULES) -> Column:
             holds = holds & (part >= whole * rule.low)
         if rule.high is not None:
             holds = holds & (part <= whole * rule.high)
+        if rule.spoken:
+            holds = holds | ~spoken
         verdict = verdict & ((whole < rule.least) | holds)
     return verdict
 
@@ -141,11 +149,15 @@ def base_fails(measured: Column) -> Column:
 
 
 def judged(docs: DataFrame, into: str, rules=RULES) -> DataFrame:
-    """The rows with a struct column ``into``: all measures, ``base_failed`` and ``kept``."""
+    """The rows with a struct column ``into``: all measures, ``base_failed`` and ``kept``.
+
+    Without a column ``lang``, or where it is null, the language is not known.
+    """
+    spoken = F.coalesce(F.col("lang").isin(*SPOKEN), F.lit(False)) if "lang" in docs.columns else F.lit(False)
     verdicts = lambda m: F.struct(
         *[m[name].alias(name) for name in MEASURES],
         base_fails(m).alias("base_failed"),
-        (~base_fails(m) & passes(m, rules)).alias("kept"),
+        (~base_fails(m) & passes(m, spoken, rules)).alias("kept"),
     )
     return docs.withColumn(into, let(measures(docs["text"]), verdicts))
 
@@ -165,15 +177,12 @@ MEASURES = (
 
 def kept_rows(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows that pass, with their own columns."""
-    names = docs.columns
-    verdict = "__verdict"
-    while verdict in names:
-        verdict += "_"
-    return judged(docs, verdict, rules).filter(F.col(verdict)["kept"]).select(*[docs[n] for n in names])
+    verdict = free_name("__verdict", docs.columns)
+    return judged(docs, verdict, rules).filter(F.col(verdict)["kept"]).select(*[column(c) for c in docs.columns])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     v = F.col("verdict")
     return judged(docs, "verdict").select(
         "doc_id",
@@ -190,12 +199,14 @@ def rule_sql(rule: Rule) -> str:
         parts.append(f"{rule.part} * 100 >= {rule.whole} * {rule.low}")
     if rule.high is not None:
         parts.append(f"{rule.part} * 100 <= {rule.whole} * {rule.high}")
-    return f"({rule.whole} < {rule.least} OR ({' AND '.join(parts)}))"
+    unknown = "NOT spoken OR " if rule.spoken else ""
+    return f"({unknown}{rule.whole} < {rule.least} OR ({' AND '.join(parts)}))"
 
 
+_SPOKEN = ", ".join(f"'{lang}'" for lang in SPOKEN)
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 OP2_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(lang IN ({_SPOKEN}), false) AS spoken FROM documents),
 w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i
       FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d)),
 g AS (SELECT r, i, word,
@@ -213,7 +224,7 @@ s AS (SELECT r, count(*) AS n_stop_words
 l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
       FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
       WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
-m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+m AS (SELECT doc_id, spoken, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
         coalesce(n_symbols, 0) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_bangs, 0) AS n_bangs,
         coalesce(n_lines, 0) AS n_lines, coalesce(n_stop_words, 0) AS n_stop_words, coalesce(n_echoes, 0) AS n_echoes

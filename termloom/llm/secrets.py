@@ -23,7 +23,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -211,10 +213,13 @@ def all_spans(text: str, lowest: dict[tuple[int, int], int]) -> tuple[list, list
     """Spans of the patterns, and these with the random tokens that no pattern touches."""
     base = base_spans(text)
     found = list(base)
+    # Of the patterns' spans that begin before a token ends, the furthest end tells whether one reaches into it.
+    begins, furthest = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     for start, end, tested in candidates(text):
         if tested is None or tested[2] < lowest.get(tested[:2], STEPS + 1):
             continue
-        if not any(a < end and start < b for a, _, b in base):
+        before = bisect_left(begins, end)
+        if not before or furthest[before - 1] <= start:
             found.append((start, 3, end))
     return base, sorted(found)
 

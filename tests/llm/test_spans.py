@@ -162,12 +162,12 @@ def test_phrases_equal_brute_force(spark, monkeypatch, block, bucket, entries):
     monkeypatch.setattr(phrases, "MERGE_ENTRIES", entries)
     rows = phrase_rows()
     docs = spark.createDataFrame([(a, b, 1, "q") for a, b in rows], "lang string, text string, n long, word string").repartition(5)
-    assert phrases_of(phrases.top_phrases(phrases.collocations(docs))) == plain_phrases(rows)
-    assert phrases_of(phrases.top_phrases(phrases.collocations(docs), 3)) == plain_phrases(rows, top=3)
+    assert phrases_of(phrases.top_phrases(*phrases.collocations(docs))) == plain_phrases(rows)
+    assert phrases_of(phrases.top_phrases(*phrases.collocations(docs), 3)) == plain_phrases(rows, top=3)
 
 
 def test_phrases_of_an_empty_table(spark):
-    assert phrases.top_phrases(phrases.collocations(helpers.none(spark))).collect() == []
+    assert phrases.top_phrases(*phrases.collocations(helpers.none(spark))).collect() == []
 
 
 def test_scores_pass_64_bits(spark):
