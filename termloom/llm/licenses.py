@@ -9,15 +9,19 @@ are units whose number of words alone rules out every template. For the same rea
 bigrams with its template. Words are chosen such that more of each template's bigrams than a match can miss hold
 one of them; a text with none of these words cannot match and is not taken apart.
 
-Runs begin and end with a bigram of their template and have at most b (2 - t) / t bigrams, repeated ones counted. They are
-taken only for templates of which the text holds b t / (2 - t) bigrams. Of the runs that begin at one place the best counts,
-so that a notice does not also stand for its neighbours (GPL-3.0 for GPL-2.0). Runs add the licences that no unit
-matches, each with its best run as one match; ``OP3_SQL`` knows units only, and what units match is as it says.
+Of the templates that a unit reaches, the one with the highest coefficient names its licence. A run begins where a streak of
+bigrams of its template begins, or in a longer streak at every place that is a multiple of the template's size, and ends
+with a streak or with the b (2 - t) / t bigrams that it may have at most, repeated ones counted. Runs are
+taken only for templates of which the text holds b t / (2 - t) bigrams. A bigram is new in a run if its place before is ahead of the run, so
+sizes of runs are counts and no set is built. Of runs that overlap the one that shares more bigrams with its template stays (then
+that with the higher coefficient), so that a notice does not also stand for its neighbours (GPL-3.0 for GPL-2.0, BSD-2-Clause for
+BSD-3-Clause). Runs add the licences that no unit names, each with its best run as one match; ``OP3_SQL`` knows units only, and runs
+are tested against a plain version.
 
 All of it is one projection of built-in expressions: nothing is shuffled, and the templates are a literal.
 
-Cases: a null or empty text matches nothing. Repeated rows give equal results. Equal coefficients go to the template
-named first in order of names. Only ``doc_id`` and ``text`` are read. Parts of less than three words match nothing.
+Cases: a null or empty text matches nothing. Repeated rows give equal results. Equal coefficients go to the licence
+named first in order of names. A dense text of notices takes time in proportion to its length. Only ``doc_id`` and ``text`` are read. Parts of less than three words match nothing.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from termloom.llm.common import let, table
 
 THRESHOLD_PERCENT = 80
 MATCHES = "array<struct<license:string,shared:int,total:int>>"
+RUNS = "array<struct<fewer:int,rank:double,license:string,start:int,end:int,total:int>>"
 LONG_WORD = 5  # letters; longer words are looked for anywhere, shorter ones only as whole words
 # Wordings of public licences and of the usual notices that refer to one.
 TEMPLATES = {
@@ -42,24 +47,47 @@ TEMPLATES = {
         Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
         on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
         the specific language governing permissions and limitations under the License."""],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+        any later version."""],
     "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.",
         """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
         the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
         list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
         copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
         materials provided with the distribution."""],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written
+        permission."""],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option)
+        any later version."""],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
         """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
         Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
         any later version."""],
     "ISC": ["""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
         hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+        any later version."""],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.",
+        """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+        any later version."""],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.",
         """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
         documentation files (the "Software"), to deal in the Software without restriction, including without limitation
@@ -117,48 +145,106 @@ def _pairs(unit: Column) -> Column:
 
 
 def _runs(unit: Column, known: Column, pairs: list[str], percent: int) -> Column:
-    """Array of (license, shared, total): the best run of words of each licence that some run of the unit matches."""
+    """Array of (license, shared, total): the best run of each licence, of the runs that no better one overlaps."""
 
-    def of_template(t: Column, own: Column) -> Column:
+    def of_template(t: Column, own: Column, before: Column) -> Column:
+        """(shared, rank, license, start, end, total) of the best run from each start."""
         reach = F.floor(t["n"] * (200 - percent) / percent).cast("int")
-
-        def from_place(places: Column, s: Column, j: Column) -> Column:
-            def best(ends: Column) -> Column:
-                scores = F.transform(
-                    ends,
-                    lambda e, k: F.struct(
-                        F.size(F.array_distinct(F.transform(F.slice(ends, 1, k + 1), lambda i: F.get(own, i)))).alias("shared"),
-                        (F.size(F.array_distinct(F.slice(own, s + 1, e - s + 1))) + t["n"]).alias("total"),
+        every = F.sequence(F.lit(0), F.size(own) - 1)
+
+        def in_streaks(flags: Column) -> Column:
+            first = F.filter(every, lambda i: F.get(flags, i) & ~F.coalesce(F.get(flags, i - 1), F.lit(False)))
+            last = F.filter(every, lambda i: F.get(flags, i) & ~F.coalesce(F.get(flags, i + 1), F.lit(False)))
+            return let(first, lambda begins: let(last, lambda ends: from_starts(flags, begins, ends)))
+
+        def from_starts(flags: Column, begins: Column, ends: Column) -> Column:
+            starts = F.flatten(
+                F.transform(
+                    begins,
+                    lambda a, k: F.transform(
+                        F.sequence(a, F.get(ends, k), t["n"]), lambda s: F.struct(s.alias("s"), k.alias("k"))
                     ),
                 )
-                fit = F.filter(scores, lambda x: x["shared"] * 200 >= x["total"] * percent)
-                ranked = F.transform(
-                    fit,
-                    lambda x: F.struct(
-                        s.alias("at"), (-x["shared"] / x["total"]).alias("rank"), t["name"].alias("license"), x["shared"], x["total"]
+            )
+            held = lambda x: F.size(F.filter(F.slice(flags, x["s"] + 1, reach), lambda f: f))
+            likely = F.filter(starts, lambda x: held(x) * (200 - percent) >= t["n"] * percent)
+            return F.filter(
+                F.transform(likely, lambda x: best_from(x["s"], x["k"], flags, ends)), lambda run: run.isNotNull()
+            )
+
+        def best_from(s: Column, k: Column, flags: Column, ends: Column) -> Column:
+            limit = s + reach - 1
+            stops = F.filter(
+                F.concat(F.slice(ends, k + 1, reach), F.array(limit)), lambda e: (e >= s) & (e <= limit) & F.get(flags, e)
+            )
+
+            def scored(e: Column) -> Column:
+                return let(
+                    F.filter(F.sequence(s, e), lambda i: F.get(before, i) < s),
+                    lambda new: F.struct(
+                        F.size(F.filter(new, lambda i: F.get(flags, i))).alias("shared"),
+                        (F.size(new) + t["n"]).alias("total"),
+                        e.alias("end"),
                     ),
                 )
-                enough = F.size(F.array_distinct(F.transform(ends, lambda i: F.get(own, i)))) * (200 - percent) >= t["n"] * percent
-                return F.when(enough, F.array_min(ranked))
 
-            return let(F.filter(F.slice(places, j + 1, reach), lambda e: e < s + reach), best)
+            fit = F.filter(F.transform(stops, scored), lambda x: x["shared"] * 200 >= x["total"] * percent)
+            ranked = F.transform(
+                fit,
+                lambda x: F.struct(
+                    (-x["shared"] / x["total"]).alias("rank"), (-x["shared"]).alias("fewer"), x["end"].alias("end"), x["total"].alias("total")
+                ),
+            )
+            return let(
+                F.array_min(ranked),
+                lambda m: F.when(
+                    m.isNotNull(),
+                    F.struct(
+                        m["fewer"].alias("fewer"), m["rank"].alias("rank"), t["name"].alias("license"),
+                        s.alias("start"), m["end"].alias("end"), m["total"].alias("total"),
+                    ),
+                ),
+            )
 
-        places = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.array_contains(t["own"], F.get(own, i)))
-        return let(places, lambda found: F.transform(found, lambda s, j: from_place(found, s, j)))
+        return let(F.transform(own, lambda x: F.array_contains(t["own"], x)), in_streaks)
 
-    def named(ordered: Column) -> Column:
-        first = F.filter(ordered, lambda m, i: ~F.get(ordered, i - 1)["at"].eqNullSafe(m["at"]))
-        ranked = F.array_sort(
-            F.transform(first, lambda m: F.struct(m["license"], m["rank"], m["shared"], m["total"]))
+    def apart(ranked: Column) -> Column:
+        """The runs in order that overlap none before them."""
+        kept = F.aggregate(
+            ranked,
+            F.array().cast(RUNS),
+            lambda acc, run: F.when(
+                F.exists(acc, lambda k: (k["start"] <= run["end"]) & (run["start"] <= k["end"])), acc
+            ).otherwise(F.concat(acc, F.array(run))),
+        )
+        ordered = F.array_sort(
+            F.transform(kept, lambda m: F.struct(m["license"], m["rank"], (-m["fewer"]).alias("shared"), m["total"]))
         )
-        best = let(ranked, lambda r: F.filter(r, lambda m, i: ~F.get(r, i - 1)["license"].eqNullSafe(m["license"])))
+        best = let(ordered, lambda r: F.filter(r, lambda m, i: ~F.get(r, i - 1)["license"].eqNullSafe(m["license"])))
         return F.transform(best, lambda m: F.struct(m["license"], m["shared"], m["total"]))
 
+    def places_before(own: Column) -> Column:
+        """Of each bigram the place before where it also stands, or -1."""
+        sorted_places = F.array_sort(F.transform(own, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+
+        def linked(p: Column) -> Column:
+            both = F.transform(
+                p,
+                lambda one, k: F.struct(
+                    one["i"].alias("i"),
+                    F.when(F.get(p, k - 1)["x"] == one["x"], F.get(p, k - 1)["i"]).otherwise(F.lit(-1)).alias("b"),
+                ),
+            )
+            return F.transform(F.array_sort(both), lambda one: one["b"])
+
+        return let(sorted_places, linked)
+
     def searched(own: Column) -> Column:
         def among(near: Column) -> Column:
-            some = F.flatten(F.transform(near, lambda t: of_template(t, own)))
-            ordered = F.array_sort(F.filter(some, lambda m: m.isNotNull()))
-            return F.when(F.size(near) > 0, let(ordered, named)).otherwise(F.array().cast(MATCHES))
+            found = let(
+                places_before(own), lambda before: F.flatten(F.transform(near, lambda t: of_template(t, own, before)))
+            )
+            return F.when(F.size(near) > 0, let(F.array_sort(found), apart)).otherwise(F.array().cast(MATCHES))
 
         held = F.array_distinct(F.filter(own, lambda x: x.isin(*pairs)))
         near = let(
@@ -213,7 +299,11 @@ def matches(text: Column, templates: dict[str, list[str]] = TEMPLATES, percent:
                     (n + t["n"]).alias("total"),
                 ),
             )
-            return F.filter(scores, lambda s: s["shared"] * 200 >= s["total"] * percent)
+            reached = F.filter(scores, lambda s: s["shared"] * 200 >= s["total"] * percent)
+            ranked = F.transform(
+                reached, lambda m: F.struct((-m["shared"] / m["total"]).alias("rank"), m["license"], m["shared"], m["total"])
+            )
+            return let(F.array_min(ranked), lambda m: F.struct(m["license"], m["shared"], m["total"]))
 
         return let(_pairs(unit), scored)
 
@@ -225,7 +315,8 @@ def matches(text: Column, templates: dict[str, list[str]] = TEMPLATES, percent:
         more = F.filter(_runs(F.get(units, 0), known, pairs, percent), lambda m: ~F.array_contains(names, m["license"]))
         return F.concat(found, more)
 
-    found = let(F.flatten(F.transform(wordy, compared)), with_runs)
+    best = F.filter(F.transform(wordy, compared), lambda m: m["license"].isNotNull())
+    found = let(best, with_runs)
     anchors = anchor_words(ready, percent)
     short = "|".join(word for word in anchors if len(word) < LONG_WORD)
     token = rf"(?<![\p{{L}}\p{{N}}])(?:{short})(?![\p{{L}}\p{{N}}])"
@@ -239,7 +330,7 @@ def matches(text: Column, templates: dict[str, list[str]] = TEMPLATES, percent:
 
 
 def scanned(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """doc_id, licenses (names found, in order), best_license, best_percent (rounded down), n_matches (units x templates, and licences by runs alone)."""
+    """doc_id, licenses (names found, in order), best_license, best_percent (rounded down), n_matches (units with a licence, and licences by runs alone)."""
     found = F.col("found")
     ordered = F.array_sort(
         F.transform(
@@ -278,12 +369,13 @@ p AS (SELECT r, plain, string_split_regex(plain, '\n *\n') AS blocks, string_spl
 u AS (SELECT DISTINCT r, trim(regexp_replace(replace(unit, chr(10), ' '), ' +', ' ', 'g')) AS unit FROM (
         SELECT r, unnest(list_concat([plain], CASE WHEN len(blocks) > 1 THEN blocks ELSE [] END, lines)) AS unit FROM p)),
 w AS (SELECT r, unit, string_split(unit, ' ') AS words FROM u),
-g AS (SELECT r, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS own
+g AS (SELECT r, unit, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS own
       FROM w WHERE len(words) > {max(2, min(len(own) for _, own in _READY) * THRESHOLD_PERCENT / (200 - THRESHOLD_PERCENT))}),
-m AS (SELECT r, t.name, len(list_intersect(g.own, t.own)) AS shared, len(g.own) + len(t.own) AS total
+m AS (SELECT r, unit, t.name, len(list_intersect(g.own, t.own)) AS shared, len(g.own) + len(t.own) AS total
       FROM g JOIN t ON len(g.own) * {200 - THRESHOLD_PERCENT} >= len(t.own) * {THRESHOLD_PERCENT}
                    AND len(t.own) * {200 - THRESHOLD_PERCENT} >= len(g.own) * {THRESHOLD_PERCENT}),
-h AS (SELECT r, name, floor(shared * 20000 / total)::BIGINT AS pct FROM m WHERE shared * 200 >= total * {THRESHOLD_PERCENT}),
+h AS (SELECT r, name, floor(shared * 20000 / total)::BIGINT AS pct FROM m WHERE shared * 200 >= total * {THRESHOLD_PERCENT}
+      QUALIFY row_number() OVER (PARTITION BY r, unit ORDER BY shared / total DESC, name) = 1),
 b AS (SELECT r, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, max(pct) AS pct FROM h GROUP BY r),
 n AS (SELECT r, min(name) AS best FROM h JOIN b USING (r) WHERE h.pct = b.pct GROUP BY r)
 SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, best AS best_license, pct / 100 AS best_percent
