@@ -2,16 +2,25 @@
 
 The shingles of a text are its runs of five words (a shorter text has one, all its words). Texts with equal shingle sets
 are one *class* from the start, so copies are never compared. Each class has a signature, cut into ``TREES`` labels of
-``DEPTH`` MinHash values. Classes whose labels share a prefix in some tree are candidates. The prefix starts at full depth
-and is shortened until the chance that two texts at the threshold share it in some tree reaches the target recall.
+``DEPTH`` MinHash values. The labels of a tree, in sorted order, are its prefix trie: labels with a common prefix are neighbours.
 
-A trie node may hold very many classes. It is dealt into squares of ``NODE_SQUARE`` by ``NODE_SQUARE`` classes, each a task's
-group of its own; a square keeps pairs whose signatures agree as those of texts at the threshold do (within 4.5 standard
-deviations), and reports only edges that span them. Connected classes are then verified exactly: their shingle sets
-meet in squares again, where all pairs are counted by products of incidence matrices and never listed. A square reports each
+A class looks for partners among those that share its whole label, and the prefix is shortened, a value at a time, until the
+chance that some tree shows a partner reaches the target recall. How far that is follows from the class itself: with few shingles
+only some similarities above the threshold are possible at all, the least of which may be well above it (a set of four can
+have 0.8 or 1, one of three only 1), so its prefix may stay longer. A pair counts as met where it shares the longer of its two prefixes.
+
+A task holds a range of the sorted labels. In each node of the trie it joins neighbours first, from whole labels to shorter prefixes, and then
+compares what is not yet connected: pairs whose signatures agree as those of texts at the threshold do (within 4.5 standard
+deviations) are connected. So a large group of near copies costs little more than its chain of neighbours. It reports only edges that span what
+it connected. Nodes at the ends of a range may go on in the next one; their members meet again in squares of
+``NODE_SQUARE`` by ``NODE_SQUARE``, a task's group each.
+
+Connected classes are verified exactly: their shingle sets
+meet in squares, where all pairs are counted by products of incidence matrices and never listed. A square reports each
 class's number of links and the edges that span its links. What leaves a group is thus linear in its members.
 
-Connected components alternate large-star and small-star steps on edge tables in the shared folder.
+Connected components alternate large-star and small-star steps on edge tables in the shared folder; the rows of a node with
+very many edges are spread over ``STAR_SPREAD`` tasks.
 
 Cases: a null or empty text has no shingles, no links, and a class of its own. Repeated rows and copies share a class. Links count
 different texts of similarity 0.8 or more (also those with the same shingles), not rows. ``class_id`` is the smallest ``doc_id`` of the class, null if
@@ -21,6 +30,7 @@ all its ids are null. Only ``doc_id`` and ``text`` are read. Shingles are compar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +46,11 @@ LINK = (4, 9)  # similarity 0.8: shared / (a + b) of at least 4 / 9
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 8
 TARGET_RECALL = 0.9999
-NODE_SQUARE = 256
-SET_SQUARE = 64
+NODE_SQUARE = 1024
+SET_SQUARE = 256
+STAR_SPREAD = 16
+LABEL_BYTES = 4 * DEPTH
+MANY = 200  # shingles; from here on the threshold itself is taken as the least similarity
 SLICE_BYTES = 1 << 18
 _FACTORS = np.random.default_rng(5_802).integers(1, 1 << 63, size=TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _GAP = np.zeros(256, dtype=bool)
@@ -49,14 +62,36 @@ def recall(depth: int, trees: int = TREES, similarity: float = THRESHOLD) -> flo
     return 1 - (1 - similarity**depth) ** trees
 
 
-def prefix_depth(target: float = TARGET_RECALL) -> int:
-    """The longest prefix that reaches the target recall at the threshold."""
+def prefix_depth(similarity: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
+    """The longest prefix that reaches the target recall at a similarity."""
     depth = DEPTH
-    while depth > 1 and recall(depth) < target:
+    while depth > 1 and recall(depth, similarity=similarity) < target:
         depth -= 1
     return depth
 
 
+@cache
+def least_similarity(n: int) -> float | None:
+    """The least similarity from the threshold up that a set of n shingles can have with another set; None: only an equal one."""
+    best = None
+    for m in range(1, 2 * n + 2):
+        # The fewest shared shingles that reach the threshold with m others.
+        shared = -(-LINK[0] * (n + m) // LINK[1])
+        if shared <= min(n, m) and (shared < n or m > n):
+            similarity = shared / (n + m - shared)
+            best = similarity if best is None else min(best, similarity)
+    return best
+
+
+@cache
+def own_depth(n: int) -> int | None:
+    """How long the prefixes of a set of n shingles may stay; None if it can have no partner."""
+    if n >= MANY:
+        return prefix_depth()
+    least = least_similarity(n)
+    return None if least is None else prefix_depth(least)
+
+
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     held: list[bytes] = []
@@ -126,11 +161,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, x, set (of the shingles' hash; null without shingles), text (hash), labels and sketch."""
-    depth = prefix_depth()
+    """doc_id, x, set (of the shingles' hash; null without shingles), text (hash), depth, labels (end to end) and sketch."""
 
     def describe(batches: Batches) -> Batches:
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
         for batch in parts(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             rows = []
@@ -138,17 +172,16 @@ def described(docs: DataFrame) -> DataFrame:
                 batch.column("doc_id").to_pylist(), batch.column("x").to_pylist(), texts, shingle_sets(texts)
             ):
                 if not len(own):
-                    rows.append((doc, x, None, None, None, None))
+                    rows.append((doc, x, None, None, None, None, None))
                     continue
-                values = signature(own).reshape(TREES, DEPTH)
-                labels = [
-                    xxhash.xxh3_64_intdigest(values[t, :depth].tobytes(), seed=t) - (1 << 63) for t in range(TREES)
-                ]
-                sketch = (values.ravel() & np.uint32(255)).astype(np.uint8).tobytes()
-                rows.append((doc, x, xxhash.xxh3_128_digest(own.tobytes()), xxhash.xxh3_128_digest(text), labels, sketch))
-            yield as_batch("doc_id x set text labels sketch", kinds, rows)
-
-    columns = "doc_id long, x long, set binary, text binary, labels array<long>, sketch binary"
+                depth = own_depth(len(own))
+                values = signature(own) if depth else np.empty(0, dtype=np.uint32)
+                sketch = (values & np.uint32(255)).astype(np.uint8).tobytes()
+                hashes = xxhash.xxh3_128_digest(own.tobytes()), xxhash.xxh3_128_digest(text)
+                rows.append((doc, x, *hashes, depth, values.astype(">u4").tobytes(), sketch))
+            yield as_batch("doc_id x set text depth labels sketch", kinds, rows)
+
+    columns = "doc_id long, x long, set binary, text binary, depth int, labels binary, sketch binary"
     return keyed(docs).mapInArrow(describe, columns)
 
 
@@ -194,41 +227,105 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(i, find(i)) for i in range(n) if find(i) != i]
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """a, b: edges that span the classes which share a trie node and have like sketches."""
+def sketches_agree() -> float:
+    """How many bytes of two sketches agree at least, if the texts reach the threshold."""
     expected = THRESHOLD + (1 - THRESHOLD) / 256
-    sketch = TREES * DEPTH
-    least = sketch * (expected - 4.5 * (expected * (1 - expected) / sketch) ** 0.5)
-    labels = classes.select("set", F.explode("labels").alias("label"))
-    nodes = labels.groupBy("label").agg(F.count("*").alias("size")).filter("size > 1")
-    inside = labels.join(nodes, "label").select(
-        "label", "set", F.explode(squares(F.col("size"), NODE_SQUARE, F.col("set"))).alias("q")
+    n = TREES * DEPTH
+    return n * (expected - 4.5 * (expected * (1 - expected) / n) ** 0.5)
+
+
+def node_edges(labels: np.ndarray, depth: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect the members of a trie node that are candidates of each other.
+
+    ``labels``: a row of values for each member, in sorted order. Neighbours are joined along ever shorter prefixes;
+    then the members outside of the largest group are compared with all others.
+    """
+    n, least = len(labels), sketches_agree()
+    same = np.cumprod(labels[1:] == labels[:-1], axis=1).sum(axis=1)
+    a = np.arange(n - 1)
+    met = (same >= np.maximum(depth[1:], depth[:-1])) & ((sketches[1:] == sketches[:-1]).sum(axis=1) >= least)
+    chain = a[met][np.argsort(-same[met], kind="stable")]
+    root = np.arange(n)
+    for i, j in spanning(n, chain, chain + 1):
+        root[i] = j
+    count = np.bincount(root, minlength=n)
+    for i in np.flatnonzero(root != count.argmax()):
+        others = np.flatnonzero(root != root[i])
+        if not len(others):
+            break
+        others = others[(sketches[others] == sketches[i]).sum(axis=1) >= least]
+        shared = np.cumprod(labels[others] == labels[i], axis=1).sum(axis=1)
+        others = others[shared >= np.maximum(depth[others], depth[i])]
+        for old in np.unique(root[others]):
+            root[root == old] = root[i]
+    first: dict[int, int] = {}
+    return [(i, first[r]) for i, r in enumerate(root.tolist()) if first.setdefault(r, i) != i]
+
+
+def candidate_edges(classes: DataFrame) -> DataFrame:
+    """a, b: edges that connect the classes which share a prefix as long as both need, and have like sketches."""
+    shortest = prefix_depth()
+    trees = F.transform(
+        F.sequence(F.lit(0), F.lit(TREES - 1)),
+        lambda t: F.struct(t.alias("tree"), F.substring(F.col("labels"), t * LABEL_BYTES + 1, F.lit(LABEL_BYTES)).alias("label")),
     )
-    with_sketch = inside.join(classes.select("set", "sketch"), "set").select(
-        "label", F.col("q.i").alias("i"), F.col("q.j").alias("j"), F.col("q.own").alias("own"), "set", "sketch"
+    labels = classes.filter("depth IS NOT NULL").select("set", "depth", F.inline(trees))
+    labels = labels.withColumn("node", F.xxhash64("tree", F.substring("label", 1, 4 * shortest)))
+    nodes = labels.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").select("node")
+    shared = labels.join(nodes, "node").join(classes.select("set", "sketch"), "set")
+    order = ["tree", "label", "set"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    columns = "node long, depth int, label binary, sketch binary, a binary, b binary"
+
+    def matrices(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values = np.frombuffer(b"".join(r["label"] for r in rows), dtype=">u4").reshape(len(rows), -1)
+        sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+        return values, np.array([r["depth"] for r in rows]), sketches
+
+    def edges(rows: list[dict]) -> list[tuple[bytes, bytes]]:
+        return [(rows[i]["set"], rows[j]["set"]) for i, j in node_edges(*matrices(rows))] if len(rows) > 1 else []
+
+    def in_range(batches: Batches) -> Batches:
+        """Edges of the nodes inside of a range of sorted labels; the members of its first and last node, with their set as ``a``."""
+        out: list[tuple] = []
+        names = "node depth label sketch a b"
+        first, held = True, None
+        for (node,), rows in grouped(batches, ["node"]):
+            if first:
+                out += [(node, r["depth"], r["label"], r["sketch"], r["set"], None) for r in rows]
+                first = False
+                continue
+            if held:
+                out += [(None, None, None, None, *edge) for edge in edges(held)]
+            held = rows
+            if len(out) >= 20_000:
+                yield as_batch(names, kinds, out)
+                out = []
+        if held:
+            out += [(held[0]["node"], r["depth"], r["label"], r["sketch"], r["set"], None) for r in held]
+        yield as_batch(names, kinds, out)
+
+    sorted_labels = shared.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = stored(sorted_labels.mapInArrow(in_range, columns), "jaccard-forest")
+
+    ends = found.filter("node IS NOT NULL").select("node", "depth", "label", "sketch", F.col("a").alias("set"))
+    sizes = ends.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    dealt = ends.join(sizes, "node").select(
+        "node", "depth", "label", "sketch", "set", F.inline(squares(F.col("size"), NODE_SQUARE, F.col("set")))
     )
+    dealt = dealt.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "label", "set")
 
-    def compare(batches: Batches) -> Batches:
-        out = []
-        for _, rows in grouped(batches, ["label", "i", "j"]):
-            if len(rows) < 2:
-                continue
-            own = np.frombuffer(b"".join(r["sketch"] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
-            a, b = [], []
-            for k in range(len(rows) - 1):
-                like = np.flatnonzero((own[k + 1 :] == own[k]).sum(axis=1) >= least) + k + 1
-                a.append(np.full(len(like), k))
-                b.append(like)
-            out += [
-                (rows[u]["set"], rows[v]["set"]) for u, v in spanning(len(rows), np.concatenate(a), np.concatenate(b))
-            ]
+    def in_square(batches: Batches) -> Batches:
+        out: list[tuple] = []
+        for _, rows in grouped(batches, ["node", "i", "j"]):
+            out += edges(rows)
             if len(out) >= 20_000:
                 yield as_batch("a b", [pa.binary(), pa.binary()], out)
                 out = []
         yield as_batch("a b", [pa.binary(), pa.binary()], out)
 
-    dealt = with_sketch.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
+    inside = found.filter("node IS NULL").select("a", "b")
+    return inside.unionByName(dealt.mapInArrow(in_square, "a binary, b binary")).distinct()
 
 
 def components(edges: DataFrame, purpose: str) -> DataFrame:
@@ -242,7 +339,9 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        spread = F.explode(F.sequence(F.lit(0), F.lit(STAR_SPREAD - 1)))
+        arms = both.filter("v > u").withColumn("arm", F.pmod(F.xxhash64("v"), F.lit(STAR_SPREAD)).cast("int"))
+        large = arms.join(least.withColumn("arm", spread), ["u", "arm"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u")
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
@@ -329,13 +428,12 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = stored(
         rows.filter("set IS NOT NULL")
         .groupBy("set", "text")
-        .agg(F.min(place).alias("place"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
+        .agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in ("depth", "labels", "sketch")])
         .groupBy("set")
         .agg(
             F.count("*").alias("texts"),
             F.min("place").alias("place"),
-            F.first("labels").alias("labels"),
-            F.first("sketch").alias("sketch"),
+            *[F.first(c).alias(c) for c in ("depth", "labels", "sketch")],
         ),
         "jaccard-classes",
     )

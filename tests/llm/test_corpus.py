@@ -202,6 +202,65 @@ def test_one_of_each_class_stays(spark):
     assert jaccard.one_of_each(none(spark)).count() == 0
 
 
+def test_own_depth_follows_from_the_possible_similarities():
+    from fractions import Fraction
+
+    for n in range(1, 40):
+        possible = [Fraction(k, n + m - k) for m in range(1, 2 * n + 2) for k in range(1, min(n, m) + 1) if not k == n == m]
+        least = min((s for s in possible if s >= Fraction(4, 5)), default=None)
+        found = jaccard.least_similarity(n)
+        assert (found is None) == (least is None) and (least is None or abs(found - float(least)) < 1e-12)
+        depth = jaccard.own_depth(n)
+        if least is not None:
+            assert jaccard.recall(depth, similarity=found) >= jaccard.TARGET_RECALL or depth == 1
+            assert depth == jaccard.DEPTH or jaccard.recall(depth + 1, similarity=found) < jaccard.TARGET_RECALL
+    assert jaccard.own_depth(3) is None and jaccard.own_depth(10_000) == jaccard.prefix_depth()
+
+
+def test_node_edges_connect_all_candidates():
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        n = int(rng.integers(2, 60))
+        groups = rng.integers(0, max(1, n // 3), n)
+        bases = rng.integers(0, 256, (n, jaccard.TREES * jaccard.DEPTH), dtype=np.uint8)
+        sketches = bases[groups]
+        noise = rng.random(sketches.shape) < rng.choice([0.0, 0.1, 0.25, 0.6], n)[:, None]
+        sketches = np.where(noise, rng.integers(0, 256, sketches.shape, dtype=np.uint8), sketches)
+        labels = np.concatenate([np.ones((n, 4), dtype=np.uint32), rng.integers(0, 2, (n, 4), dtype=np.uint32)], axis=1)
+        labels = labels[np.lexsort(labels.T[::-1])]
+        depth = rng.choice([4, 4, 5, 7], n)
+        pairs = []
+        for i in range(n):
+            for j in range(i + 1, n):
+                shared = next((k for k in range(8) if labels[i, k] != labels[j, k]), 8)
+                if shared >= max(depth[i], depth[j]) and (sketches[i] == sketches[j]).sum() >= jaccard.sketches_agree():
+                    pairs.append((i, j))
+        expected = dict(jaccard.spanning(n, np.array([a for a, _ in pairs], dtype=int), np.array([b for _, b in pairs], dtype=int)))
+        made = jaccard.node_edges(labels, depth, sketches)
+        found = dict(jaccard.spanning(n, np.array([a for a, _ in made], dtype=int), np.array([b for _, b in made], dtype=int)))
+        assert found == expected and len(made) == len(expected)
+
+
+def test_nodes_cut_by_ranges_stay_whole(spark, monkeypatch):
+    """A group of near copies that fills many ranges of the sorted labels and many squares."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        own = list(words)
+        own[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(jaccard, "NODE_SQUARE", 64)
+    monkeypatch.setattr(jaccard, "SET_SQUARE", 64)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {r.class_id for r in made} == {0} and {r.n_links for r in made} == {399}
+
+
 def test_prefix_is_shortened_until_the_recall_is_reached():
     depth = jaccard.prefix_depth()
     assert jaccard.recall(depth) >= jaccard.TARGET_RECALL > jaccard.recall(depth + 1)
