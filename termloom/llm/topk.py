@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.common import stored, table
+from termloom.session import shared_folder
 
 K = 5
 SCALE = 256
@@ -90,7 +91,7 @@ NONE = np.iinfo(np.int64).min
 
 
 def histograms(rows: DataFrame, block: Block, low: np.ndarray, width: np.ndarray, k: int) -> DataFrame:
-    """query, bin, n: how many scores fall into each bin of [low, low + BINS x width), and into bin BINS above it."""
+    """query, bin, n: how many scores fall into each bin of [low, low + BINS x width), for a query's k highest bins with any."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(block.ids), BINS + 1), dtype=np.int64)
@@ -112,7 +113,11 @@ def histograms(rows: DataFrame, block: Block, low: np.ndarray, width: np.ndarray
             names=["query", "bin", "n"],
         )
 
-    return rows.mapInArrow(count, "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+    # The bin of the k-th score is among the k highest that hold any score.
+    counted = rows.mapInArrow(count, "query long, bin long, n long").filter(F.col("bin") < BINS)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("bin").desc()))
+    totals = counted.groupBy("query", "bin").agg(F.sum("n").alias("n"))
+    return totals.withColumn("place", place).filter(F.col("place") <= k).drop("place")
 
 
 def kth_scores(rows: DataFrame, block: Block, low: int, high: int, k: int) -> np.ndarray:
@@ -124,9 +129,8 @@ def kth_scores(rows: DataFrame, block: Block, low: int, high: int, k: int) -> np
     lows, widths = np.full(n, low), np.full(n, width)
     missing = np.full(n, k)  # how many of the k are still to be found at or below the open range
     while True:
-        # At most BINS + 1 rows for each query of the block.
         table_of = np.zeros((n, BINS + 1), dtype=np.int64)
-        for row in histograms(rows, block, lows, widths, k).toLocalIterator():
+        for row in histograms(rows, block, lows, widths, k).collect():  # at most k rows for each query of the block
             table_of[row["query"], row["bin"]] = row["n"]
         from_top = np.cumsum(table_of[:, BINS - 1 :: -1], axis=1)
         reached = from_top >= missing[:, None]
@@ -178,14 +182,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         F.max(F.size("v")).alias("n"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most")
     ).first()
     high = int(largest["n"] or 0) * int(largest["most"] or 0) ** 2
-    found = None
-    for block in blocks(packed):
+    schema, folder = "query_id long, vec_id long, score long", shared_folder(spark, "topk-finalists")
+    spark.createDataFrame([], schema).write.parquet(folder)
+    for block in blocks(packed):  # all blocks' finalists go to one folder, so that the plan does not grow with them
         kth = kth_scores(rows, block, -high, high, k)
-        own = finalists(rows, block, kth, k)
-        path = stored(own, "topk-block")
-        found = path if found is None else found.unionByName(path)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+        finalists(rows, block, kth, k).write.mode("append").parquet(folder)
+    found = spark.read.schema(schema).parquet(folder)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
