@@ -470,6 +470,13 @@ select peticion, k as codigo_de_entidad_del_dato, momento,
   case when not fin then prioridad_del_entidad_de_dato end as prioridad_del_entidad_de_dato,
   case when not fin then peso end as peso, case when not fin then event_id end as event_id,
   case when not fin then ingestion_date end as ingestion_date from found"""
+QUERIES["job_dashboard_totals"] = QUERIES["dash_totals"]
+QUERIES["job_dashboard_completeness"] = QUERIES["dash_completeness"]
+QUERIES["change_validate_trace"] = """
+select codigo_de_entidad_del_dato as clave, nombre_del_dominio as aplicativos,
+  coalesce(codigo_de_entidad_del_dato, '') <> '' as accepted,
+  case when coalesce(codigo_de_entidad_del_dato, '') = '' then 'codigo_de_entidad_del_dato' else '' end as missing_fields,
+  '' as bad_values from fx_inserts"""
 QUERIES["log_replayed"] = QUERIES["diff_applied"]
 QUERIES["log_rolled_back"] = f"select {LATEST} from updated"
 QUERIES["log_folded"] = QUERIES["snapshot_diff"]

@@ -157,14 +157,20 @@ def sheet_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(rejects.select("tabla", "motivo", "contenido", STAMP))
 
 
+def _filled_tables(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Bronze tables with the sheets and the concepts entered by hand."""
+    catalog = _new_tables(spark)
+    for sheet, (_, entity) in SHEETS.items():
+        jobs.ingest_sheet(spark, _export_sheet(spark, sf_dir, sheet), entity, catalog, run_ts=RUN_TS)
+    write_table(spark_view(spark, sf_dir, "fx_custom"), catalog, "bronze", "app_custom_concepts")
+    return catalog
+
+
 def job_table(table: str) -> Query:
     """Sheets to bronze, bronze to silver, silver to golden, all as tables; returns a golden one."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        catalog = _new_tables(spark)
-        for sheet, (_, entity) in SHEETS.items():
-            jobs.ingest_sheet(spark, _export_sheet(spark, sf_dir, sheet), entity, catalog, run_ts=RUN_TS)
-        write_table(spark_view(spark, sf_dir, "fx_custom"), catalog, "bronze", "app_custom_concepts")
+        catalog = _filled_tables(spark, sf_dir)
         jobs.build_silver(spark, catalog, RUN_TS)
         jobs.build_golden(spark, catalog, RUN_TS)
         return _plain_times(read_table(spark, catalog, "golden", table))
@@ -172,6 +178,11 @@ def job_table(table: str) -> Query:
     return query
 
 
+def job_dashboard(figure: str) -> Query:
+    """One of the dashboard's figures, computed by its job over the tables."""
+    return lambda spark, sf_dir: jobs.dashboard(spark, _filled_tables(spark, sf_dir))[figure]
+
+
 def bronze_null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.nullify_tokens(spark_view(spark, sf_dir, "fx_sheet"))
 
@@ -259,14 +270,24 @@ def change_insert_rules(bronze: Bronze) -> DataFrame:
     return changes.apply_inserts(table, new, RULE, RUN_TS)
 
 
-def change_insert_trace(bronze: Bronze) -> DataFrame:
-    new = bronze.view("fx_inserts").select(
+def _new_trace(bronze: Bronze) -> DataFrame:
+    return bronze.view("fx_inserts").select(
         CODE,
         F.col("concepto_de_negocio").alias("nombre_de_entidad_del_dato"),
         F.col(DOMAIN).alias("aplicativos"),
         F.lit(" ").alias("fuente_oficial"),
     )
-    return changes.apply_inserts(bronze.trace, new, LINEAGE, RUN_TS)
+
+
+def change_insert_trace(bronze: Bronze) -> DataFrame:
+    return changes.apply_inserts(bronze.trace, _new_trace(bronze), LINEAGE, RUN_TS)
+
+
+def change_validate_trace(bronze: Bronze) -> DataFrame:
+    return changes.check_changes(_new_trace(bronze), LINEAGE).select(
+        F.col(CODE).alias("clave"), "aplicativos", "accepted",
+        *[F.array_join(c, ",").alias(c) for c in ("missing_fields", "bad_values")],
+    )
 
 
 def change_update_rules(bronze: Bronze) -> DataFrame:
@@ -510,6 +531,7 @@ QUERIES: dict[str, Query] = {
         CONCEPT, "concepts", updates="_concept_edits", deletes="_deleted_concepts", inserts="_new_concepts"
     ),
     "change_validate": _on_bronze(change_validate),
+    "change_validate_trace": _on_bronze(change_validate_trace),
     "change_values": _on_bronze(change_values),
     "dash_totals": _on_bronze(lambda b: metrics.dashboard_totals(b.coverage)),
     "dash_flags_by_domain": _on_bronze(lambda b: metrics.flags_by_domain(b.coverage)),
@@ -528,6 +550,8 @@ QUERIES: dict[str, Query] = {
     "diff_reverted": _on_bronze(lambda b: versions.revert_diff(_after(b), _diff(b))),
     "job_golden_report": job_table("reporte_calidad_conceptos"),
     "job_golden_priority": job_table("resumen_prioridad_dominio"),
+    "job_dashboard_totals": job_dashboard("totals"),
+    "job_dashboard_completeness": job_dashboard("completeness"),
     "history": _on_bronze(history),
     "history_as_of": _on_bronze(history_as_of),
     "history_ended": _on_bronze(history_ended),
