@@ -7,13 +7,15 @@ A suffix array over all bytes would move each byte's suffix. Here only suffixes
    the partition of its hash, once from each block of texts, and is answered in bits. Stretches whose anchor occurs once hold no
    repeated string; those whose whole content occurs twice are repeated throughout. Only different
    stretches around one anchor are left *open*.
-2. *Suffixes.* Of each open stretch the suffix from its anchor on and the reversed prefix before it are sorted over the whole
-   corpus: each task sorts a run, cuts it at common splitters and sends it front-coded; loser trees
-   merge the runs of a range without comparing known prefixes again (``merging.py``). A string that shares m bytes
-   with a neighbour shares no more with any other, so a stretch needs to look only at strings that
-   begin at most m bytes before the anchor and end at most m bytes after it. The first and last strings of a
-   range count as sharing all their bytes, so no range need know its neighbours.
-3. *Decision.* The strings left are told apart by two 64-bit hashes of their content, asked and answered as in 1.
+2. *Suffixes.* Of each open stretch the suffix from its anchor on, followed by the reversed prefix before it, and the same the other way
+   round, are sorted over the whole corpus: each task sorts a run, cuts it at common splitters and sends it front-coded; loser trees
+   merge the runs of a range without comparing known prefixes again (``merging.py``).
+3. *Decision.* A neighbour in the merged order that shares r bytes from the anchor on and l bytes before it repeats every string of
+   the stretch that begins at most l bytes before the anchor and ends at most r bytes after it: these are removed. Since no other suffix shares more than
+   a neighbour does, strings that reach further than that to one side occur once. The first and last suffixes of a
+   range count as sharing all their bytes, so no range need know its neighbours. What is left lies between the
+   two: strings whose right side agrees with one text and whose left side with another. Only around anchors with such strings are the strings
+   told apart by two 64-bit hashes of their content, asked and answered as in 1.
 
 Questions and answers travel in packed arrays, one for each block and partition; equal questions of a block travel
 once, so a passage in a third of all texts sends no more than one question from each block. Every step handles a
@@ -38,9 +40,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.anchors import BASE, LENGTH, MOST_BYTES, mixed, powers, stretches
-from termloom.llm.common import parts, stored, table
-from termloom.llm.merging import front_coded, merged
+from termloom.llm.anchors import BASE, GRAM, LENGTH, MOST_BYTES, mixed, powers, stretches
+from termloom.llm.common import parts, small_batches, stored, table
+from termloom.llm.merging import front_coded, merged, shared
 
 BLOCK_BYTES = 1 << 20  # of text; a block ends with the text that reaches it
 ANCHOR, STRETCH, STRING = 0, 1, 2  # kinds of questions
@@ -59,7 +61,7 @@ def rows_of(batches: Batches) -> Iterator[dict]:
 
 
 def batch_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
     fields = [field.split() for field in schema.split(",")]
     return pa.RecordBatch.from_arrays(
         [pa.array([row[i] for row in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)],
@@ -274,9 +276,27 @@ def stretch_list(row: dict) -> Iterator[tuple[int, int, int, bytes]]:
         at += count + LENGTH - 1
 
 
+END = b"\x00"
+
+
+def ordered(first: bytes, second: bytes, mark: bytes) -> bytes:
+    """A string that sorts by its first part, a shorter one before those it begins, and then by the second."""
+    if END in first or b"\x01" in first:
+        first = first.replace(b"\x01", b"\x01\x02").replace(END, b"\x01\x01")
+    return mark + first + END + second
+
+
+def parted(string: bytes) -> tuple[bytes, bytes]:
+    first, second = string[1:].split(END, 1)
+    if b"\x01" in first:
+        first = first.replace(b"\x01\x01", END).replace(b"\x01\x02", b"\x01")
+    return first, second
+
+
 def sides(content: bytes, offset: int) -> tuple[bytes, bytes]:
-    """The suffix from the anchor on, and the reversed prefix before it; they are told apart by a first byte."""
-    return b"R" + content[offset:], b"L" + content[:offset][::-1]
+    """The suffix from the anchor on with the reversed prefix before it, and the other way round; a first byte tells which."""
+    right, left = content[offset:], content[:offset][::-1]
+    return ordered(right, left, b"R"), ordered(left, right, b"L")
 
 
 def splitters(opens: DataFrame, ranges: int) -> list[bytes]:
@@ -295,8 +315,15 @@ def splitters(opens: DataFrame, ranges: int) -> list[bytes]:
     return sorted({bytes(picked[len(picked) * i // ranges]) for i in range(1, ranges)}) if picked else []
 
 
+SHARED = "common int, first array<int>, second array<int>"
+
+
 def neighbours(opens: DataFrame, cuts: list[bytes], partitions: int) -> DataFrame:
-    """key, common: of each different string, the most bytes that it shares with another, or all if it occurs twice."""
+    """Of each different string of ``sides`` what it shares with its neighbours in the sorted order.
+
+    key; common: the most bytes that its first part shares with that of another string, or all, if that is not known;
+    first, second: how many bytes of either part one neighbour shares, and the other.
+    """
 
     def runs(batches: Batches) -> Batches:
         seen: dict[bytes, bool] = {}
@@ -316,28 +343,43 @@ def neighbours(opens: DataFrame, cuts: list[bytes], partitions: int) -> DataFram
         for row in rows_of(batches):
             held.setdefault(row["range"], []).append(row["run"])
         for own in held.values():
-            out: list[tuple[bytes, int]] = []
-            last, before, twice = None, 0, False
+            out: list[tuple] = []
+            last, met, at_edge = None, [], True
+
+            def done(edge: bool) -> tuple:
+                whole = len(last[1][0]) if edge else max([f for f, _ in met], default=0)
+                return xxhash.xxh3_128_digest(last[0]), whole, [f for f, _ in met], [s for _, s in met]
+
             for string, common, repeated in merged(own):
-                if last is not None and common == len(last) == len(string):
-                    twice = True
+                if last is not None and common == len(last[0]) == len(string):
+                    met.append((len(last[1][0]), len(last[1][1])))
                     continue
+                now = (string, parted(string))
+                shares = None
                 if last is not None:
-                    out.append((xxhash.xxh3_128_digest(last), len(last) if twice else max(before, common)))
-                before = common if last is not None else len(string)
-                last, twice = string, repeated
+                    (f, s), (g, t) = last[1], now[1]
+                    # Where the first parts hold no escaped byte, their order's common prefix is their own.
+                    plain = len(string) == len(g) + len(t) + 2 and len(last[0]) == len(f) + len(s) + 2
+                    # Not even the mark is shared where the two orders meet.
+                    shares = (min(common - 1, len(f), len(g)) if plain else shared(f, g), shared(s, t)) if common else (0, 0)
+                    met.append(shares)
+                    out.append(done(at_edge))
+                    at_edge = False
+                last, met = now, [shares] if shares else []
+                if repeated:
+                    met.append((len(now[1][0]), len(now[1][1])))
                 if len(out) >= 50_000:
-                    yield batch_of("key binary, common int", out)
+                    yield batch_of(f"key binary, {SHARED}", out)
                     out = []
-            out.append((xxhash.xxh3_128_digest(last), len(last)))
-            yield batch_of("key binary, common int", out)
+            out.append(done(True))
+            yield batch_of(f"key binary, {SHARED}", out)
 
     sorted_runs = opens.select("starts", "counts", "offsets", "content").mapInArrow(runs, "range int, run binary")
-    return sorted_runs.repartition(partitions, "range").mapInArrow(merge, "key binary, common int")
+    return sorted_runs.repartition(partitions, "range").mapInArrow(merge, f"key binary, {SHARED}")
 
 
 def with_neighbours(opens: DataFrame, found: DataFrame) -> DataFrame:
-    """The open rows with ``common``: for each of their strings in order, right and left in turn, the shared bytes."""
+    """The open rows with ``shared``: for each of their strings in order, right and left in turn, what ``neighbours`` found."""
 
     def keys(batches: Batches) -> Batches:
         for row in rows_of(batches):
@@ -354,36 +396,56 @@ def with_neighbours(opens: DataFrame, found: DataFrame) -> DataFrame:
     per_block = (
         wanted.join(found, "key")
         .groupBy("owner")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "common"))).alias("common"))
-        .select("owner", F.transform("common", lambda c: c["common"]).alias("common"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "common", "first", "second"))).alias("shared"))
     )
     joined = opens.join(per_block, opens["block"] == per_block["owner"]).drop("owner")
     return stored(joined, "repeats-common")
 
 
-def string_keys(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and two hashes of every string of a row's open stretches that may occur elsewhere."""
-    lows, starts, hashes = [], [], ([], [])
-    common = row["common"]
-    up, down = powers(4096)
+def judged(row: dict) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Starts of the strings that a neighbour repeats; of each stretch its anchor's hash, the bounds of the strings
+    that may occur elsewhere (as bytes before the anchor), and 1 if some of these are not yet known to."""
+    decided, anchors, bounds, unsure = [np.zeros(0, dtype=np.int64)], [], [], []
+    both = row["shared"]
     for i, (start, count, offset, content) in enumerate(stretch_list(row)):
-        right, left = common[2 * i] - 1, common[2 * i + 1] - 1  # without the byte that tells the side
+        on_right, on_left = both[2 * i], both[2 * i + 1]
         # Of a string that starts o bytes before the anchor, o and LENGTH - o bytes are compared.
-        low, high = max(offset - count + 1, LENGTH - right, 0), min(offset, left)
-        if low > high:
+        low, high = max(offset - count + 1, LENGTH - on_right["common"], 0), min(offset, on_left["common"])
+        repeated = np.zeros(max(high - low + 1, 0), dtype=bool)  # by o - low
+        for right, left in [*zip(on_right["first"], on_right["second"]), *zip(on_left["second"], on_left["first"])]:
+            repeated[max(LENGTH - right - low, 0) : max(min(left, high) - low + 1, 0)] = True
+        decided.append(start + offset - low - np.flatnonzero(repeated))
+        anchors.append(xxhash.xxh3_64_intdigest(content[offset : offset + GRAM]))
+        bounds.append((low, high))
+        unsure.append(int(not repeated.all()))
+    return np.concatenate(decided), np.array(anchors, dtype=np.uint64), bounds, np.array(unsure, dtype=np.uint64)
+
+
+def string_keys(row: dict, dests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of strings that a neighbour repeats; start and two hashes of the strings still to be compared.
+
+    A string that no neighbour decides may equal one that its own neighbours decide, so all stretches of an anchor
+    take part once one of them, in any text, has a string left.
+    """
+    sure, anchors, bounds, unsure = judged(row)
+    _, where, _ = asked(0, ANCHOR, anchors, unsure, dests)
+    mixed_anchor = reply_bits(row["open"], ANCHOR)[where] & VARIED > 0 if len(anchors) else np.zeros(0, dtype=bool)
+    starts, hashes = [], ([], [])
+    up, down = powers(4096)
+    for (start, _, offset, content), (low, high), takes_part in zip(stretch_list(row), bounds, mixed_anchor | (unsure > 0)):
+        if not takes_part or low > high:
             continue
         data = np.frombuffer(content, dtype=np.uint8)
         first = np.arange(offset - high, offset - low + 1)
         starts.append(first + start)
-        lows.append(i)
         for k, salted in enumerate((data.astype(np.uint64) * BASE + np.uint64(17), mixed(data.astype(np.uint64) + np.uint64(99)))):
             total = np.zeros(len(data) + 1, dtype=np.uint64)
             np.cumsum(salted * up[: len(data)], out=total[1:])
             hashes[k].append(mixed((total[first + LENGTH] - total[first]) * down[first]))
     if not starts:
         empty = np.zeros(0, dtype=np.uint64)
-        return np.zeros(0, dtype=np.int64), empty, empty
-    return np.concatenate(starts), np.concatenate(hashes[0]), np.concatenate(hashes[1])
+        return sure, np.zeros(0, dtype=np.int64), empty, empty
+    return sure, np.concatenate(starts), np.concatenate(hashes[0]), np.concatenate(hashes[1])
 
 
 def asking(frame: DataFrame, questions: Callable[[dict], Iterator[tuple]]) -> DataFrame:
@@ -414,22 +476,32 @@ def repeated_spans(blocks: DataFrame) -> DataFrame:
     cuts = splitters(opens, dests)
     ready = with_neighbours(opens.filter(F.length("starts") > 0), neighbours(opens, cuts, partitions))
 
+    def about_anchors(row: dict) -> Iterator[tuple]:
+        _, anchors, _, unsure = judged(row)
+        return iter(asked(row["block"], ANCHOR, anchors, unsure, dests)[0])
+
+    anchor_replies = answered(asking(ready, about_anchors), partitions).select(
+        F.col("owner").alias("of"), F.col("replies").alias("open")
+    )
+    known = ready.join(anchor_replies, ready["block"] == anchor_replies["of"], "left").drop("of")
+
     def about_strings(row: dict) -> Iterator[tuple]:
-        _, x, y = string_keys(row)
+        _, _, x, y = string_keys(row, dests)
         return iter(asked(row["block"], STRING, x, y, dests)[0])
 
-    string_replies = answered(asking(ready, about_strings), partitions)
+    string_replies = answered(asking(known, about_strings), partitions)
 
     def decide(batches: Batches) -> Batches:
         for row in rows_of(batches):
-            starts, x, y = string_keys(row)
+            sure, starts, x, y = string_keys(row, dests)
             _, where, _ = asked(0, STRING, x, y, dests)
             if len(starts):
                 starts = starts[reply_bits(row["replies"], STRING)[where] & TWICE > 0]
+            starts = np.concatenate([sure, starts])
             spans = np.stack(covered(starts, starts + LENGTH)).astype("<i8")
             yield batch_of(REMOVED, [(row["block"], spans.tobytes())])
 
-    decided = ready.join(string_replies, ready["block"] == string_replies["owner"], "left").drop("owner")
+    decided = known.join(string_replies, known["block"] == string_replies["owner"], "left").drop("owner")
     fine = decided.mapInArrow(decide, REMOVED)
     return opens.select("block", "spans").unionByName(fine).groupBy("block").agg(F.collect_list("spans").alias("spans"))
 
@@ -478,6 +550,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     def finish(text: bytes, runs: list[tuple[int, int]]) -> tuple:
         removed = sum(b - a for a, b in runs)
         return len(text), removed, len(runs), hashlib.sha256(kept_bytes(text, runs)).hexdigest()
