@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.anchors import _TABLES, mixed, powers
-from termloom.llm.common import column, parts, stored, table
+from termloom.llm.common import column, parts, small_batches, stored, table
 
 N_WORDS = 5
 LINK = (4, 9)  # similarity 0.8: shared / (a + b) of at least 4 / 9
@@ -492,4 +492,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
