@@ -78,8 +78,11 @@ def _local_root(spark: SparkSession) -> str:
 _own_root: tempfile.TemporaryDirectory | None = None
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The frame written to the shared folder and read back: computed once, and of known size."""
+def stored(df: DataFrame, purpose: str, **options: int | str) -> DataFrame:
+    """The frame written to the shared folder and read back: computed once, and of known size.
+
+    ``options`` are those of the Parquet writer.
+    """
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
