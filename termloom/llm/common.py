@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.session import shared_folder
+from termloom import session
 
 # What stands between words: the blank and the control characters 09 to 0D.
 GAP = r"[\x20\x09-\x0D]+"
@@ -53,9 +53,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
     Row groups are small, since writers and readers hold a whole one.
     """
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return session.stored(df, purpose, **{"parquet.block.size": ROW_GROUP_BYTES})
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
