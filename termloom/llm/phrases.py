@@ -11,7 +11,8 @@ is subsumed by on its left comes from the stripe of another word, by a join of t
 A phrase counted less than the least count cannot be a candidate or a part of one, so it goes once the counts are
 merged, and never before. Scores are whole numbers made of decimals of 38 digits.
 
-Cases: a null text is empty, a null language ``und``. Repeated rows count each time. Texts of any length are taken whole. Ties
+Cases: a null text is empty, a null language ``und``. Repeated rows count each time. Texts of any length are taken whole; a long one
+may be cut between pieces on the way. Ties
 follow the order by phrase in UTF-8 bytes; cuts with equal scores go to the shortest first part. An empty table gives no
 rows. Only ``text`` and ``lang`` are read.
 """
@@ -35,6 +36,7 @@ LEAST_COUNT = 10
 SUBSUMED_PERCENT = 50
 TOP = 2_000
 MARKS = byte_set(".,;:!?", range(0x0A, 0x0E))
+MARK_BYTES = [bytes([b]) for b in np.flatnonzero(MARKS)]
 OUTSIDE = MARKS | byte_set("\x20\x09")
 BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 4 << 20  # of text whose counts meet in one bucket
@@ -46,10 +48,32 @@ LOWER[0x41:0x5B] += 0x20
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def cut_at_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same pieces in texts of about ``BLOCK_BYTES`` at most: no phrase goes over a mark, so a text may be cut after one."""
+    for batch in batches:
+        if (pc.max(pc.binary_length(batch.column("text"))).as_py() or 0) <= BLOCK_BYTES:
+            yield batch
+            continue
+        langs, texts = [], []
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            data, at = (text or "").encode(), 0
+            while len(data) - at > BLOCK_BYTES:
+                ends = [data.rfind(mark, at, at + BLOCK_BYTES) for mark in MARK_BYTES]
+                end = max(ends)
+                if end < 0:  # a piece longer than that stays whole
+                    end = min((e for mark in MARK_BYTES if (e := data.find(mark, at)) >= 0), default=len(data))
+                langs.append(lang)
+                texts.append(data[at : end + 1].decode())
+                at = end + 1
+            langs.append(lang)
+            texts.append(data[at:].decode())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string())], names=["lang", "text"])
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows in order, in tables that end with the row that reaches ``BLOCK_BYTES`` of text."""
     held, size = [], 0
-    for batch in sliced(batches, BLOCK_BYTES):
+    for batch in sliced(cut_at_marks(batches), BLOCK_BYTES):
         held.append(batch)
         size += batch.column("text").nbytes
         if size >= BLOCK_BYTES:

@@ -166,6 +166,16 @@ def test_phrases_equal_brute_force(spark, monkeypatch, block, bucket, entries):
     assert phrases_of(phrases.top_phrases(*phrases.collocations(docs), 3)) == plain_phrases(rows, top=3)
 
 
+def test_long_texts_are_cut_between_pieces(monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 40)
+    texts = ["é b, c d. " * 20, "no mark " * 30, "short", None, "a,b" + " c" * 50 + ",d" + " e" * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 5), pa.array(texts)], names=["lang", "text"])
+    made = [t for b in phrases.cut_at_marks([batch]) for t in b.column("text").to_pylist()]
+    pieces = lambda ts: Counter(p for t in ts for p in re.split(r"[.,;:!?\x0A-\x0D]", t or "") if p.strip())
+    assert pieces(made) == pieces(texts) and len(made) > 8
+    assert all(len(t.encode()) <= 41 for t in made if "," in t[:-1] or "." in t[:-1])
+
+
 def test_phrases_of_an_empty_table(spark):
     assert phrases.top_phrases(*phrases.collocations(helpers.none(spark))).collect() == []
 
