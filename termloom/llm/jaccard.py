@@ -49,7 +49,7 @@ TARGET_RECALL = 0.9999
 NODE_SQUARE = 1024
 SET_SQUARE = 256
 STAR_SPREAD = 16
-LABEL_BYTES = 4 * DEPTH
+LABEL_BYTES = 2 * DEPTH  # 16 bits of each value
 MANY = 200  # shingles; from here on the threshold itself is taken as the least similarity
 SLICE_BYTES = 1 << 18
 _FACTORS = np.random.default_rng(5_802).integers(1, 1 << 63, size=TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,10 +161,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, x, set (of the shingles' hash; null without shingles), text (hash), depth, labels (end to end) and sketch."""
+    """doc_id, x, set (of the shingles' hash; null without shingles), text (hash), depth and labels (end to end)."""
 
     def describe(batches: Batches) -> Batches:
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
         for batch in parts(batches):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             rows = []
@@ -172,16 +172,15 @@ def described(docs: DataFrame) -> DataFrame:
                 batch.column("doc_id").to_pylist(), batch.column("x").to_pylist(), texts, shingle_sets(texts)
             ):
                 if not len(own):
-                    rows.append((doc, x, None, None, None, None, None))
+                    rows.append((doc, x, None, None, None, None))
                     continue
                 depth = own_depth(len(own))
                 values = signature(own) if depth else np.empty(0, dtype=np.uint32)
-                sketch = (values & np.uint32(255)).astype(np.uint8).tobytes()
                 hashes = xxhash.xxh3_128_digest(own.tobytes()), xxhash.xxh3_128_digest(text)
-                rows.append((doc, x, *hashes, depth, values.astype(">u4").tobytes(), sketch))
-            yield as_batch("doc_id x set text depth labels sketch", kinds, rows)
+                rows.append((doc, x, *hashes, depth, (values & np.uint32(0xFFFF)).astype(">u2").tobytes()))
+            yield as_batch("doc_id x set text depth labels", kinds, rows)
 
-    columns = "doc_id long, x long, set binary, text binary, depth int, labels binary, sketch binary"
+    columns = "doc_id long, x long, set binary, text binary, depth int, labels binary"
     return keyed(docs).mapInArrow(describe, columns)
 
 
@@ -265,22 +264,27 @@ def node_edges(labels: np.ndarray, depth: np.ndarray, sketches: np.ndarray) -> l
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """a, b: edges that connect the classes which share a prefix as long as both need, and have like sketches."""
     shortest = prefix_depth()
+    label = lambda tree, length: F.substring(F.col("labels"), tree * LABEL_BYTES + 1, F.lit(length))
     trees = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.struct(t.alias("tree"), F.substring(F.col("labels"), t * LABEL_BYTES + 1, F.lit(LABEL_BYTES)).alias("label")),
+        lambda t: F.struct(t.alias("tree"), F.xxhash64(t, label(t, LABEL_BYTES // DEPTH * shortest)).alias("node")),
+    )
+    places = classes.filter("depth IS NOT NULL").select("set", F.inline(trees))
+    nodes = places.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").select("node")
+    # Merge joins at every size: the plan does not change with the number of classes.
+    shared = (
+        places.join(nodes.hint("merge"), "node")
+        .join(classes.select("set", "depth", "labels").hint("merge"), "set")
+        .select("node", "tree", "set", "depth", "labels", label(F.col("tree"), LABEL_BYTES).alias("label"))
     )
-    labels = classes.filter("depth IS NOT NULL").select("set", "depth", F.inline(trees))
-    labels = labels.withColumn("node", F.xxhash64("tree", F.substring("label", 1, 4 * shortest)))
-    nodes = labels.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").select("node")
-    shared = labels.join(nodes, "node").join(classes.select("set", "sketch"), "set")
     order = ["tree", "label", "set"]
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    columns = "node long, depth int, label binary, sketch binary, a binary, b binary"
+    columns = "node long, depth int, label binary, labels binary, a binary, b binary"
 
     def matrices(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        values = np.frombuffer(b"".join(r["label"] for r in rows), dtype=">u4").reshape(len(rows), -1)
-        sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
-        return values, np.array([r["depth"] for r in rows]), sketches
+        values = np.frombuffer(b"".join(r["label"] for r in rows), dtype=">u2").reshape(len(rows), -1)
+        whole = np.frombuffer(b"".join(r["labels"] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+        return values, np.array([r["depth"] for r in rows]), whole[:, 1::2]  # the low byte of each value is the sketch
 
     def edges(rows: list[dict]) -> list[tuple[bytes, bytes]]:
         return [(rows[i]["set"], rows[j]["set"]) for i, j in node_edges(*matrices(rows))] if len(rows) > 1 else []
@@ -288,11 +292,11 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     def in_range(batches: Batches) -> Batches:
         """Edges of the nodes inside of a range of sorted labels; the members of its first and last node, with their set as ``a``."""
         out: list[tuple] = []
-        names = "node depth label sketch a b"
+        names = "node depth label labels a b"
         first, held = True, None
         for (node,), rows in grouped(batches, ["node"]):
             if first:
-                out += [(node, r["depth"], r["label"], r["sketch"], r["set"], None) for r in rows]
+                out += [(node, r["depth"], r["label"], r["labels"], r["set"], None) for r in rows]
                 first = False
                 continue
             if held:
@@ -302,16 +306,16 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
                 yield as_batch(names, kinds, out)
                 out = []
         if held:
-            out += [(held[0]["node"], r["depth"], r["label"], r["sketch"], r["set"], None) for r in held]
+            out += [(held[0]["node"], r["depth"], r["label"], r["labels"], r["set"], None) for r in held]
         yield as_batch(names, kinds, out)
 
     sorted_labels = shared.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(sorted_labels.mapInArrow(in_range, columns), "jaccard-forest")
 
-    ends = found.filter("node IS NOT NULL").select("node", "depth", "label", "sketch", F.col("a").alias("set"))
+    ends = found.filter("node IS NOT NULL").select("node", "depth", "label", "labels", F.col("a").alias("set"))
     sizes = ends.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    dealt = ends.join(sizes, "node").select(
-        "node", "depth", "label", "sketch", "set", F.inline(squares(F.col("size"), NODE_SQUARE, F.col("set")))
+    dealt = ends.join(sizes.hint("merge"), "node").select(
+        "node", "depth", "label", "labels", "set", F.inline(squares(F.col("size"), NODE_SQUARE, F.col("set")))
     )
     dealt = dealt.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "label", "set")
 
@@ -428,12 +432,12 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = stored(
         rows.filter("set IS NOT NULL")
         .groupBy("set", "text")
-        .agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in ("depth", "labels", "sketch")])
+        .agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in ("depth", "labels")])
         .groupBy("set")
         .agg(
             F.count("*").alias("texts"),
             F.min("place").alias("place"),
-            *[F.first(c).alias(c) for c in ("depth", "labels", "sketch")],
+            *[F.first(c).alias(c) for c in ("depth", "labels")],
         ),
         "jaccard-classes",
     )
