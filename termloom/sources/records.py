@@ -2,7 +2,8 @@
 
 A quote opens or closes a cell, so a line begins a record if the quotes before it in its file are even in
 number. Each byte range of a file counts its quotes; a sum over the ranges, one row for each, tells
-every range whether it begins inside of a cell, at which line, and in which record. Ranges then cut their records side by side.
+every range whether it begins inside of a cell, at which line, and in which record. Ranges then cut their records side by side,
+and only ranges with line breaks in cells are shuffled for that.
 Only the lines of records with line breaks are brought together, a record at a time.
 
 A cell that holds a quote must itself be quoted, its quotes doubled, as exports do. A quote that is never closed
@@ -31,40 +32,55 @@ def lines_of(reader, path: str) -> DataFrame:
     )
 
 
-def cut_records(lines: DataFrame) -> DataFrame:
-    """file, line (number of the record's first line, from 1), record, closed."""
-    marked = lines.withColumn("_at", F.monotonically_increasing_id()).withColumn(
-        "_odd", F.regexp_count("line", F.lit('"')) % 2
-    )
-    in_block = Window.partitionBy("file", "block").orderBy("_at")
-    above = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum("_odd").over(above), F.lit(0)) % 2
-    place = {"_inside": inside, "_nr": F.row_number().over(in_block)}
+def _known_blocks(marked: DataFrame) -> DataFrame:
+    """One row for each byte range: where its first line stands, and what the ranges before it carry over.
 
-    narrow = marked.select("file", "block", "_at", "_odd", F.col("line").endswith("\r").alias("_cr")).withColumns(place)
-    blocks = narrow.groupBy("file", "block").agg(
+    Only lines that change between inside and outside of a cell are ordered within their range.
+    """
+    sizes = marked.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("_lines"),
-        (F.sum("_odd") % 2).alias("_odd"),
-        F.max(F.when(F.col("_inside") == 0, F.col("_nr"))).alias("_last_even"),
-        F.max(F.when(F.col("_inside") == 1, F.col("_nr"))).alias("_last_odd"),
-        F.max(F.when((F.col("block") == 0) & (F.col("_nr") == 1), F.col("_cr"))).alias("_cr"),
+        F.min("_at").alias("_from"),
+        F.when(F.col("block") == 0, F.min_by(F.col("line").endswith("\r"), "_at")).alias("_cr"),
+    )
+    turns = marked.filter("_odd = 1").select("file", "block", "_at").withColumn(
+        "_before", (F.row_number().over(Window.partitionBy("file", "block").orderBy("_at")) - 1) % 2
     )
+    turns = turns.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("_turns"),
+        F.max(F.when(F.col("_before") == 0, F.col("_at"))).alias("_turn_even"),
+        F.max(F.when(F.col("_before") == 1, F.col("_at"))).alias("_turn_odd"),
+    )
+    blocks = sizes.join(turns, ["file", "block"], "left").withColumn("_turns", F.coalesce("_turns", F.lit(0)))
+    nr = lambda at: F.col(at) - F.col("_from") + 1
+    # Behind the last turn all lines are on the side where it left them.
+    behind = lambda side: F.when(F.col("_turns") % 2 == side, F.col("_lines"))
+    turned = F.coalesce(F.greatest(nr("_turn_even"), nr("_turn_odd")), F.lit(0)) == F.col("_lines")
+    last = {
+        name: F.greatest(nr(at), F.when(~turned, behind(side)))
+        for side, (name, at) in enumerate((("_last_even", "_turn_even"), ("_last_odd", "_turn_odd")))
+    }
     whole = Window.partitionBy("file")
     before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    known = blocks.select(
+    known = blocks.withColumns(last).select(
         "file",
         "block",
+        "_lines",
+        "_from",
+        "_turns",
         F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_above"),
-        (F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2).alias("_open"),
-        (F.sum("_odd").over(whole) % 2 == 1).alias("_file_open"),
+        (F.coalesce(F.sum("_turns").over(before), F.lit(0)) % 2).alias("_open"),
+        (F.sum("_turns").over(whole) % 2 == 1).alias("_file_open"),
         "_last_even",
         "_last_odd",
         F.max("_cr").over(whole).alias("_cr"),
     )
-    last = F.col("_above") + F.when(F.col("_open") == 0, F.col("_last_even")).otherwise(F.col("_last_odd"))
-    carried = known.withColumn("_last", last).select(
+    start = F.col("_above") + F.when(F.col("_open") == 0, F.col("_last_even")).otherwise(F.col("_last_odd"))
+    return known.withColumn("_last", start).select(
         "file",
         "block",
+        "_lines",
+        "_from",
+        "_turns",
         "_above",
         "_open",
         "_cr",
@@ -72,16 +88,35 @@ def cut_records(lines: DataFrame) -> DataFrame:
         F.when(F.col("_file_open"), F.max("_last").over(whole)).alias("_unclosed"),
     )
 
-    starts = (F.col("_open") + F.col("_inside")) % 2 == 0
-    number = F.col("_above") + F.col("_nr")
+
+def cut_records(lines: DataFrame) -> DataFrame:
+    """file, line (number of the record's first line, from 1), record, closed.
+
+    ``lines`` as ``lines_of`` gives them. Lines of a range without a line of odd quotes stay where they are read;
+    those of other ranges are ordered within their range.
+    """
+    marked = lines.withColumn("_at", F.monotonically_increasing_id()).withColumn(
+        "_odd", (F.octet_length("line") - F.octet_length(F.replace("line", F.lit('"'), F.lit("")))) % 2
+    )
+    # One row for each range, written down so that Spark knows how few they are and sends them to all tasks.
+    blocks = stored(_known_blocks(marked), "ranges")
+    nr = F.col("_at") - F.col("_from") + 1
+    read_alike = F.coalesce((nr >= 1) & (nr <= F.col("_lines")), F.lit(False))
+    placed = marked.join(blocks, ["file", "block"], "left").withColumn(
+        "_number",
+        F.when(read_alike, F.col("_above") + nr).otherwise(F.raise_error(F.lit("files or their ranges changed while they were read")).cast("bigint")),
+    )
+    closed = ~F.col("_first").eqNullSafe(F.col("_unclosed"))
+    quiet = placed.filter(F.coalesce("_turns", F.lit(0)) == 0).withColumn("_starts", F.col("_open") == 0)
+    quiet = quiet.withColumn("_first", F.when(F.col("_starts"), F.col("_number")).otherwise(F.col("_carried")))
+    in_block = Window.partitionBy("file", "block").orderBy("_at")
+    above = in_block.rowsBetween(Window.unboundedPreceding, -1)
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = (
-        marked.withColumns(place)
-        .join(carried, ["file", "block"])
-        .withColumns({"_starts": starts, "_number": number})
-        .withColumn("_first", F.coalesce(F.max(F.when(F.col("_starts"), F.col("_number"))).over(so_far), "_carried"))
-        .withColumn("_closed", ~F.col("_first").eqNullSafe(F.col("_unclosed")))
+    turning = placed.filter("_turns > 0").withColumn(
+        "_starts", (F.col("_open") + F.coalesce(F.sum("_odd").over(above), F.lit(0))) % 2 == 0
     )
+    turning = turning.withColumn("_first", F.coalesce(F.max(F.when(F.col("_starts"), F.col("_number"))).over(so_far), "_carried"))
+    numbered = quiet.unionByName(turning).withColumn("_closed", closed)
     alone = F.col("_starts") & (F.col("_odd") == 0) & F.col("_closed")
     short = numbered.filter(alone).select("file", F.col("_first").alias("line"), F.col("line").alias("record"), "_closed", "_cr")
     several = (
@@ -119,9 +154,11 @@ def parsed_records(records: DataFrame, width: int) -> DataFrame:
 def sheet_and_rejects(lines: DataFrame, headers: list[str]) -> tuple[DataFrame, DataFrame]:
     """The well-formed rows under their headers, and the others as archivo, linea, motivo, contenido.
 
-    The files are parsed once, into the shared folder. Each must begin with the given headers.
+    The files are parsed once, into the shared folder. Each must begin with the given headers. Of a well-formed record
+    the cells are enough; its text is not written.
     """
-    rows = stored(parsed_records(cut_records(lines), len(headers)), "records")
+    parsed = parsed_records(cut_records(lines), len(headers))
+    rows = stored(parsed.withColumn("record", F.when(F.col("reason").isNotNull(), F.col("record"))), "records")
     names = [f"c{i}" for i in range(len(headers))]
     head = F.array(*[F.coalesce(n, F.lit("")) for n in names])
     odd = rows.filter(F.col("line") == 1).filter(

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from rows import bag
 from termloom.sources.records import OPEN_QUOTE, OTHER_CELLS, cut_records, lines_of, read_records
 from termloom.sources.sheets import read_sheet
@@ -99,3 +101,29 @@ def test_a_large_file_takes_many_tasks(spark, tmp_path):
     good, rejects = read_records(spark, path)
     assert (good.count(), rejects.count()) == (20_000, 0)
     assert good.select("h1").distinct().collect()[0].h1 == 'some\ntext, with "quotes"'
+
+
+def test_only_ranges_with_line_breaks_are_shuffled(spark, tmp_path):
+    path = write(tmp_path / "s", one="h1,h2\n" + "1,2\n" * 3_000, two='h1,h2\n"3\n3",4\n')
+    splits(spark, 4_000)
+    records = cut_records(lines_of(spark.read, path))
+    assert records.count() == 3_003
+    quiet = records.filter(F.col("file").endswith("one.csv"))
+    assert quiet.count() == 3_001 and quiet.agg(F.max("line")).first()[0] == 3_001
+    # The lines of quiet ranges reach the union without an exchange, so they keep the partitions they were read in.
+    assert records.rdd.getNumPartitions() > lines_of(spark.read, path).rdd.getNumPartitions()
+    good, _ = read_records(spark, path)
+    (folder,) = {f.rsplit("/", 1)[0] for f in good.inputFiles()}
+    assert spark.read.parquet(folder).filter("record is not null").count() == 0
+
+
+def test_exported_sheets_are_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from entry_support import registry
+
+    monkeypatch.setattr(registry, "SHEET_ROWS", 100)
+    spark.range(1, 1_000).selectExpr("id as p_partkey", "'n' as p_name", "'b' as p_brand", "'t' as p_type", "cast(id % 50 as int) as p_size", "1D as p_retailprice").coalesce(1).write.parquet(
+        str(tmp_path / "part.parquet")
+    )
+    folder = registry._export_sheet(spark, str(tmp_path), "concepts")
+    sheet = read_sheet(spark, folder)
+    assert len(sheet.inputFiles()) >= 10 and sheet.count() == 999 + 5
