@@ -108,3 +108,12 @@ def test_as_of_agrees_with_history(versions):
     valid = history(versions, "k", "ts").filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
     assert bag(as_of(versions, "k", "ts", at).filter("k is not null")) == bag(valid.filter("k is not null").select("k", "ts", "v"))
     assert as_of(versions, "k", "ts", at).filter("k is null").count() == versions.filter((F.col("k").isNull()) & (F.col("ts") <= at)).count()
+
+
+def test_rows_left_over_are_computed_once(frame):
+    old = frame("k v", ("a", "1"), ("b", "1"), ("b", "2"), (None, "x"))
+    new = frame("k v", ("a", "2"), ("b", "1"), ("b", "3"), (None, "y"))
+    diff = snapshot_diff(old, new, "k")
+    assert all("/left-over-" in path or "/paired-keys-" in path for path in diff.inputFiles()) and diff.inputFiles()
+    found = {(r.k, r.change, r.before and r.before.v, r.after and r.after.v) for r in diff.collect()}
+    assert found == {("a", "update", "1", "2"), ("b", "update", "2", "3"), (None, "delete", "x", None), (None, "insert", None, "y")}
