@@ -5,12 +5,14 @@ from datetime import datetime
 from glob import glob
 
 import pytest
+from pyspark.sql import functions as F
 
 from rows import bag
 from termloom.operators.changes import apply_deletes, apply_inserts, apply_updates
 from termloom.plans import jobs
 from termloom.schemas import CODE, CONCEPT, LAYERS, REJECTED_TABLE, RULE
-from termloom.session import shared_folder
+from termloom.session import TASK_BYTES, shared_folder
+from termloom.sources import tables
 from termloom.sources.tables import BUCKET, Catalog, create_tables, read_table, write_table
 from termloom.streaming import arrivals
 
@@ -63,6 +65,43 @@ def test_changes_leave_other_buckets_alone(spark, catalog, frame):
     base.unpersist()
 
 
+def key_order(spark, catalog):
+    found = files(spark, catalog, CONCEPT.table)
+    return [[r[0] for r in spark.read.parquet(path).select(CODE).collect()] for path in found]
+
+
+def test_files_are_in_the_order_of_the_key(spark, catalog, frame):
+    mixed = concepts(frame, 600).withColumn("n", F.xxhash64("concepto_de_negocio")).orderBy("n").drop("n")
+    write_table(mixed, catalog, "bronze", CONCEPT.table)
+    base = bag(stored_rows(spark, catalog))
+    written = key_order(spark, catalog)
+    assert max(map(len, written)) > 20 and sum(map(len, written)) == 603
+    assert all(keys == sorted(keys, key=lambda k: k or "") for keys in written)
+    jobs.change_bronze(spark, CONCEPT, catalog, deletes=mixed.select(CODE).filter(f"{CODE} like '%7'"), run_ts=RUN)
+    changed = key_order(spark, catalog)
+    assert sum(map(len, changed)) == 543 and base > bag(stored_rows(spark, catalog))
+    assert all(keys == sorted(keys, key=lambda k: k or "") for keys in changed)
+
+
+def test_a_change_is_written_by_smaller_tasks(spark, catalog, frame, monkeypatch):
+    write_table(concepts(frame), catalog, "bronze", CONCEPT.table)
+    usual, seen, overwriting = spark.conf.get(TASK_BYTES), [], tables._overwriting
+
+    def noted(session, mode):
+        seen.append(session.conf.get(TASK_BYTES))
+        return overwriting(session, mode)
+
+    monkeypatch.setattr(tables, "_overwriting", noted)
+    jobs.change_bronze(spark, CONCEPT, catalog, deletes=frame(CODE, ("CRM007",)), run_ts=RUN)
+    assert seen == ["32m"] and spark.conf.get(TASK_BYTES) == usual and spark.conf.get(TASK_BYTES, None) is None
+    spark.conf.set(TASK_BYTES, "5m")
+    try:
+        jobs.change_bronze(spark, CONCEPT, catalog, deletes=frame(CODE, ("CRM008",)), run_ts=RUN)
+        assert seen == ["32m", "5m"] and spark.conf.get(TASK_BYTES) == "5m"
+    finally:
+        spark.conf.unset(TASK_BYTES)
+
+
 def test_a_batch_of_all_kinds(spark, catalog, frame):
     write_table(concepts(frame), catalog, "bronze", CONCEPT.table)
     base = spark.createDataFrame(stored_rows(spark, catalog).collect(), CONCEPT.schema)
