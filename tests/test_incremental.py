@@ -7,13 +7,14 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from entry_support import mapping, registry
 from rows import bag
-from termloom.operators import changelog
+from termloom.operators import changelog, changes
 from termloom.operators.versions import as_of, as_of_many, snapshot_diff
 from termloom.plans import incremental, metrics
 from termloom.plans.golden import priority_summary, quality_report_eager
 from termloom.plans.silver import coverage
-from termloom.schemas import CODE, CONCEPTS, CUSTOM_CONCEPTS, DOMAIN, PRIORITY, RULE_ID, RULES, SUBDOMAIN, TERM, TRACE
+from termloom.schemas import CODE, CONCEPTS, CUSTOM_CONCEPTS, DOMAIN, LINEAGE, PRIORITY, RULE_ID, RULES, SUBDOMAIN, TERM, TRACE
 from termloom.operators.clean import conform
 from termloom.session import shared_folder, stored, working_folders
 
@@ -148,6 +149,37 @@ def test_golden_kept_current_equals_a_rebuild(spark, changed, seed):
     assert bag(incremental.priority_summary_of(now, RUN)) == bag(priority_summary(rebuilt, RUN))
 
 
+def test_touched_keys_and_their_concepts_are_computed_once(spark):
+    old, other = dictionary(spark, 1), dictionary(spark, 51)
+    diffs = {name: snapshot_diff(old[name], other[name], KEYS[name]) for name in KEYS}
+    now = incremental.refreshed(stored(incremental.code_state(coverage(**old)), "state"), **other, diffs=diffs)
+    assert {n for n in ("/touched-keys-", "/touched-concepts-") if any(n in path for path in now.inputFiles())} == {
+        "/touched-keys-", "/touched-concepts-"
+    }
+    # The keys no longer depend on the differences.
+    assert not any("/left-over-" in path or "/paired-keys-" in path for path in now.inputFiles())
+    assert bag(now) == bag(incremental.code_state(coverage(**other)))
+
+
+def test_the_query_reads_the_tables_after_the_batches_from_where_they_were_written(spark, tmp_path):
+    day = datetime(2024, 1, 5)
+    rows = {
+        "part": [(i, f"part {i}", f"b{i % 2}", "SMALL" if i % 4 else "BIG", i % 7, 1.0) for i in range(12)],
+        "customer": [(i, f"customer {i}", i % 12, 10.5 * i, "seg") for i in range(12)],
+        "supplier": [(i, f"supplier {i}", i % 4, 1.0) for i in range(3)],
+        "orders": [(i, i % 9, "OF"[i % 2], 5.25 * i, day, "1-URGENT") for i in range(30)],
+        "lineitem": [(i, i % 12, i % 3, i % 5, 1.0, 1.0, 0.0, 0.0, "AN"[i % 2], "O", day) for i in range(40)],
+    }
+    for table, made in rows.items():
+        spark.createDataFrame(made, mapping.TABLES[table]).write.parquet(str(tmp_path / f"{table}.parquet"))
+    bronze = registry.Bronze(spark, str(tmp_path))
+    state = registry._refreshed_state(bronze)
+    assert not [path for path in state.inputFiles() if "/part.parquet/" in path or "/customer.parquet/" in path]
+    trace = changes.apply_deletes(registry.change_update_trace(bronze), registry._deleted_trace(bronze), LINEAGE)
+    rebuilt = coverage(registry._after(bronze), registry.change_update_rules(bronze), trace, bronze.custom)
+    assert bag(state) == bag(incremental.code_state(rebuilt))
+
+
 def test_no_change_and_unknown_tables(spark):
     tables = dictionary(spark, 1)
     state = incremental.code_state(coverage(**tables))

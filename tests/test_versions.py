@@ -117,3 +117,15 @@ def test_rows_left_over_are_computed_once(frame):
     assert all("/left-over-" in path or "/paired-keys-" in path for path in diff.inputFiles()) and diff.inputFiles()
     found = {(r.k, r.change, r.before and r.before.v, r.after and r.after.v) for r in diff.collect()}
     assert found == {("a", "update", "1", "2"), ("b", "update", "2", "3"), (None, "delete", "x", None), (None, "insert", None, "y")}
+
+
+def test_who_reads_keys_of_a_difference_reads_no_other_column(frame):
+    old = frame("k v", ("a", "1"), ("b", "1"), ("c", "1"), ("c", "2"), (None, "x"))
+    new = frame("k v", ("a", "2"), ("b", "1"), ("c", "3"), ("d", "1"))
+    diff = snapshot_diff(old, new, "k")
+    for side, keys in (("before", ["a", "c", "c", None]), ("after", ["a", "c", "d"])):
+        narrow = diff.filter(F.col(side).isNotNull()).select(f"{side}.k")
+        assert sorted([r.k for r in narrow.collect()], key=str) == sorted(keys, key=str)
+        plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan
+        assert "v:" not in narrow._jdf.queryExecution().sparkPlan().toString()
